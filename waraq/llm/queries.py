@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waraq.llm import copies, leaks, mixing, repetition, tokens
+from waraq.llm import copies, leaks, mixing, repetition, spans, tokens
 from waraq.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,15 @@ def _p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def _p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.SharedSpans(table(spark, d, "documents")).pairs()
+
+
+def _p10_coverage(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return spans.SharedSpans(documents).coverage(documents)
+
+
 QUERIES: dict[str, Query] = {
     "p2_found": _p2_found,
     "p2_ledger": _p2_ledger,
@@ -64,4 +73,6 @@ QUERIES: dict[str, Query] = {
     "p8_ids": _p8_ids,
     "p9_mixture": _p9_mixture,
     "p9_shares": _p9_shares,
+    "p10_found": _p10_found,
+    "p10_coverage": _p10_coverage,
 }
