@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waraq.llm import copies, leaks, mixing, repetition, spans, tokens
+from waraq.llm import copies, leaks, lookalikes, mixing, repetition, spans, tokens
 from waraq.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,16 @@ def _p2_policy_ablation(spark: SparkSession, d: str) -> DataFrame:
     return repetition.ablation(_p2_ledger(spark, d), "v3")
 
 
+def _p4_forms(spark: SparkSession, d: str) -> DataFrame:
+    joint = table(spark, d, "probe_dedup_joint").select("record_id", "text")
+    validation = table(spark, d, "quality_validation").select("record_id", F.col("excerpt").alias("text"))
+    return lookalikes.consistent(joint.unionByName(validation), "record_id", "text").withColumnRenamed("key", "record_id")
+
+
+def _p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.same_look(_p4_forms(spark, d).withColumnRenamed("record_id", "key"))
+
+
 def _p5_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "probe_decon_rup_survivors"), "doc_id", "doc", table(spark, d, "eval_items"), "item_id", "text").withColumnRenamed("item_id", "eval_id")
 
@@ -66,6 +76,8 @@ QUERIES: dict[str, Query] = {
     "p2_found": _p2_found,
     "p2_ledger": _p2_ledger,
     "p2_policy_ablation": _p2_policy_ablation,
+    "p4_found": _p4_found,
+    "p4_forms": _p4_forms,
     "p5_found": _p5_found,
     "p5_leaks": _p5_leaks,
     "p6_found": _p6_found,
