@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waraq.llm import copies, leaks, lookalikes, mixing, repetition, spans, tokens
+from waraq.llm import copies, leaks, lookalikes, mixing, mojibake, repetition, spans, tokens
 from waraq.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _p1_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.restored(table(spark, d, "probe_dedup_joint"), "record_id", "text")
+
+
+def _p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p1_restored(spark, d).select("record_id").distinct()
+
+
 def _p2_ledger(spark: SparkSession, d: str) -> DataFrame:
     return repetition.ledger(table(spark, d, "demo_pairs"), "idx", ["ar_text", "diff_text"])
 
@@ -73,6 +81,8 @@ def _p10_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": _p1_found,
+    "p1_restored": _p1_restored,
     "p2_found": _p2_found,
     "p2_ledger": _p2_ledger,
     "p2_policy_ablation": _p2_policy_ablation,
