@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waraq.llm import copies, leaks, lookalikes, mixing, mojibake, repetition, spans, tokens
-from waraq.session import table
+from waraq.llm import copies, languages, leaks, lookalikes, mixing, mojibake, repetition, spans, tokens
+from waraq.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +59,22 @@ def _p6_found(spark: SparkSession, d: str) -> DataFrame:
     return _p6_copy_sets(spark, d).filter(F.col("row_id") != F.col("keep_id")).select("keep_id", "row_id")
 
 
+def _p7_segments(spark: SparkSession, d: str) -> DataFrame:
+    return languages.segment_languages(table(spark, d, "segments"), table(spark, d, "label_samples"))
+
+
+def _p7_documents(spark: SparkSession, d: str) -> DataFrame:
+    return languages.document_languages(_p7_segments(spark, d))
+
+
+def _p7_found(spark: SparkSession, d: str) -> DataFrame:
+    found = cut(_p7_segments(spark, d))
+    recorded = languages.latest_population(table(spark, d, "split_assignments"))
+    documents = languages.document_languages(found).join(recorded, "doc_id", "left").select("doc_id", F.lit(-1).alias("seg_no"), "recorded", "label")
+    every = found.select("doc_id", F.col("seg_no").cast("int").alias("seg_no"), "recorded", "label").unionByName(documents)
+    return every.filter(~F.col("label").eqNullSafe(F.col("recorded"))).select("doc_id", "seg_no", "label").distinct()
+
+
 def _p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -92,6 +108,9 @@ QUERIES: dict[str, Query] = {
     "p5_leaks": _p5_leaks,
     "p6_found": _p6_found,
     "p6_copy_sets": _p6_copy_sets,
+    "p7_found": _p7_found,
+    "p7_segments": _p7_segments,
+    "p7_documents": _p7_documents,
     "p8_ids": _p8_ids,
     "p9_mixture": _p9_mixture,
     "p9_shares": _p9_shares,
