@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waraq.llm import copies, languages, leaks, lookalikes, mixing, mojibake, repetition, spans, tokens
+from waraq.llm import copies, languages, leaks, lookalikes, mixing, mojibake, pii, repetition, spans, tokens
 from waraq.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,22 @@ def _p2_policy_ablation(spark: SparkSession, d: str) -> DataFrame:
     return repetition.ablation(_p2_ledger(spark, d), "v3")
 
 
+def _p3_scan(spark: SparkSession, d: str) -> DataFrame:
+    return pii.scan(table(spark, d, "pii_results"), "result_id", "text", table(spark, d, "known_names"))
+
+
+def _p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.items(_p3_scan(spark, d), "result_id").select("result_id", "category", "span_start").distinct()
+
+
+def _p3_items(spark: SparkSession, d: str) -> DataFrame:
+    return pii.items(_p3_scan(spark, d), "result_id")
+
+
+def _p3_replaced(spark: SparkSession, d: str) -> DataFrame:
+    return pii.replaced(cut(_p3_scan(spark, d)), "result_id", table(spark, d, "known_names"))
+
+
 def _p4_forms(spark: SparkSession, d: str) -> DataFrame:
     joint = table(spark, d, "probe_dedup_joint").select("record_id", "text")
     validation = table(spark, d, "quality_validation").select("record_id", F.col("excerpt").alias("text"))
@@ -102,6 +118,9 @@ QUERIES: dict[str, Query] = {
     "p2_found": _p2_found,
     "p2_ledger": _p2_ledger,
     "p2_policy_ablation": _p2_policy_ablation,
+    "p3_found": _p3_found,
+    "p3_items": _p3_items,
+    "p3_replaced": _p3_replaced,
     "p4_found": _p4_found,
     "p4_forms": _p4_forms,
     "p5_found": _p5_found,
