@@ -1,3 +1,404 @@
-"""Registry of the core queries and their SQL."""
-QUERIES = {}
-ORACLES = {}
+"""Registry of the core queries: each operator over its whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from waraq import oracles
+from waraq.config import EvalSet, NearDup, Packing, Quality, Splits
+from waraq.functions.text import h60, shingles, text_or_empty
+from waraq.operators import analytics, corruption, decontaminate, dedup, encoding, exclusions, generation, neardup, normalize, packing, pii, quality, sampling, scripts, splits
+from waraq.plans import pipeline
+from waraq.session import cut, spread, table
+from waraq.sources import readers
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES = oracles.ORACLES
+SPLITS = Splits(buckets=1000)
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "eval_items").select("item_id", "text")
+
+
+@query
+def exact_dedup_verdicts(spark, d):
+    return dedup.verdicts(_docs(spark, d))
+
+
+@query
+def exact_dedup_groups(spark, d):
+    return dedup.largest_groups(_docs(spark, d))
+
+
+@query
+def exact_dedup_statistics(spark, d):
+    return dedup.statistics(_docs(spark, d))
+
+
+@query
+def exact_dedup_cross_source(spark, d):
+    return dedup.cross_source(_docs(spark, d))
+
+
+@query
+def exact_dedup_removed_by_source(spark, d):
+    return dedup.removed_by_source(_docs(spark, d))
+
+
+@query
+def line_dedup_statistics(spark, d):
+    return dedup.line_statistics(_docs(spark, d))
+
+
+@query
+def line_dedup_strip(spark, d):
+    return dedup.strip_lines(_docs(spark, d)).select("doc_id", F.md5("text").alias("text_md5"), "removed_lines")
+
+
+@query
+def stable_sample(spark, d):
+    return sampling.hash_sample(_docs(spark, d), 0.2, "sample-1").select("doc_id", "source")
+
+
+@query
+def lowest_per_source(spark, d):
+    return sampling.lowest_per_group(_docs(spark, d).select("doc_id", "source"), ["source"], 7, "limit-1")
+
+
+@query
+def union_with_rates(spark, d):
+    docs = _docs(spark, d).select("doc_id", "source")
+    parts = {"news": (docs.filter("source = 'news'").drop("source"), 0.5), "forum": (docs.filter("source = 'forum'").drop("source"), 1.0)}
+    return sampling.union_of(parts, "union-1")
+
+
+@query
+def epoch_order(spark, d):
+    return _docs(spark, d).select("doc_id", sampling.epoch_rank(F.col("doc_id"), 3, 1).alias("rank_key"))
+
+
+@query
+def task_mixture(spark, d):
+    shares = {"lm": 0.65, "infill": 0.10, "pair": 0.10, "restore": 0.08, "switch": 0.07}
+    return sampling.assign_tasks(_docs(spark, d).select("doc_id"), shares, "tasks-1").groupBy("task").agg(F.count("*").alias("documents"))
+
+
+@query
+def encoding_rates(spark, d):
+    t = text_or_empty(F.col("text"))
+    return _docs(spark, d).select("doc_id", encoding.mojibake_chars(t).alias("mojibake_chars"), F.regexp_count(t, F.lit("\\x{FFFD}")).alias("replacement_chars"), F.regexp_count(t, F.lit(encoding.CONTROLS)).alias("control_chars"))
+
+
+@query
+def encoding_verdicts(spark, d):
+    return encoding.validate(_docs(spark, d).select("doc_id", "text")).select("doc_id", "enc.verdict", "enc.chars", "enc.passes")
+
+
+@query
+def encoding_log(spark, d):
+    return encoding.log(encoding.validate(_docs(spark, d).select("doc_id", "text")))
+
+
+@query
+def script_counts(spark, d):
+    return _docs(spark, d).select("doc_id", scripts.script_counts(F.col("text")).alias("s")).select("doc_id", "s.*")
+
+
+@query
+def language_scores(spark, d):
+    found = scripts.with_evidence(_docs(spark, d).select("doc_id", "text"))
+    return found.select("doc_id", *(F.round(f"scores.{c}", 9).alias(c) for c in ("urdu", "persian", "arabic", "roman_urdu", "english", "lowercase")))
+
+
+@query
+def language_labels(spark, d):
+    return scripts.classify(_docs(spark, d).select("doc_id", "text")).select("doc_id", "label")
+
+
+@query
+def language_confusion(spark, d):
+    return analytics.confusion(scripts.classify(_docs(spark, d).select("doc_id", "text", "lang")), "lang", "label")
+
+
+@query
+def normalize_text(spark, d):
+    return normalize.normalize(_docs(spark, d).select("doc_id", "text")).select("doc_id", F.md5("norm.text").alias("text_md5"), "norm.chars_in", "norm.chars_out")
+
+
+@query
+def normalize_log(spark, d):
+    return normalize.log(normalize.normalize(_docs(spark, d).select("doc_id", "text")))
+
+
+def _measured(spark, d):
+    return quality.measure(_docs(spark, d), Quality())
+
+
+@query
+def quality_metrics(spark, d):
+    m = _measured(spark, d)
+    return m.select(*(F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes))
+
+
+@query
+def quality_verdicts(spark, d):
+    return quality.score(_measured(spark, d)).select("doc_id", F.array_join("reasons", ",").alias("reasons"), "kept")
+
+
+@query
+def quality_family_counts(spark, d):
+    return quality.family_counts(quality.score(_measured(spark, d)))
+
+
+@query
+def quality_sentence_variant(spark, d):
+    config = Quality.for_sentences()
+    return quality.score(quality.measure(_docs(spark, d), config), config).groupBy("kept").agg(F.count("*").alias("documents"))
+
+
+@query
+def quality_percentiles(spark, d):
+    return quality.percentiles(_measured(spark, d), ["chars", "words", "dup_line_ratio", "top_3gram"]).withColumn("value", F.round("value", 9))
+
+
+@query
+def quality_agreement(spark, d):
+    rows = table(spark, d, "quality_validation").select("record_id", "filter_verdict", "human_verdict").distinct()
+    return analytics.agreement(rows, "filter_verdict", "human_verdict")
+
+
+@query
+def pii_emails(spark, d):
+    return _docs(spark, d).select("doc_id", F.size(pii.emails(F.col("text"))).alias("n"), F.md5(pii.redact_emails(F.col("text"))).alias("text_md5"))
+
+
+@query
+def pii_shapes(spark, d):
+    return pii.email_shapes(table(spark, d, "pii_results").select("result_id", "text").distinct())
+
+
+@query
+def pii_redact(spark, d):
+    return pii.redact(table(spark, d, "pii_results"), "result_id").distinct()
+
+
+@query
+def shingle_counts(spark, d):
+    hs = spread(_docs(spark, d).select("doc_id", "text")).select("doc_id", F.transform(shingles(F.col("text")), h60).alias("hs"))
+    total = F.aggregate("hs", F.lit(0).cast("decimal(38,0)"), lambda a, x: a + x.cast("decimal(38,0)"))
+    return hs.select("doc_id", F.size("hs").alias("n_shingles"), F.pmod(total, F.lit(1_000_000_007).cast("decimal(38,0)")).cast("bigint").alias("checksum"))
+
+
+@query
+def minhash_sketches(spark, d):
+    return neardup.sketched(_docs(spark, d)).select(F.col("id").alias("doc_id"), "n_shingles", F.md5(F.array_join(F.col("bins").cast("array<string>"), ",")).alias("bins_md5"))
+
+
+def _near(spark, d):
+    sketches = cut(neardup.sketched(_docs(spark, d)))
+    return sketches, cut(neardup.pairs(sketches))
+
+
+@query
+def minhash_pairs(spark, d):
+    return _near(spark, d)[1]
+
+
+@query
+def near_dup_histogram(spark, d):
+    return neardup.similarity_histogram(_near(spark, d)[1])
+
+
+@query
+def near_dup_verdicts(spark, d):
+    return neardup.verdicts(_docs(spark, d))
+
+
+@query
+def near_dup_sweep(spark, d):
+    return neardup.sweep(_docs(spark, d), (0.5, 0.6, 0.7, 0.8, 0.9))
+
+
+@query
+def decontaminate_containments(spark, d):
+    return decontaminate.containments(_docs(spark, d), _items(spark, d), EvalSet("all", retain=0.2)).select("doc_id", "item_id", "shared", F.round("containment", 9).alias("containment"), F.round("jaccard", 9).alias("jaccard"))
+
+
+@query
+def decontaminate_exact_lines(spark, d):
+    return decontaminate.exact_lines(_docs(spark, d), _items(spark, d))
+
+
+@query
+def decontaminate_verdicts(spark, d):
+    return decontaminate.verdicts(decontaminate.hits(_docs(spark, d), _items(spark, d))).withColumn("containment", F.round("containment", 9))
+
+
+@query
+def decontaminate_coverage(spark, d):
+    sets = table(spark, d, "eval_items").select("item_id", "eval_set")
+    return decontaminate.coverage(decontaminate.hits(_docs(spark, d), _items(spark, d)), _items(spark, d), sets)
+
+
+@query
+def decontaminate_sweep(spark, d):
+    return decontaminate.sweep(decontaminate.hits(_docs(spark, d), _items(spark, d)), (0.5, 0.7, 0.8, 0.9))
+
+
+def _population(spark, d):
+    return _docs(spark, d).select("doc_id", F.col("lang").alias("population"), F.col("n_chars").alias("chars"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n_tokens"))
+
+
+def _assigned(spark, d):
+    docs = _population(spark, d)
+    return splits.assign(docs, splits.bands(splits.histogram(docs, SPLITS), SPLITS), SPLITS)
+
+
+@query
+def split_histogram(spark, d):
+    return splits.histogram(_population(spark, d), SPLITS)
+
+
+@query
+def split_bands(spark, d):
+    return splits.bands(splits.histogram(_population(spark, d), SPLITS), SPLITS)
+
+
+@query
+def split_assignment(spark, d):
+    return _assigned(spark, d).select("doc_id", "bucket", "split_name", F.array_join("arms", ",").alias("arms"))
+
+
+@query
+def split_summary(spark, d):
+    return splits.summary(_assigned(spark, d))
+
+
+@query
+def pack_streams(spark, d):
+    return packing.stream_report(packing.placed(packing.streams(_assigned(spark, d))))
+
+
+@query
+def pack_sequences(spark, d):
+    return packing.sequences(packing.placed(packing.streams(_assigned(spark, d))))
+
+
+@query
+def pack_verify(spark, d):
+    text = packing.byte_ids(_docs(spark, d))
+    at = packing.placed(packing.streams(_assigned(spark, d)))
+    return packing.verify(packing.pack_ids(at.join(text, "doc_id"), "ids", Packing()))
+
+
+@query
+def exclusions_apply(spark, d):
+    lost = dedup.verdicts(_docs(spark, d)).filter(~F.col("kept")).select(F.col("doc_id").cast("string").alias("doc_id"))
+    return exclusions.apply(_docs(spark, d), lost).select("doc_id")
+
+
+@query
+def exclusions_report(spark, d):
+    removed = dedup.verdicts(_docs(spark, d)).filter(~F.col("kept")).select(F.col("doc_id").cast("string").alias("doc_id"))
+    gone = table(spark, d, "eval_items").select(F.col("item_id").alias("doc_id"))
+    return exclusions.report(_docs(spark, d), exclusions.union(removed, gone))
+
+
+@query
+def domain_rates(spark, d):
+    docs = _docs(spark, d)
+    return analytics.domain_rates(docs, readers.host(F.col("url")), F.regexp_count(text_or_empty(F.col("text")), F.lit("[يك]")), 5, 2000).withColumn("per_kchar", F.round("per_kchar", 9))
+
+
+@query
+def lexicon_counts(spark, d):
+    return generation.lexicon(_docs(spark, d))
+
+
+@query
+def lexicon_unknown_rate(spark, d):
+    made = table(spark, d, "demo_pairs").select("idx", "ar_text").distinct()
+    return generation.unknown_rate(made, generation.lexicon(_docs(spark, d)), "idx", "ar_text")
+
+
+@query
+def generation_statistics(spark, d):
+    rows = table(spark, d, "demo_pairs").select("idx", "ar_text").distinct()
+    found = generation.statistics(spread(rows), "idx", "ar_text")
+    return found.select("idx", "n_words", *(F.round(c, 9).alias(c) for c in ("distinct_1", "distinct_2", "distinct_3", "distinct_4", "repetition")))
+
+
+@query
+def prefix_echo(spark, d):
+    rows = table(spark, d, "demo_pairs").select("idx", "prefix", "diff_text").distinct()
+    return generation.prefix_echo(rows, "idx", "prefix", "diff_text", 2).withColumn("echo", F.round("echo", 9))
+
+
+@query
+def longest_repeated_run(spark, d):
+    return generation.longest_repeated_run(table(spark, d, "demo_pairs").select("idx", "ar_text").distinct(), "idx", "ar_text")
+
+
+@query
+def cooccurrence(spark, d):
+    rows = table(spark, d, "demo_pairs").select("idx", "ar_text", "diff_text").distinct()
+    return analytics.cooccurrence(rows, "ar_text", "diff_text", 20).withColumn("p", F.round("p", 9))
+
+
+@query
+def ngram_overlap(spark, d):
+    made = table(spark, d, "demo_pairs").select("idx", "ar_text").distinct()
+    return analytics.ngram_overlap(made, _docs(spark, d), "idx", "ar_text", 5).withColumn("overlap", F.round("overlap", 9))
+
+
+@query
+def romanize(spark, d):
+    return corruption.corrupt(_docs(spark, d), "romanize")
+
+
+@query
+def corrupt_restore(spark, d):
+    return corruption.corrupt(_docs(spark, d), "restore", 5)
+
+
+@query
+def latest_assignment(spark, d):
+    rows = table(spark, d, "split_assignments").select("doc_id", "population", "split_name", "written_ts").distinct()
+    empty = rows.limit(0)
+    return analytics.upsert(rows, empty, ["doc_id"], "written_ts").select("doc_id", "population", "split_name")
+
+
+@query
+def fetch_plan(spark, d):
+    files = table(spark, d, "mix_targets").select(F.col("source").alias("path"), F.col("max_repeats").alias("rank"), (F.col("target_share") * 1000).cast("bigint").alias("size"))
+    return analytics.fetch_plan(files, 600).select("path", "upto")
+
+
+@query
+def tokenizer_sample(spark, d):
+    return analytics.budget_prefix(_population(spark, d), "population", "chars", 0.1, F.md5(F.concat(F.lit("tokenizer-1|"), F.col("doc_id").cast("string")))).select("doc_id", "population")
+
+
+@query
+def curation_pipeline(spark, d):
+    return pipeline.curate(_docs(spark, d), _items(spark, d), Quality(min_chars=100, min_words=10))
+
+
+@query
+def near_dup_config(spark, d):
+    c = NearDup()
+    return spark.createDataFrame([(s / 10, float(c.candidate_probability(s / 10))) for s in range(1, 11)], "similarity double, probability double").withColumn("probability", F.round("probability", 9))
