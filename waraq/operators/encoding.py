@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waraq.config import Encoding
 from waraq.functions.text import let, matched_chars, rate, text_or_empty
+from waraq.session import spread
 
 #: Control characters other than tab, line feed, carriage return, vertical tab and form feed.
 CONTROLS = r"[\x00-\x08\x0E-\x1F\x7F-\x{9F}]"
@@ -102,7 +103,7 @@ def validate(docs: DataFrame, config: Encoding = Encoding(), text_col: str = "te
     Verdicts in order: mojibake, replacement_heavy, control_heavy, repaired, ok; all rates are measured
     after repair and before controls are removed.
     """
-    return docs.withColumn("enc", let(repair(F.col(text_col), config.max_repair_passes), lambda s: _judged(s, config)))
+    return spread(docs).withColumn("enc", let(repair(F.col(text_col), config.max_repair_passes), lambda s: _judged(s, config)))
 
 
 def log(validated: DataFrame, text_col: str = "text") -> DataFrame:

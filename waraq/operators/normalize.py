@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waraq.functions.text import text_or_empty
+from waraq.session import spread
 
 # Letters and the Urdu letter each folds to.
 FOLDS = {
@@ -82,7 +83,7 @@ def normalized(text: Column) -> Column:
 
 def normalize(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds norm: struct(text, chars_in, chars_out, rules)."""
-    staged = docs.withColumn("_x", expand_presentation_forms(text_or_empty(F.col(text_col))))
+    staged = spread(docs).withColumn("_x", expand_presentation_forms(text_or_empty(F.col(text_col))))
     staged = staged.withColumn("_f", _folded(F.col("_x")))
     out = collapse(F.col("_f"))
     return staged.withColumn("norm", F.struct(out.alias("text"), F.length(text_or_empty(F.col(text_col))).alias("chars_in"), F.length(out).alias("chars_out"), rule_counts(F.col("_x")).alias("rules"))).drop("_x", "_f")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waraq.config import Language
-from waraq.functions.text import rate, text_or_empty
+from waraq.functions.text import let, rate, text_or_empty
+from waraq.session import spread
 
 # Script ranges.
 ARABIC = r"\x{600}-\x{6FF}\x{750}-\x{77F}\x{870}-\x{89F}\x{8A0}-\x{8FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}"
@@ -82,34 +85,44 @@ def script_counts(text: Column) -> Column:
     return F.struct(arabic.alias("arabic"), latin.alias("latin"), devanagari.alias("devanagari"), (letters - arabic - latin - devanagari + beyond).alias("other"), (letters + beyond).alias("letters"))
 
 
-def _share(words: Column, listed: tuple) -> Column:
-    wanted = F.array(*(F.lit(w) for w in listed))
-    return rate(F.size(F.filter(words, lambda w: F.array_contains(wanted, w))), F.size(words))
+_ARABIC_WORD = re.compile("[\u0600-\u06ff\u0750-\u077f\u08a0-\u08ff]+")
+_LATIN_WORD = re.compile("[A-Za-z][A-Za-z']*")
+SCORES = ("urdu", "persian", "arabic", "roman_urdu", "english", "lowercase")
 
 
-def _count_of(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _scorer(profile: Profile, config: Language):
+    """An Arrow UDF from text and letters to the scores: set look-ups per word, which no built-in expression does."""
+    urdu, persian, arabic = (frozenset(x) for x in (profile.urdu, profile.persian, profile.arabic))
+    roman, english = frozenset(profile.only("roman_urdu", "english")), frozenset(profile.only("english", "roman_urdu"))
+
+    def one(text: str, letters: int) -> tuple:
+        words, n = _ARABIC_WORD.findall(text), max(letters, 1)
+        out = [0.0] * 6
+        if words:
+            k = len(words)
+            out[0] = sum(w in urdu for w in words) / k + config.urdu_letter_weight * sum(map(text.count, URDU_LETTERS)) / n
+            out[1] = sum(w in persian for w in words) / k
+            out[2] = sum(w in arabic for w in words) / k + config.arabic_letter_weight * sum(map(text.count, ARABIC_LETTERS)) / n
+        words = _LATIN_WORD.findall(text)
+        if words:
+            k, low = len(words), [w.lower() for w in words]
+            out[3] = sum(w in roman for w in low) / k
+            out[4] = sum(w in english for w in low) / k
+            out[5] = sum(len(w) > 1 and w == x for w, x in zip(words, low)) / k
+        return tuple(out)
+
+    @F.pandas_udf(", ".join(f"{s} double" for s in SCORES))
+    def scores(text: pd.Series, letters: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(t, int(n)) for t, n in zip(text, letters)], columns=list(SCORES))
+
+    return scores
 
 
 def with_evidence(docs: DataFrame, profile: Profile = URDU_PROFILE, config: Language = Language(), text_col: str = "text", prefix: str = "") -> DataFrame:
     """Adds scripts (letters by script) and scores (urdu, persian, arabic, roman_urdu, english, lowercase)."""
     t = text_or_empty(F.col(text_col))
-    staged = (
-        docs.withColumn(f"{prefix}scripts", script_counts(t))
-        .withColumn("_aw", F.regexp_extract_all(t, F.lit(r"([\x{600}-\x{6FF}\x{750}-\x{77F}\x{8A0}-\x{8FF}]+)"), F.lit(1)))
-        .withColumn("_lw", F.regexp_extract_all(t, F.lit("([A-Za-z][A-Za-z']*)"), F.lit(1)))
-    )
-    low = F.transform("_lw", lambda w: F.lower(w))
-    n = F.col(f"{prefix}scripts.letters")
-    scores = F.struct(
-        F.when(F.size("_aw") > 0, _share(F.col("_aw"), profile.urdu) + config.urdu_letter_weight * rate(_count_of(t, URDU_LETTERS), n)).otherwise(0.0).alias("urdu"),
-        _share(F.col("_aw"), profile.persian).alias("persian"),
-        F.when(F.size("_aw") > 0, _share(F.col("_aw"), profile.arabic) + config.arabic_letter_weight * rate(_count_of(t, ARABIC_LETTERS), n)).otherwise(0.0).alias("arabic"),
-        _share(low, profile.only("roman_urdu", "english")).alias("roman_urdu"),
-        _share(low, profile.only("english", "roman_urdu")).alias("english"),
-        rate(F.size(F.filter("_lw", lambda w: (F.length(w) > 1) & (w == F.lower(w)))), F.size("_lw")).alias("lowercase"),
-    )
-    return staged.withColumn(f"{prefix}scores", scores).drop("_aw", "_lw")
+    staged = docs.withColumn(f"{prefix}scripts", script_counts(t))
+    return staged.withColumn(f"{prefix}scores", _scorer(profile, config)(t, F.col(f"{prefix}scripts.letters")))
 
 
 def _best(*named: tuple[str, Column]) -> tuple[Column, Column, Column]:
@@ -139,10 +152,11 @@ def classify(docs: DataFrame, profile: Profile = URDU_PROFILE, config: Language
 
     Only mixed documents have their sentences exploded and regrouped; all others stay in place.
     """
-    found = with_evidence(docs, profile, config, text_col).withColumn("_label", span_label("", config))
-    top = F.greatest(*(rate(F.col("scripts")[s], F.col("scripts.letters")) for s in SCRIPTS))
-    mixed = (F.col("scripts.letters") >= config.min_letters) & (1 - top >= config.mixed_min_ratio)
-    parts = found.filter(mixed).select(id_col, F.posexplode(F.split(text_or_empty(F.col(text_col)), "[۔؟?!.]+[\\s\\x{200F}\\x{200E}]*|\n+")).alias("pos", "sentence"))
+    found = with_evidence(spread(docs), profile, config, text_col).withColumn("_label", span_label("", config))
+    # one expression over one evaluation of the counts: a filter on their columns would repeat them for each reference
+    top = lambda c: F.greatest(*(rate(c[s], c["letters"]) for s in SCRIPTS))
+    mixed = let(script_counts(F.col(text_col)), lambda c: (c["letters"] >= config.min_letters) & (1 - top(c) >= config.mixed_min_ratio))
+    parts = spread(docs.select(id_col, text_col)).filter(mixed).select(id_col, F.posexplode(F.split(text_or_empty(F.col(text_col)), "[۔؟?!.]+[\\s\\x{200F}\\x{200E}]*|\n+")).alias("pos", "sentence"))
     parts = with_evidence(parts, profile, config, "sentence").filter(F.col("scripts.letters") >= config.sentence_min_letters)
     parts = parts.select(id_col, span_label("", config).alias("l"), F.col("scripts.letters").alias("n"))
     sums = parts.groupBy(id_col, "l").agg(F.sum("n").alias("n")).groupBy(id_col).agg(F.sum("n").alias("t"), F.map_from_entries(F.collect_list(F.struct("l", "n"))).alias("by"))
