@@ -40,7 +40,10 @@ def spread(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     cores = max(spark.sparkContext.defaultParallelism, 2)
-    if df._jdf.queryExecution().toRdd().getNumPartitions() >= 2 * cores:
+    # the planner's estimate: asking the physical plan for its partitions would run its shuffles
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if size >= 2 * cores * split:
         return df
     return df.repartition(3 * cores)
 
