@@ -2,10 +2,10 @@
 
 A text is either a list of named fields (a JSON object or name and value pairs) or prose. Each
 normalized (name, value) pair is hashed and the hashes are added up, so the order of fields does not
-matter and nothing is sorted; prose is one unnamed field. Rows are grouped by the 128 bits of two such
-sums; a salted two-level pass compares every row's fields with its group's representative, so that a
-group of any size never meets in one task, and rows that differ in spite of equal sums are regrouped
-by the fields themselves.
+matter and nothing is sorted; prose is one unnamed field. Rows are grouped by 124 bits of two such sums;
+a salted join compares every row's fields with those of its group's smallest row, so that a group of any
+size never meets in one task, and rows that differ in spite of equal sums are regrouped by the fields
+themselves.
 
 Two relations make copies: equal letters and digits in the same order, and equal multisets of named
 fields. A field list also has a letter key; groups joined by either relation are merged by repeated
@@ -49,39 +49,44 @@ def with_fields(df: DataFrame, text: str) -> DataFrame:
 def multiset_hash(fields: Column, seed: int) -> Column:
     """Sum modulo 2^64 of the pairs' hashes: the same for every order of the fields."""
     total = F.aggregate(fields, F.lit(0).cast("decimal(38,0)"), lambda a, f: a + F.xxhash64(F.lit(seed), f["name"], f["value"]).cast("decimal(38,0)"))
-    return total.cast("string")
+    return F.hex(F.pmod(total, F.lit(1 << 62).cast("decimal(38,0)")).cast("bigint"))
 
 
-def _verified(keyed: DataFrame, fields: Column) -> DataFrame:
-    """(row_id, key) with keys split where fields differ from the key's smallest row, in two salted levels.
+def _keyed(df: DataFrame, row_id: str, text: str) -> DataFrame:
+    """(row_id, key, payload): a row for the letters of a text and one for its fields, if it is a list of some."""
+    source = spread(df.select(F.col(row_id).alias("row_id"), F.col(text).alias("text")).filter(F.col(text).isNotNull()))
+    parsed = with_fields(source, "text").filter(F.length("letters") > 0)
+    single = F.array(F.struct(F.lit("").alias("name"), F.col("letters").alias("value")))
+    part = lambda kind, fields: F.struct(F.lit(kind).alias("kind"), fields.alias("fields"))
+    long = parsed.select("row_id", F.explode(F.array_compact(F.array(part("t", single), F.when(F.col("fields").isNotNull(), part("f", F.col("fields")))))).alias("p"))
+    key = F.concat(F.col("p.kind"), multiset_hash(F.col("p.fields"), 11), F.lit("."), multiset_hash(F.col("p.fields"), 29))
+    return long.select("row_id", key.alias("key"), F.transform("p.fields", lambda f: F.concat(f["name"], F.lit("\x01"), f["value"])).alias("payload"))
+
 
-    Level one compares rows with the smallest row of their (key, salt), level two these (at most SALTS
-    a key) with the smallest of the key. Both levels are aggregations with map-side combining and joins
-    on (key, salt); equality of field lists is membership both ways and equal size, without sorting.
+def _verified(keyed: DataFrame) -> DataFrame:
+    """(row_id, key) with keys split where a row's fields differ from those of the key's smallest row.
+
+    Groups are counted on ids and keys alone. Only rows of groups of two and more bring their fields, and
+    the smallest row's fields go to as many (key, salt) places as the group has, so that a group of any
+    size is spread. Equality of field lists is membership both ways and equal size, without sorting.
     """
-    salted = keyed.withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)))
-    first = salted.groupBy("key", "_salt").agg(F.min_by(F.struct("row_id", "payload"), "row_id").alias("first"))
-    lead = first.groupBy("key").agg(F.min_by("first", F.col("first.row_id")).alias("lead"), F.collect_list(F.struct("_salt", "first")).alias("firsts"))
-    # the key's leader beside each of its (at most SALTS) local leaders
-    local = lead.select("key", "lead", F.explode("firsts").alias("f")).select("key", F.col("f._salt").alias("_salt"), F.col("f.first.payload").alias("local"), F.col("lead.payload").alias("whole"))
-    joined = salted.join(local, ["key", "_salt"])
+    ids = cut(keyed.select("row_id", "key").distinct().withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS))))
+    groups = ids.groupBy("key").agg(F.min("row_id").alias("rep"), F.count("*").alias("n"), F.collect_set("salt").alias("salts")).filter(F.col("n") > 1)
+    places = groups.select("key", "rep", F.explode("salts").alias("salt"))
+    several = cut(ids.join(places, ["key", "salt"]).select("row_id", "key", "salt", "rep"))
+    held = keyed.join(several, ["row_id", "key"]).dropDuplicates(["row_id", "key"])
+    leads = held.filter(F.col("row_id") == F.col("rep")).select("key", F.col("payload").alias("lead")).join(places.select("key", "salt"), "key")
     same = lambda a, b: (F.size(a) == F.size(b)) & F.forall(a, lambda x: F.array_contains(b, x)) & F.forall(b, lambda x: F.array_contains(a, x))
-    ok = same(F.col("payload"), F.col("local")) & same(F.col("local"), F.col("whole"))
-    return joined.select("row_id", F.when(ok, F.col("key")).otherwise(F.concat(F.col("key"), F.lit("/"), F.sha2(F.array_join(F.transform(F.col("payload"), lambda p: F.sha2(p, 256)), ""), 256))).alias("key"))
+    other = F.sha2(F.array_join(F.array_sort(F.transform("payload", lambda p: F.sha2(p, 256))), ""), 256)
+    split = held.join(leads, ["key", "salt"]).filter(~same(F.col("payload"), F.col("lead"))).select("row_id", "key", F.concat(F.col("key"), F.lit("/"), other).alias("own"))
+    return ids.select("row_id", "key").join(split, ["row_id", "key"], "left").select("row_id", F.coalesce("own", "key").alias("key"))
 
 
 def copy_sets(df: DataFrame, row_id: str, text: str) -> DataFrame:
     """(row_id, keep_id, size): the set of each row with text, its smallest row_id and its size."""
-    source = spread(df.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"))).filter(F.col("text").isNotNull()).distinct()
-    parsed = with_fields(source, "text").filter(F.length("letters") > 0).drop("text")
-    single = F.array(F.struct(F.lit("").alias("name"), F.col("letters").alias("value")))
-    fingerprint = lambda prefix, fields: F.concat(F.lit(prefix), multiset_hash(fields, 11), F.lit("."), multiset_hash(fields, 29))
-    flat = lambda fields: F.transform(fields, lambda f: F.concat(f["name"], F.lit("\x01"), f["value"]))
-    by_letters = parsed.select("row_id", fingerprint("t", single).alias("key"), flat(single).alias("payload"))
-    by_fields = parsed.filter(F.col("fields").isNotNull()).select("row_id", fingerprint("f", F.col("fields")).alias("key"), flat(F.col("fields")).alias("payload"))
-    letters = _verified(by_letters, F.col("payload")).withColumnRenamed("key", "lkey")
-    fields = _verified(by_fields, F.col("payload")).withColumnRenamed("key", "fkey")
-    rows = cut(letters.join(fields, "row_id", "left"))
+    named = _verified(_keyed(df, row_id, text))
+    of = lambda kind: F.min(F.when(F.col("key").startswith(kind), F.col("key")))
+    rows = cut(named.groupBy("row_id").agg(of("t").alias("lkey"), of("f").alias("fkey")))
     # merge: a field list links its letter key with its field key; prose that shares the letter key follows
     links = rows.filter(F.col("fkey").isNotNull()).select("lkey", "fkey").distinct()
     links = cut(links.withColumn("label", F.col("fkey")))
@@ -93,8 +98,8 @@ def copy_sets(df: DataFrame, row_id: str, text: str) -> DataFrame:
         links = new.drop("old")
         if not moved:
             break
-    named = links.groupBy("lkey").agg(F.min("label").alias("label"))
-    labelled = rows.join(named, "lkey", "left").select("row_id", F.coalesce("label", "lkey").alias("set_key"))
+    roots = links.groupBy("lkey").agg(F.min("label").alias("label"))
+    labelled = rows.join(roots, "lkey", "left").select("row_id", F.coalesce("label", "lkey").alias("set_key"))
     sizes = labelled.groupBy("set_key").agg(F.min("row_id").alias("keep_id"), F.count("*").alias("size")).filter(F.col("size") > 1)
     spreadout = sizes.withColumn("_salt", F.explode(F.array(*(F.lit(i).cast("bigint") for i in range(SALTS)))))
     salted = labelled.withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)))
