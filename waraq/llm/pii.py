@@ -213,8 +213,8 @@ def scan(df: DataFrame, key: str, text: str, known_names: DataFrame) -> DataFram
             rows = [[{"category": f.category, "span_start": f.start, "span_end": f.end, "shape": shape(t[f.start : f.end]), "entity": f.entity, "gender": f.gender} for f in find(t, names)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, _MATCH_TYPE)], [key, "text", "matches"])
 
-    source = df.select(key, F.col(text).alias("text")).filter(F.length("text") > 0).distinct()
-    return spread(source).mapInArrow(run, f"{key} {kind}, text string, matches {_MATCH}")
+    source = spread(df.select(key, F.col(text).alias("text")).filter(F.length("text") > 0))
+    return source.mapInArrow(run, f"{key} {kind}, text string, matches {_MATCH}").distinct()
 
 
 def items(scanned: DataFrame, key: str) -> DataFrame:
