@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waraq.llm.words import WORD
+from waraq.llm.words import WORD, kept, new_name
 from waraq.session import spread
 
 SHINGLE = 8
@@ -128,8 +128,8 @@ def leaks(docs: DataFrame, doc_id: str, doc: str, items: DataFrame, item_id: str
         rows = pool if blocks == 1 else pool.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows.collect()])
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            sketch, memo = Sketch(shared.value, containment, miss), {}
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=new_name()) -> Iterator[pa.RecordBatch]:
+            sketch, memo = kept(name, lambda: Sketch(shared.value, containment, miss)), {}
             for b in batches:
                 out: list[tuple] = []
                 for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

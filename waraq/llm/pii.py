@@ -31,6 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waraq.llm.words import kept, new_name
 from waraq.session import cut, spread
 
 CATEGORIES = ("email", "identity_number", "phone", "street_address", "person_name")
@@ -104,7 +105,7 @@ class Names:
         self.grams = frozenset(grams)
         wanted = {e for (s, e), k in endings.items() if k >= max(3, 0.05 * count[s])}
         self.endings = tuple(sorted(wanted, key=lambda e: (-len(e), e)))
-        self.pool = sorted(self.forms)
+        self.given_pool, self.family_pool = sorted(set(self.given.values())), sorted(set(self.family.values()))
 
     def likely(self, word: str, least: float = 0.75) -> bool:
         """The word's letter sequences are those of names."""
@@ -204,11 +205,11 @@ _MATCH_TYPE = pa.list_(pa.struct([("category", pa.string()), ("span_start", pa.i
 
 def scan(df: DataFrame, key: str, text: str, known_names: DataFrame) -> DataFrame:
     """(key, text, matches) of each distinct row with text."""
-    shared = df.sparkSession.sparkContext.broadcast(_names_of(known_names))
+    shared, name = df.sparkSession.sparkContext.broadcast(_names_of(known_names)), new_name()
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Names(shared.value)
+        names = kept(name, lambda: Names(shared.value))
         for b in batches:
             rows = [[{"category": f.category, "span_start": f.start, "span_end": f.end, "shape": shape(t[f.start : f.end]), "entity": f.entity, "gender": f.gender} for f in find(t, names)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, _MATCH_TYPE)], [key, "text", "matches"])
@@ -253,8 +254,7 @@ def _like(word: str, model: str) -> str:
 
 def surrogate_name(entity: str, gender: str, attempt: int, secret: bytes, names: Names) -> tuple[str, str]:
     """(given, family) as keys of the pool; each further attempt lengthens the family name by a syllable."""
-    given = sorted(set(names.given.values()))
-    family = sorted(set(names.family.values()))
+    given, family = names.given_pool, names.family_pool
     half = [g for g in given if not gender or (_draw(b"gender", g) % 2 == 0) == (gender == "f")] or given
     g = half[_draw(secret, "given", entity, str(attempt)) % len(half)]
     f = family[_draw(secret, "family", entity, str(attempt)) % len(family)]
@@ -268,11 +268,11 @@ def _resolve(scanned: DataFrame, secret: bytes, names_rows: list, rounds: int =
     keeps it. Draws are keyed, so the same corpus always gets the same surrogates.
     """
     entities = scanned.select(F.explode("matches").alias("m")).filter(F.col("m.category").isin("person_name", "email")).groupBy("m.category", "m.entity").agg(F.max("m.gender").alias("gender"))
-    shared = scanned.sparkSession.sparkContext.broadcast(names_rows)
+    shared, name = scanned.sparkSession.sparkContext.broadcast(names_rows), new_name()
 
     def draws(attempt: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = Names(shared.value)
+            names = kept(name, lambda: Names(shared.value))
             for b in batches:
                 c, e, g = (b.column(i).to_pylist() for i in range(3))
                 tickets = []
@@ -305,11 +305,11 @@ def replaced(scanned: DataFrame, key: str, known_names: DataFrame, secret: bytes
     wanted = scanned.select(key, F.xxhash64("text").alias("t"), F.explode("matches").alias("m")).select(key, "t", F.col("m.category").alias("category"), F.col("m.entity").alias("entity")).distinct()
     held = wanted.join(tickets, ["category", "entity"]).groupBy(key, "t").agg(F.collect_list(F.struct("category", "entity", "ticket")).alias("tickets"))
     joined = scanned.withColumn("t", F.xxhash64("text")).join(held, [key, "t"], "left").select(key, "text", "matches", "tickets")
-    shared = scanned.sparkSession.sparkContext.broadcast(rows)
+    shared, name = scanned.sparkSession.sparkContext.broadcast(rows), new_name()
     kind = scanned.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Names(shared.value)
+        names = kept(name, lambda: Names(shared.value))
         for b in batches:
             redacted, surrogate = [], []
             for text, matches, held in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
