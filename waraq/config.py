@@ -89,11 +89,17 @@ class EvalSet(Config):
 
     name: str
     shingle_size: int = 5
+    shingle_unit: str = "word"
     min_shingles: int = 8
     containment: float = 0.80
     retain: float = 0.50
     min_line_chars: int = 40
 
+    @classmethod
+    def for_sentences(cls, name: str) -> EvalSet:
+        """Single sentences have too few word shingles to measure: characters, and stricter limits."""
+        return cls(name, shingle_unit="char", min_shingles=25, containment=0.90, retain=0.80)
+
 
 @dataclass(frozen=True)
 class Splits(Config):

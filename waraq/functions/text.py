@@ -55,8 +55,10 @@ def ngrams(words: Column, n: int) -> Column:
     return let(words, lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>")))
 
 
-def shingles(text: Column, size: int = 5) -> Column:
-    """Distinct word shingles of the canonical text."""
+def shingles(text: Column, size: int = 5, unit: str = "word") -> Column:
+    """Distinct shingles of the canonical text, of words or (for single sentences) of characters."""
+    if unit == "char":
+        return let(canonical(text), lambda t: F.array_distinct(F.when(F.length(t) >= size, F.transform(F.sequence(F.lit(1), F.length(t) - (size - 1)), lambda i: F.substring(t, i, size))).otherwise(F.array().cast("array<string>"))))
     return F.array_distinct(ngrams(F.filter(F.split(canonical(text), " "), lambda w: w != ""), size))
 
 

@@ -101,3 +101,9 @@ def strip_lines(docs: DataFrame, min_chars: int = 60, id_col: str = "doc_id", te
     joined = docs.select(id_col, text_col).join(drop, id_col, "left").withColumn("_kept", kept)
     empty = ~F.exists("_kept", lambda x: stripped(x) != "")
     return joined.select(id_col, F.when(empty, text_or_empty(F.col(text_col))).otherwise(F.array_join("_kept", "\n")).alias("text"), F.when(empty, F.lit(0)).otherwise(F.size(raw) - F.size("_kept")).alias("removed_lines"))
+
+
+def variants(docs: DataFrame, other_text: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(variant, distinct_documents): how many contents there are under each of two forms of the texts."""
+    both = docs.select(F.explode(F.array(F.struct(F.lit(text_col).alias("variant"), key("dedup/c", canonical(F.col(text_col))).alias("h")), F.struct(F.lit(other_text).alias("variant"), key("dedup/c", canonical(F.col(other_text))).alias("h")))).alias("x")).select("x.*")
+    return both.distinct().groupBy("variant").agg(F.count("*").alias("distinct_documents"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from waraq.config import NearDup
 from waraq.functions.text import h60, key, shingles
 from waraq.operators.components import connected_components
+from waraq.operators.sampling import lowest_per_group
 from waraq.session import cut, spread
 
 SALTS = 16
@@ -118,3 +119,40 @@ def sweep(docs: DataFrame, thresholds: tuple, config: NearDup = NearDup(), id_co
 def similarity_histogram(retained: DataFrame) -> DataFrame:
     """(band, pairs): twentieths, the last one closed."""
     return retained.groupBy(F.least(F.floor(F.col("similarity") * 20 + 1e-9), F.lit(19)).cast("int").alias("band")).agg(F.count("*").alias("pairs"))
+
+
+def exact_jaccard(docs: DataFrame, named: DataFrame, size: int = 5, unit: str = "word", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, b, jaccard, containment) of named pairs of ids from their shingles themselves; two empty sets are equal.
+
+    containment is the share of the smaller set in the larger.
+    """
+    wanted = named.select(F.col("a").alias("id")).unionByName(named.select(F.col("b").alias("id"))).distinct()
+    held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi").select("id", F.transform(shingles(F.col("text"), size, unit), h60).alias("hs"))
+    j = named.select("a", "b").join(held.withColumnsRenamed({"id": "a", "hs": "x"}), "a").join(held.withColumnsRenamed({"id": "b", "hs": "y"}), "b")
+    j = j.withColumn("n", F.size(F.array_intersect("x", "y")))
+    union, least = F.size("x") + F.size("y") - F.col("n"), F.least(F.size("x"), F.size("y"))
+    return j.select("a", "b", F.when(union > 0, F.col("n") / union).otherwise(1.0).alias("jaccard"), F.when(least > 0, F.col("n") / least).otherwise(1.0).alias("containment"))
+
+
+def named_pairs(sketches: DataFrame, retained: DataFrame) -> DataFrame:
+    """(a, b, similarity) by ids instead of keys, a the smaller id."""
+    ids = sketches.select("id", "doc_key")
+    j = retained.join(ids.withColumnsRenamed({"id": "x", "doc_key": "a"}), "a").join(ids.withColumnsRenamed({"id": "y", "doc_key": "b"}), "b")
+    return j.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+
+
+def pair_examples(retained: DataFrame, per_band: int = 12) -> DataFrame:
+    """A few pairs of each band of similarity, those with the lowest digest: a report."""
+    return lowest_per_group(retained.withColumn("band", F.least(F.floor(F.col("similarity") * 20 + 1e-9), F.lit(19)).cast("int")).withColumn("pair", F.concat_ws("|", "a", "b")), ["band"], per_band, "examples", "pair").drop("pair")
+
+
+def cross_source(found: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source_a, source_b, clusters) of clusters that span sources. sources: (id, source)."""
+    sets = found.filter(F.col("size") > 1).join(sources, "id").groupBy("cluster").agg(F.array_sort(F.collect_set(F.coalesce("source", F.lit("")))).alias("s")).filter(F.size("s") > 1)
+    first = sets.select("s", F.explode("s").alias("source_a"))
+    return first.select("source_a", F.explode(F.filter("s", lambda x: x > F.col("source_a"))).alias("source_b")).groupBy("source_a", "source_b").agg(F.count("*").alias("clusters"))
+
+
+def without(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Documents that an earlier stage didn't remove: the same as if these had never been indexed."""
+    return docs.join(removed.select(id_col).distinct(), id_col, "left_anti")

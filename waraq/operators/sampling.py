@@ -53,3 +53,25 @@ def apportion(n: int, shares: dict[str, float], offset: float = 0.5) -> dict[str
         before, at = at, at + n * share / total
         got[name] = int(at + offset + 1e-9) - int(before + offset + 1e-9)
     return got
+
+
+def validation_sample(scored: DataFrame, uniform: int, rejected: int, salt: str, id_col: str = "doc_id") -> DataFrame:
+    """(id, stratum, family) for review: a uniform stratum, and one of rejected rows that begins with the rarest family.
+
+    A rejected row counts for its rarest family; each family gives the rows with the lowest hash, up to an
+    even share of the stratum.
+    """
+    every = lowest_per_group(scored.select(id_col, F.lit("uniform").alias("stratum"), F.lit("").alias("family")), ["stratum"], uniform, salt, id_col)
+    fired = scored.filter(F.size("families") > 0).select(id_col, F.explode("families").alias("family"))
+    counts = fired.groupBy("family").agg(F.count("*").alias("n"))
+    mine = fired.join(F.broadcast(counts), "family").groupBy(id_col).agg(F.min(F.struct("n", "family"))["family"].alias("family"))
+    share = -(-rejected // max(1, counts.count()))
+    bad = lowest_per_group(mine, ["family"], share, salt, id_col).select(id_col, F.lit("rejected").alias("stratum"), "family")
+    return every.select(id_col, "stratum", "family").unionByName(bad)
+
+
+def rebalance(wanted: dict[str, float], reached: dict[str, float]) -> dict[str, float]:
+    """Shares to ask for so that, with the losses seen so far, the wanted ones are reached; they sum to 1."""
+    need = {k: w * w / reached[k] if reached.get(k) else w for k, w in wanted.items()}
+    total = sum(need.values())
+    return {k: v / total for k, v in need.items()}

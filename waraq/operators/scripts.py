@@ -166,3 +166,15 @@ def classify(docs: DataFrame, profile: Profile = URDU_PROFILE, config: Language
     refined = sums.select(id_col, F.when((of("code_switched") >= config.code_switch_min_share) | ((of("urdu") >= config.alternation_min_share) & (partner >= config.alternation_min_share)), "code_switched").otherwise(best).alias("_refined"))
     joined = found.join(refined, id_col, "left")
     return joined.withColumn("label", F.when(F.col("scripts.letters") < config.min_letters, "empty").otherwise(F.coalesce("_refined", "_label"))).drop("_label", "_refined")
+
+
+def log(classified: DataFrame) -> DataFrame:
+    """(label, documents, letters): what each label holds."""
+    return classified.groupBy("label").agg(F.count("*").alias("documents"), F.sum("scripts.letters").cast("bigint").alias("letters"))
+
+
+KEPT = ("urdu", "roman_urdu", "code_switched")
+
+
+def kept(classified: DataFrame) -> DataFrame:
+    return classified.filter(F.col("label").isin(*KEPT))

@@ -239,3 +239,13 @@ ORACLES["latest_assignment"] = "select doc_id, population, split_name from (sele
 ORACLES["fetch_plan"] = "select path, upto from (select source path, sum((target_share * 1000)::bigint) over (order by max_repeats, source)::bigint upto from mix_targets) where upto <= 600"
 ORACLES["tokenizer_sample"] = "select doc_id, lang as population from (select *, coalesce(sum(n_chars) over (partition by lang order by md5('tokenizer-1|' || doc_id::varchar), doc_id rows between unbounded preceding and 1 preceding), 0) before, sum(n_chars) over (partition by lang) t from documents where lang is not null) where before < t * 0.1"
 ORACLES["near_dup_config"] = "select i / 10.0::double as similarity, round(1 - pow(1 - pow(i / 10.0::double, 4), 32), 9) as probability from range(1, 11) x(i)"
+
+ORACLES["exact_jaccard_pairs"] = f"with {_PAIRS}, nm as (select least(x.doc_id, y.doc_id) a, greatest(x.doc_id, y.doc_id) b from rt join ky x on x.k = rt.a join ky y on y.k = rt.b), ij as (select a, b, len(p.ss) m, len(q.ss) n, len(list_intersect(p.ss, q.ss)) i from nm join sh p on p.doc_id = a join sh q on q.doc_id = b) select a, b, round(i / (m + n - i)::double, 9) as jaccard, round(i / least(m, n)::double, 9) as containment from ij"
+ORACLES["near_dup_pair_examples"] = f"with {_PAIRS}, bn2 as (select *, least(floor(similarity * 20 + 1e-9), 19)::int band from rt) select a, b, similarity, band from (select *, row_number() over (partition by band order by md5('examples|' || a || '|' || b), a || '|' || b) r from bn2) where r <= 3"
+ORACLES["near_dup_cross_source"] = f"with recursive {_CLUSTERS.replace('similarity >= 0.8', 'similarity >= 0.5')}, cl as (select ky.doc_id, coalesce(rr.root, ky.k) c from ky left join rr on rr.node = ky.k), cs as (select distinct c, coalesce(source, '') s from cl join documents using (doc_id)) select p.s as source_a, q.s as source_b, count(*) as clusters from cs p join cs q on p.c = q.c and p.s < q.s group by 1, 2"
+ORACLES["char_shingle_counts"] = f"with c as (select item_id, {canon('text')} t from eval_items) select item_id, coalesce(len((select list(distinct substr(t, i::int, 5)) from (select unnest(range(1, length(t) - 3)) i))), 0)::int as n_shingles from c"
+ORACLES["decontaminate_histogram"] = f"with {_DECON} select case when shared >= m then '1.00' else printf('%.1f', floor(shared / m::double * 10 + 1e-9) / 10) end as band, count(*) as hits from ct group by 1"
+ORACLES["decontaminate_unmeasurable"] = f"select item_id, coalesce(len(ss), 0)::int as n_shingles from (select item_id, {shingle_list('text')} ss from eval_items) where coalesce(len(ss), 0) < 40"
+ORACLES["decontaminate_removals"] = f"with {_DECON}, {_EXACT} select distinct split_part(doc_id, '#', 1) as doc_id from (select doc_id from xd union select doc_id from xl union select doc_id from ct where shared / m::double >= 0.3)"
+ORACLES["byte_fertility"] = f"select source, count(*) as documents, sum(b)::bigint as tokens, round(coalesce(sum(c) / nullif(sum(b), 0)::double, 0.0), 9) as chars_per_token, round(coalesce(sum(b) / nullif(sum(b), 0)::double, 0.0), 9) as bytes_per_token, round(coalesce(sum(b) / nullif(sum(w), 0)::double, 0.0), 9) as tokens_per_word from (select source, strlen(coalesce(text, '')) b, length(coalesce(text, '')) c, len({_TOK.format(t='text')}) w from documents) group by 1"
+ORACLES["draw_summary"] = "select ar_forwards, count(*) as n, round(avg(ar_secs), 6) as mean, round(coalesce(stddev_samp(ar_secs), 0.0), 6) as sd, round(coalesce(stddev_samp(ar_secs), 0.0) / sqrt(count(*)), 6) as sem, round(min(ar_secs), 6) as least, round(max(ar_secs), 6) as most from (select distinct idx, ar_forwards, ar_secs from demo_pairs) where ar_secs is not null group by 1"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from waraq import oracles
 from waraq.config import EvalSet, NearDup, Packing, Quality, Splits
 from waraq.functions.text import h60, shingles, text_or_empty
-from waraq.operators import analytics, corruption, decontaminate, dedup, encoding, exclusions, generation, neardup, normalize, packing, pii, quality, sampling, scripts, splits
+from waraq.operators import analytics, corruption, decontaminate, dedup, encoding, exclusions, generation, neardup, normalize, packing, pii, quality, sampling, scripts, splits, tokenizers
 from waraq.plans import pipeline
 from waraq.session import cut, spread, table
 from waraq.sources import readers
@@ -402,3 +402,83 @@ def curation_pipeline(spark, d):
 def near_dup_config(spark, d):
     c = NearDup()
     return spark.createDataFrame([(s / 10, float(c.candidate_probability(s / 10))) for s in range(1, 11)], "similarity double, probability double").withColumn("probability", F.round("probability", 9))
+
+
+@query
+def exact_jaccard_pairs(spark, d):
+    sketches, retained = _near(spark, d)
+    found = neardup.exact_jaccard(_docs(spark, d), neardup.named_pairs(sketches, retained))
+    return found.select("a", "b", F.round("jaccard", 9).alias("jaccard"), F.round("containment", 9).alias("containment"))
+
+
+@query
+def near_dup_pair_examples(spark, d):
+    return neardup.pair_examples(_near(spark, d)[1], 3)
+
+
+@query
+def near_dup_cross_source(spark, d):
+    sketches, retained = _near(spark, d)
+    return neardup.cross_source(neardup.clusters(sketches, retained, 0.5), _docs(spark, d).select(F.col("doc_id").alias("id"), "source"))
+
+
+@query
+def char_shingle_counts(spark, d):
+    return table(spark, d, "eval_items").select("item_id", F.size(shingles(F.col("text"), 5, "char")).alias("n_shingles"))
+
+
+@query
+def decontaminate_histogram(spark, d):
+    return decontaminate.histogram(decontaminate.containments(_docs(spark, d), _items(spark, d), EvalSet("all", retain=0.0)))
+
+
+@query
+def decontaminate_unmeasurable(spark, d):
+    return decontaminate.unmeasurable(_items(spark, d), EvalSet("all", min_shingles=40))
+
+
+@query
+def decontaminate_removals(spark, d):
+    specs = [EvalSet(name, containment=0.3, retain=0.2) for name in ("reading-quiz", "parl-test-roman", "parl-test-urdu")]
+    found = decontaminate.hits_by_set(_docs(spark, d), table(spark, d, "eval_items"), specs)
+    return decontaminate.removals(found, specs)
+
+
+@query
+def dedup_variants(spark, d):
+    docs = normalize.normalize(_docs(spark, d).select("doc_id", "text")).select("doc_id", "text", F.col("norm.text").alias("normalized"))
+    return dedup.variants(docs, "normalized")
+
+
+@query
+def language_log(spark, d):
+    return scripts.log(scripts.kept(scripts.classify(_docs(spark, d).select("doc_id", "text"))))
+
+
+@query
+def pii_contexts(spark, d):
+    return pii.contexts(table(spark, d, "pii_results").select("result_id", "text").distinct(), id_col="result_id")
+
+
+@query
+def byte_fertility(spark, d):
+    found = tokenizers.fertility(_docs(spark, d).withColumn("n_tokens", F.coalesce(F.octet_length("text"), F.lit(0))), "source")
+    return found.select("source", "documents", "tokens", *(F.round(c, 9).alias(c) for c in ("chars_per_token", "bytes_per_token", "tokens_per_word")))
+
+
+@query
+def piece_fertility(spark, d):
+    ids = tokenizers.encode_pieces(_docs(spark, d), "/opt/tokenizers/piece_bpe_32k.model").select("doc_id", F.size("ids").alias("n_tokens"))
+    return tokenizers.fertility(_docs(spark, d).join(ids, "doc_id"), "lang")
+
+
+@query
+def draw_summary(spark, d):
+    rows = table(spark, d, "demo_pairs").select("idx", "ar_forwards", "ar_secs").distinct()
+    found = tokenizers.draw_summary(rows, "ar_forwards", "ar_secs")
+    return found.select("ar_forwards", "n", *(F.round(c, 6).alias(c) for c in ("mean", "sd", "sem", "least", "most")))
+
+
+@query
+def validation_sample(spark, d):
+    return sampling.validation_sample(quality.score(_measured(spark, d)), 50, 40, "review-1")
