@@ -249,3 +249,68 @@ ORACLES["decontaminate_unmeasurable"] = f"select item_id, coalesce(len(ss), 0)::
 ORACLES["decontaminate_removals"] = f"with {_DECON}, {_EXACT} select distinct split_part(doc_id, '#', 1) as doc_id from (select doc_id from xd union select doc_id from xl union select doc_id from ct where shared / m::double >= 0.3)"
 ORACLES["byte_fertility"] = f"select source, count(*) as documents, sum(b)::bigint as tokens, round(coalesce(sum(c) / nullif(sum(b), 0)::double, 0.0), 9) as chars_per_token, round(coalesce(sum(b) / nullif(sum(b), 0)::double, 0.0), 9) as bytes_per_token, round(coalesce(sum(b) / nullif(sum(w), 0)::double, 0.0), 9) as tokens_per_word from (select source, strlen(coalesce(text, '')) b, length(coalesce(text, '')) c, len({_TOK.format(t='text')}) w from documents) group by 1"
 ORACLES["draw_summary"] = "select ar_forwards, count(*) as n, round(avg(ar_secs), 6) as mean, round(coalesce(stddev_samp(ar_secs), 0.0), 6) as sd, round(coalesce(stddev_samp(ar_secs), 0.0) / sqrt(count(*)), 6) as sem, round(min(ar_secs), 6) as least, round(max(ar_secs), 6) as most from (select distinct idx, ar_forwards, ar_secs from demo_pairs) where ar_secs is not null group by 1"
+
+
+def _spans(source: str, name: str) -> str:
+    """CTEs that end in {name}(id, letters, minor, label): the label of each span (id, t) of a relation."""
+    from waraq.operators import scripts as S
+
+    listed = lambda ws: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in ws) + "]"
+    p, n = S.URDU_PROFILE, name
+    share = lambda ws, words: f"coalesce(len(list_filter({words}, lambda w: list_contains({listed(ws)}, w))) / nullif(len({words}), 0)::double, 0.0)"
+    count = lambda cs: f"(length(t) - length(translate(t, '{cs}', '')))"
+    return rf"""{n}a as (select id, t, regexp_extract_all(t, '\p{{L}}') ls from {source}),
+{n}b as (select id, t, len(list_filter(ls, lambda x: regexp_matches(x, '[{_ARABIC}]'))) ar, len(list_filter(ls, lambda x: regexp_matches(x, '[{_LATIN}]'))) la, len(list_filter(ls, lambda x: regexp_matches(x, '[\x{{900}}-\x{{97F}}]'))) de, len(ls) + len(list_filter(regexp_extract_all(t, '[\x{{10000}}-\x{{10FFFF}}]'), lambda x: not regexp_matches(x, '\p{{L}}'))) letters,
+regexp_extract_all(t, '[\x{{600}}-\x{{6FF}}\x{{750}}-\x{{77F}}\x{{8A0}}-\x{{8FF}}]+') aw, regexp_extract_all(t, '[A-Za-z][A-Za-z'']*') lw, list_transform(regexp_extract_all(t, '[A-Za-z][A-Za-z'']*'), lambda x: lower(x)) low from {n}a),
+{n}c as (select id, letters, ar / letters::double ar, la / letters::double la, de / letters::double de, (letters - ar - la - de) / letters::double ot,
+case when len(aw) = 0 then 0.0 else {share(p.urdu, 'aw')} + 4.0 * {count(S.URDU_LETTERS)} / letters::double end u, {share(p.persian, 'aw')} pe, case when len(aw) = 0 then 0.0 else {share(p.arabic, 'aw')} + 2.0 * {count(S.ARABIC_LETTERS)} / letters::double end ab,
+{share(p.only('roman_urdu', 'english'), 'low')} ro, {share(p.only('english', 'roman_urdu'), 'low')} en, coalesce(len(list_filter(lw, lambda x: length(x) > 1 and x = lower(x))) / nullif(len(lw), 0)::double, 0.0) lc from {n}b where letters > 0),
+{n}d as (select *, 1 - greatest(ar, la, de, ot) minor, list_sort([u, pe, ab]) az, list_sort([ro, en]) lz from {n}c),
+{n}e as (select *, case when az[3] < 0.08 or az[3] - az[2] < 0.02 then 'urdu' when u = az[3] then 'urdu' when pe = az[3] then 'persian' else 'arabic' end al, case when lz[2] < 0.08 or lz[2] - lz[1] < 0.02 then 'other' when ro = lz[2] then 'roman_urdu' else 'english' end ll from {n}d),
+{n}f as (select *, case when ar = 1 - minor then al when la = 1 - minor then ll when de = 1 - minor then 'hindi' else 'other' end single from (select * replace (1 - greatest(ar, la, de, ot) as minor), greatest(ar, la, de, ot) top from {n}e)),
+{n} as (select id, letters, minor, case when minor >= 0.1 and ar >= 0.1 and la >= 0.1 and al = 'urdu' and lc >= 0.5 then 'code_switched' when ar = top then al when la = top then ll when de = top then 'hindi' else 'other' end as label from {n}f)"""
+
+
+def _labels() -> str:
+    return rf"""src as (select doc_id id, coalesce(text, '') t from documents), {_spans('src', 'dd0')},
+sen as (select id, unnest(regexp_split_to_array(t, '[۔؟?!.]+[\s\x{{200F}}\x{{200E}}]*|\n+')) t from src join dd0 using (id) where dd0.letters >= 20 and dd0.minor >= 0.1), {_spans('sen', 'ss0')},
+by0 as (select id, label, sum(letters) n from ss0 where letters >= 8 group by 1, 2), sh0 as (select id, label, n, n / sum(n) over (partition by id) s from by0),
+rf0 as (select id, coalesce(max(s) filter (label = 'code_switched'), 0) sw, coalesce(max(s) filter (label = 'urdu'), 0) su, greatest(coalesce(max(s) filter (label = 'english'), 0), coalesce(max(s) filter (label = 'roman_urdu'), 0)) pa, arg_min(label, (-n, label)) best from sh0 group by 1),
+lb0 as (select d.doc_id, d.lang, case when coalesce(dd0.letters, 0) < 20 then 'empty' when rf0.id is null then dd0.label when sw >= 0.1 or (su >= 0.3 and pa >= 0.3) then 'code_switched' else best end as label, coalesce(dd0.letters, 0) letters from documents d left join dd0 on dd0.id = d.doc_id left join rf0 on rf0.id = d.doc_id)"""
+
+
+ORACLES["language_labels"] = f"with {_labels()} select doc_id, label from lb0"
+ORACLES["language_confusion"] = f"with {_labels()} select coalesce(lang, '') as expected, label, count(*) as n from lb0 group by 1, 2"
+ORACLES["language_log"] = f"with {_labels()} select label, count(*) as documents, sum(letters)::bigint as letters from lb0 where label in ('urdu', 'roman_urdu', 'code_switched') group by 1"
+
+
+def _encoding() -> str:
+    special = [(_image(b), chr(b)) for b in range(0x80, 0x100) if ord(_image(b)) > 0xFF]
+    bad = lambda t: f"coalesce(list_sum(list_transform(regexp_extract_all({t}, '{_MOJIBAKE}'), lambda x: length(x))), 0)"
+    out = f"e0 as (select doc_id, strlen(coalesce(text, '')) bytes_in, coalesce(text, '') t, 0 p, {bad("coalesce(text, '')")} m from documents)"
+    for i in range(3):
+        latin = f"translate(t, '{''.join(a for a, _ in special)}', '{''.join(b for _, b in special)}')"
+        out += rf""", n{i} as (select *, case when m > 0 and not regexp_matches({latin}, '[^\x00-\x{{FF}}]') then try(decode(unhex(array_to_string(list_transform(string_split({latin}, ''), lambda c: lpad(to_hex(unicode(c)), 2, '0')), '')))) end nt from e{i}),
+k{i} as (select *, case when nt is not null and not contains(nt, chr(65533)) then {bad('nt')} end nm from n{i}),
+e{i + 1} as (select doc_id, bytes_in, case when nm < m then nt else t end t, case when nm < m then p + 1 else p end p, case when nm < m then nm else m end m from k{i})"""
+    ctl = r"[\x00-\x08\x0E-\x1F\x7F-\x{9F}]"
+    return out + rf""", r as (select *, length(t) n, len(regexp_extract_all(t, '\x{{FFFD}}')) f, len(regexp_extract_all(t, '{ctl}')) c from e3),
+v as (select doc_id, bytes_in, p, length(regexp_replace(t, '{ctl}', '', 'g')) chars, case when n > 0 and m / n::double > 0.001 then 'mojibake' when n > 0 and f / n::double > 0.001 then 'replacement_heavy' when n > 0 and c / n::double > 0.001 then 'control_heavy' when p > 0 then 'repaired' else 'ok' end verdict from r)"""
+
+
+ORACLES["encoding_verdicts"] = f"with {_encoding()} select doc_id, verdict, chars::int as chars, p::int as passes from v"
+ORACLES["encoding_log"] = f"with {_encoding()} select verdict, count(*) as documents, sum(bytes_in)::bigint as bytes_in, sum(chars)::bigint as chars_out from v group by 1"
+
+
+def _normalize_log() -> str:
+    from waraq.operators import normalize as N
+
+    head = ORACLES["normalize_text"].rsplit("select doc_id, md5(x)", 1)[0]
+    count = lambda cs: f"sum(length(b.x) - length(translate(b.x, '{cs}', '')))::bigint"
+    rules = {**{k: src for k, (src, _) in N.FOLDS.items()}, **N.DELETIONS, "digits": N.DIGITS[0]}
+    return head + "select count(*) as documents, sum(length(b.t))::bigint as chars_in, sum(length(e.x))::bigint as chars_out, " + ", ".join(f"{count(cs)} as {k}" for k, cs in rules.items()) + " from b join e using (doc_id)"
+
+
+ORACLES["normalize_log"] = _normalize_log()
+ORACLES["dedup_variants"] = ORACLES["normalize_text"].rsplit("select doc_id, md5(x)", 1)[0] + f"select 'text' as variant, count(distinct {canon('t')}) as distinct_documents from e union all select 'normalized', count(distinct {canon('x')}) from e"
+ORACLES["near_dup_sweep"] = f"with recursive {_PAIRS}, th as (select unnest([0.5, 0.6, 0.7, 0.8, 0.9])::double t), ed as (select t, a, b from rt, th where similarity >= t union select t, b, a from rt, th where similarity >= t), rc as (select t, a node, b other from ed union select rc.t, rc.node, ed.b from rc join ed on rc.t = ed.t and rc.other = ed.a), rr as (select t, node, least(node, min(other)) root from rc group by 1, 2), sz as (select t, root, count(*) n from rr group by 1, 2) select th.t as threshold, count(root) as clusters, coalesce(sum(n - 1), 0)::bigint as removed, coalesce(max(n), 0) as largest from th left join sz on sz.t = th.t group by 1"
