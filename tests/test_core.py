@@ -72,6 +72,13 @@ def test_exact_dedup_survivor_is_a_function_of_ids(spark):
     assert empty["documents"] == 0 and empty["largest_group"] == 0
 
 
+def test_a_group_of_a_third_of_all_rows(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("the same")).otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"), F.lit("s").alias("source"))
+    got = dedup.verdicts(df).collect()
+    assert len(got) == 3000 and sum(r["kept"] for r in got) == 2001 and max(r["group_size"] for r in got) == 1000
+    assert dedup.removed_by_source(df).first()["removed"] == 999
+
+
 def test_lines_stay_with_one_owner_and_no_document_is_emptied(spark):
     line = "x" * 70
     df = docs_of(spark, [f"{line}\nown text of one", f"{line}\nown text of two", line, "short\nshort"])

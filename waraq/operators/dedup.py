@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waraq.functions.text import WS, canonical, key, lines, text_or_empty
+from waraq.operators.groups import salt, with_group
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -22,7 +23,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, content_hash, group_size, kept): kept is the document of the smallest key."""
     k = keyed(docs.select(id_col, text_col), id_col, text_col).drop(text_col)
-    return k.join(groups(k, id_col), "content_hash").select(id_col, "content_hash", "group_size", (F.col(id_col) == F.col("first.id")).alias("kept"))
+    return with_group(k, "content_hash", id_col, F.count("*").alias("group_size"), F.min(F.struct("doc_key", F.col(id_col).alias("id"))).alias("first")).select(id_col, "content_hash", "group_size", (F.col(id_col) == F.col("first.id")).alias("kept"))
 
 
 def largest_groups(docs: DataFrame, top: int = 20, examples: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,9 +63,9 @@ def cross_source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def removed_by_source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(source, documents, removed, removed_cross): removed_cross lost to a survivor of another source."""
     k = keyed(docs.select(id_col, text_col, source_col), id_col, text_col).drop(text_col).withColumn("s", F.coalesce(source_col, F.lit("")))
-    first = k.groupBy("content_hash").agg(F.min(F.struct("doc_key", F.col(id_col).alias("id"), "s")).alias("first"))
     lost = F.col(id_col) != F.col("first.id")
-    return k.join(first, "content_hash").groupBy(F.col("s").alias("source")).agg(F.count("*").alias("documents"), F.count_if(lost).alias("removed"), F.count_if(lost & (F.col("s") != F.col("first.s"))).alias("removed_cross"))
+    found = with_group(k, "content_hash", id_col, F.min(F.struct("doc_key", F.col(id_col).alias("id"), "s")).alias("first"))
+    return found.groupBy(F.col("s").alias("source")).agg(F.count("*").alias("documents"), F.count_if(lost).alias("removed"), F.count_if(lost & (F.col("s") != F.col("first.s"))).alias("removed_cross"))
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,10 +75,10 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def line_index(docs: DataFrame, min_chars: int = 60, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(line_hash, documents, line_chars, owner): each distinct line, in how many documents, and whose it stays."""
+    """(line_hash, documents, line_chars, owner, salts): each distinct line, in how many documents, whose it stays, and where its holders are."""
     doc_key = key("dedup/k", F.col(id_col).cast("string"))
     each = docs.select(id_col, doc_key.alias("doc_key"), F.explode(F.array_distinct(F.filter(lines(F.col(text_col)), lambda x: F.length(x) >= min_chars))).alias("line"))
-    return each.groupBy(F.md5("line").alias("line_hash")).agg(F.count("*").alias("documents"), F.max(F.length("line")).alias("line_chars"), F.min(F.struct("doc_key", F.col(id_col).alias("id")))["id"].alias("owner"))
+    return each.groupBy(F.md5("line").alias("line_hash")).agg(F.count("*").alias("documents"), F.max(F.length("line")).alias("line_chars"), F.min(F.struct("doc_key", F.col(id_col).alias("id")))["id"].alias("owner"), F.collect_set(salt(id_col)).alias("salts"))
 
 
 def line_statistics(docs: DataFrame, min_chars: int = 60, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,9 +93,10 @@ def strip_lines(docs: DataFrame, min_chars: int = 60, id_col: str = "doc_id", te
 
     Only the lines to remove are shuffled back to their documents.
     """
-    shared = line_index(docs, min_chars, id_col, text_col).filter(F.col("documents") > 1).select("line_hash", "owner")
+    index = line_index(docs, min_chars, id_col, text_col).filter(F.col("documents") > 1)
+    shared = index.select("line_hash", "owner", F.explode("salts").alias("_salt"))
     long = docs.select(id_col, F.explode(F.array_distinct(F.filter(lines(F.col(text_col)), lambda x: F.length(x) >= min_chars))).alias("line"))
-    drop = long.withColumn("line_hash", F.md5("line")).join(shared, "line_hash").filter(F.col(id_col) != F.col("owner")).groupBy(id_col).agg(F.collect_set("line_hash").alias("drop"))
+    drop = long.select(id_col, F.md5("line").alias("line_hash"), salt(id_col).alias("_salt")).join(shared, ["line_hash", "_salt"]).filter(F.col(id_col) != F.col("owner")).groupBy(id_col).agg(F.collect_set("line_hash").alias("drop"))
     raw = F.split(text_or_empty(F.col(text_col)), "\n")
     stripped = lambda x: F.regexp_replace(x, f"^{WS}+|{WS}+$", "")
     kept = F.filter(raw, lambda x: ~F.array_contains(F.coalesce(F.col("drop"), F.array().cast("array<string>")), F.md5(stripped(x))))

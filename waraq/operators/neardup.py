@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from waraq.config import NearDup
 from waraq.functions.text import h60, key, shingles
 from waraq.operators.components import connected_components
+from waraq.operators.groups import with_group
 from waraq.operators.sampling import lowest_per_group
 from waraq.session import cut, spread
 
@@ -90,8 +91,7 @@ def clusters(sketches: DataFrame, retained: DataFrame, threshold: float) -> Data
     """(id, doc_key, cluster, size, kept) of each sketched document; the smallest key of a cluster is kept."""
     roots = connected_components(retained.filter(F.col("similarity") >= threshold).select("a", "b"))
     named = sketches.select("id", "doc_key").join(roots.withColumnRenamed("node", "doc_key"), "doc_key", "left").withColumn("cluster", F.coalesce("root", "doc_key")).drop("root")
-    sizes = named.groupBy("cluster").agg(F.count("*").alias("size"))
-    return named.join(sizes, "cluster").select("id", "doc_key", "cluster", "size", (F.col("doc_key") == F.col("cluster")).alias("kept"))
+    return with_group(named, "cluster", "doc_key", F.count("*").alias("size")).select("id", "doc_key", "cluster", "size", (F.col("doc_key") == F.col("cluster")).alias("kept"))
 
 
 def verdicts(docs: DataFrame, config: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -74,7 +74,7 @@ def sequences(at: DataFrame, config: Packing = Packing(), bytes_col: str = "n_to
     share = F.floor(F.col(bytes_col) * hi / F.col("n")) - F.floor(F.col(bytes_col) * lo / F.col("n"))
     ends = F.when(hi == F.col("n"), 1).otherwise(0)
     totals = at.groupBy("stream").agg(F.floor(F.sum("n") / length).alias("full"))
-    return part.groupBy("stream", "seq").agg(F.count("*").alias("documents"), F.sum(ends).alias("separators"), F.sum(share).cast("bigint").alias("text_bytes")).join(F.broadcast(totals), "stream").filter(F.col("seq") < F.col("full")).drop("full")
+    return part.groupBy("stream", "seq").agg(F.count("*").alias("documents"), F.sum(ends).alias("separators"), F.sum(share).cast("bigint").alias("text_bytes")).join(totals, "stream").filter(F.col("seq") < F.col("full")).drop("full")
 
 
 def pack_ids(at: DataFrame, ids_col: str, config: Packing = Packing(), id_col: str = "doc_id") -> DataFrame:

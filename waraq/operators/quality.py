@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from waraq.config import Quality
 from waraq.functions.text import matched_chars, rate, text_or_empty
@@ -128,11 +129,9 @@ def percentiles(measured: DataFrame, metrics: list[str], points: tuple = (0.01,
     Values are counted first (the counts of distinct values, spread over tasks), and ranks come from
     running sums over ranges of values, so no task sorts the whole corpus.
     """
-    from pyspark.sql.window import Window
-
     long = measured.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))).alias("x")).select("x.*")
     counts = long.groupBy("metric", "value").agg(F.count("*").alias("n"))
-    coarse = F.floor(F.log2(F.col("value") + 1e-9) * 4)
+    coarse = F.floor(F.log2(F.col("value") + 1e-9) * 64)  # about a hundredth of the value: a few thousand bins in all
     counts = counts.withColumn("bin", coarse)
     bins = counts.groupBy("metric", "bin").agg(F.sum("n").alias("bin_n"))
     order = Window.partitionBy("metric").orderBy("bin")

@@ -1,7 +1,7 @@
 """Train, validation and test by hash bucket, with nested arms, solved from a histogram of characters.
 
 The histogram is one aggregation; bands are found with running sums over it (at most `buckets` rows a
-population) and broadcast back, so assigning a document is a narrow step. A stored histogram can be
+population) and joined back by population. A stored histogram can be
 solved again under other budgets without reading a document.
 """
 
@@ -49,9 +49,9 @@ def bands(hist: DataFrame, config: Splits = Splits()) -> DataFrame:
 
 
 def assign(docs: DataFrame, solved: DataFrame, config: Splits = Splits(), id_col: str = "doc_id", population_col: str = "population") -> DataFrame:
-    """Adds bucket, split_name and arms; populations without bands are unassigned. solved has a row per population, so it is broadcast."""
+    """Adds bucket, split_name and arms; populations without bands are unassigned. solved has a row per population, which the planner broadcasts while it is small."""
     b = bucketed(docs, config, id_col).withColumn("population", F.col(population_col))
-    j = b.join(F.broadcast(solved), "population", "left")
+    j = b.join(solved, "population", "left")
     split = F.when(F.col("test_from").isNull(), "unassigned").when(F.col("bucket") >= F.col("test_from"), "test").when(F.col("bucket") >= F.col("validation_from"), "validation").otherwise("train")
     arms = F.array_compact(F.array(*(F.when(F.col("bucket") < F.col(f"arm_{name}"), name) for name, _ in config.arms)))
     names = [f"arm_{name}" for name, _ in config.arms]
