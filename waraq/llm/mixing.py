@@ -56,7 +56,7 @@ def mixture(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text:
     totals = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     # one row per source, and only those that targets list: targets is a small table of the caller's
     listed = targets.select("source", "target_share", "max_repeats")
-    known = totals.join(F.broadcast(listed.select("source")), "source", "left_semi").collect()
+    known = totals.join(listed.select("source"), "source", "left_semi").collect()
     plan = _plan(known, listed.collect(), total_tokens)
     rows = sum(r["docs"] for r in known)
     buckets = max(1, -(-rows // BUCKET_ROWS))
