@@ -335,3 +335,49 @@ def test_every_query_runs(spark, sf):
     for name, f in QUERIES.items():
         df = f(spark, sf)
         assert df.columns and df.count() >= 0, name
+
+
+NULLS = "record_id bigint, doc_id string, idx bigint, seg_no int, label string, text string, source string"
+
+
+def everything(spark, df):
+    """Each operator over one table, as (name, rows)."""
+    known = spark.createDataFrame([*KNOWN, (None, "A", "B"), ("given", None, None)], "name_part string, roman string, urdu string")
+    samples = spark.createDataFrame([("urdu", "یہ ایک کتاب ہے"), ("english", "this is a book"), (None, "x"), ("hindi", None)], "label string, text string")
+    items = spark.createDataFrame([("i", " ".join("abcdefghijkl")), (None, " ".join("abcdefghijkl")), ("j", None)], "item_id string, text string")
+    targets = spark.createDataFrame([("a", 0.5, None), ("b", None, 2), (None, 0.5, 1)], "source string, target_share double, max_repeats int")
+    yield "p1", mojibake.restored(df, "record_id", "text")
+    yield "p2", repetition.ledger(df, "idx", ["text"])
+    scanned = pii.scan(df, "record_id", "text", known)
+    yield "p3", pii.items(scanned, "record_id")
+    yield "p3r", pii.replaced(scanned, "record_id", known)
+    yield "p4", lookalikes.same_look(lookalikes.consistent(df, "record_id", "text"))
+    yield "p5", leaks.leaks(df, "doc_id", "text", items, "item_id", "text")
+    yield "p6", copies.copy_sets(df, "record_id", "text")
+    found = languages.segment_languages(df, samples)
+    yield "p7", found
+    yield "p7d", languages.document_languages(found)
+    yield "p8", tokens.encode(df, "record_id", "text")
+    chosen, report = mixing.mixture(df, targets, key="record_id")
+    yield "p9", chosen
+    yield "p9r", report
+    op = spans.SharedSpans(df, "record_id", "text", length=30)
+    yield "p10", op.pairs()
+    yield "p10c", op.coverage(df, "record_id", "text")
+
+
+def test_empty_tables(spark):
+    empty = clashing(spark.createDataFrame([], NULLS))
+    for name, df in everything(spark, empty):
+        assert name == "p9r" or df.count() == 0, name
+
+
+def test_nulls_in_any_column_ties_and_very_long_texts(spark):
+    long = "abc def 12 " * 60_000
+    rows = [(1, "d", 1, 0, "urdu", "یہ ایک کتاب ہے اور یہ کتاب ہے", "a"), (1, "d", 1, 0, "urdu", "یہ ایک کتاب ہے اور یہ کتاب ہے", "a"), (None, None, None, None, None, "یہ ایک کتاب ہے اور یہ کتاب ہے", None), (2, None, 2, 1, None, None, "b"), (3, "e", 3, None, "x", "", "a"), (4, "f", 4, 2, "", long, "a"), (5, "g", 5, 3, "english", long + ".", "b"), (6, "h", 6, 4, "hindi", " " * 1000, None), (7, "i", 7, 5, None, "x" * 100_000, "a"), (8, "j", 8, 6, "y", "@" * 20_000 + "1" * 20_000, "b")]
+    got = {name: df.collect() for name, df in everything(spark, clashing(spark.createDataFrame(rows, NULLS)))}
+    assert {r["idx"] for r in got["p2"]} == set(range(1, 9)) and not got["p1"]
+    assert {r["record_id"]: r["ids"] for r in got["p8"] if r["record_id"] in (2, 3)} == {2: [], 3: []} and len(got["p8"]) == len(rows)
+    assert {(r["doc_a"], r["doc_b"]) for r in got["p10"]} == {(4, 5)}
+    assert {r["row_id"]: r["size"] for r in got["p6"]} == {1: 1, 4: 2, 5: 2, 7: 1, 8: 1}
+    assert all(r["doc_id"] for r in got["p7"]) and {r["doc_id"]: r["label"] for r in got["p7"]}["d"] == "urdu"

@@ -11,7 +11,7 @@ Two relations make copies: equal letters and digits in the same order, and equal
 fields. A field list also has a letter key; groups joined by either relation are merged by repeated
 minima over the (small) table of distinct key pairs.
 
-Defined cases: null texts and texts without a letter or digit belong to no set; repeated rows count
+Defined cases: rows without an id, null texts and texts without a letter or digit belong to no set; repeated rows count
 once; an empty table gives no rows; other columns are ignored.
 """
 
@@ -54,7 +54,7 @@ def multiset_hash(fields: Column, seed: int) -> Column:
 
 def _keyed(df: DataFrame, row_id: str, text: str) -> DataFrame:
     """(row_id, key, payload): a row for the letters of a text and one for its fields, if it is a list of some."""
-    source = spread(df.select(F.col(row_id).alias("row_id"), F.col(text).alias("text")).filter(F.col(text).isNotNull()))
+    source = spread(df.select(F.col(row_id).alias("row_id"), F.col(text).alias("text")).filter(F.col("row_id").isNotNull() & F.col("text").isNotNull()))
     parsed = with_fields(source, "text").filter(F.length("letters") > 0)
     single = F.array(F.struct(F.lit("").alias("name"), F.col("letters").alias("value")))
     part = lambda kind, fields: F.struct(F.lit(kind).alias("kind"), fields.alias("fields"))

@@ -12,7 +12,7 @@ The items are the stated query set: they are taken in blocks of a bounded size,
 the workers, and the documents stream past it without a shuffle, so that a document repeated in a
 third of all rows costs no more than any other.
 
-Defined cases: null, empty and short texts have no shingles and no hits; repeated rows and repeated
+Defined cases: null, empty and short texts have no shingles and no hits; rows without an id are left out; repeated rows and repeated
 documents count once; an item of fewer than 8 words can't leak; of several texts of one item or
 document the largest containment counts; other columns are ignored.
 """
@@ -119,8 +119,8 @@ def covered_words(item: list[str], shingles: set[tuple[str, ...]]) -> int:
 def leaks(docs: DataFrame, doc_id: str, doc: str, items: DataFrame, item_id: str, item: str, containment: float = 0.6, miss: float = 1e-9) -> DataFrame:
     """(doc_id, item_id, containment, n_words, n_covered): containment is the share of the item's words inside shared runs of eight or more."""
     spark = docs.sparkSession
-    texts = spread(docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(doc).alias("doc")).filter(F.length(doc) > 0))
-    pool = items.select(F.col(item_id).cast("string").alias("item_id"), F.col(item).alias("text")).filter(F.length("text") > 0).distinct()
+    texts = spread(docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(doc).alias("doc")).filter(F.col("doc_id").isNotNull() & (F.length(doc) > 0)))
+    pool = items.select(F.col(item_id).cast("string").alias("item_id"), F.col(item).alias("text")).filter(F.col("item_id").isNotNull() & (F.length("text") > 0)).distinct()
     blocks = -(-(pool.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS) or 1
     schema = "doc_id string, item_id string, n_words int, n_covered int"
     found = None

@@ -10,7 +10,7 @@ therefore stay as they are. Texts are the same to a reader when the repaired tex
 skeleton, in which any look-alike left over counts as its prototype.
 
 Defined cases: null, empty and blank texts (also texts of invisible characters only) have no form and
-no partner; repeated rows count once; equal texts are partners; an empty table gives no rows; other
+no partner, nor have rows without an id; repeated rows count once; equal texts are partners; an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -135,7 +135,7 @@ def suspects(text: str) -> dict[str, list[str]]:
 
 def consistent(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, form, skeleton) of each distinct row with visible text."""
-    source = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull()))
+    source = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull() & F.col("text").isNotNull()))
     kind = df.schema[key].dataType.simpleString()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ copies and therefore exact and independent of partitioning.
 N is the largest size at which no source needs more than its max_repeats, unless given; with a larger
 N the sources that reach their cap fall short, which the report shows.
 
-Defined cases: documents of null or unlisted source have share 0; documents without tokens are not
+Defined cases: documents of null or unlisted source have share 0; a null share is 0, a null max_repeats 1; documents without tokens are not
 emitted; a listed source without tokens contributes nothing and the other shares are scaled up to 1
 in proportion; an empty table gives an empty mixture; repeated rows are documents of their own;
 columns other than id, text and source are ignored.
@@ -35,7 +35,7 @@ BUCKET_ROWS = 20_000
 def _plan(sizes: list, targets: list, total_tokens: int | None) -> dict[str, tuple[float, int, int]]:
     """source -> (share aimed at, cap, expected copies of each document in units)."""
     have = {r["source"]: r["tokens"] for r in sizes if r["tokens"]}
-    listed = {r["source"]: (r["target_share"], r["max_repeats"]) for r in targets if r["source"] is not None and (r["target_share"] or 0) > 0}
+    listed = {r["source"]: (r["target_share"], 1 if r["max_repeats"] is None else r["max_repeats"]) for r in targets if r["source"] is not None and (r["target_share"] or 0) > 0}
     usable = {s: v for s, v in listed.items() if s in have}
     scale = sum(v[0] for v in usable.values())
     if not usable:

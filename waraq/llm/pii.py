@@ -12,7 +12,7 @@ the same one, and type, script, letter case, format and the gender that a title
 Digits go through a keyed permutation of all numbers of that length, which can't collide; names and
 mailboxes are drawn, checked for collisions over the whole corpus, and drawn again.
 
-Defined cases: null and empty texts have no finds and stay as they are; placeholders already in a text
+Defined cases: null and empty texts and rows without an id have no finds; placeholders already in a text
 are not finds; overlapping finds are settled in the order e-mail, identity number, phone, address,
 name; repeated rows give equal rows once; an empty table gives no rows; other columns are ignored.
 """
@@ -89,7 +89,9 @@ class Names:
         endings: Counter = Counter()
         count: Counter = Counter()
         for part, roman, urdu in rows:
-            one = (roman or urdu or "").lower()
+            if not (roman or urdu):
+                continue
+            one = (roman or urdu).lower()
             for n in (roman, urdu):
                 if not n:
                     continue
@@ -214,7 +216,7 @@ def scan(df: DataFrame, key: str, text: str, known_names: DataFrame) -> DataFram
             rows = [[{"category": f.category, "span_start": f.start, "span_end": f.end, "shape": shape(t[f.start : f.end]), "entity": f.entity, "gender": f.gender} for f in find(t, names)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, _MATCH_TYPE)], [key, "text", "matches"])
 
-    source = spread(df.select(key, F.col(text).alias("text")).filter(F.length("text") > 0))
+    source = spread(df.select(key, F.col(text).alias("text")).filter(F.col(key).isNotNull() & (F.length("text") > 0)))
     return source.mapInArrow(run, f"{key} {kind}, text string, matches {_MATCH}").distinct()
 
 

@@ -4,7 +4,7 @@ Every rule is evaluated once per text. The ledger keeps the measurements and one
 rule; policies are versioned bit masks over the ledger, and ablations come from the counts of each
 distinct mask, so neither re-reads a text.
 
-Defined cases: null, empty and wordless texts measure 0 and fail nothing; texts with fewer words than
+Defined cases: null, empty and wordless texts measure 0 and fail nothing; rows without an id are left out; texts with fewer words than
 a rule's window measure 0 for it; repeated input rows give one ledger row; other columns are ignored.
 """
 
@@ -122,7 +122,7 @@ def ledger(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
                 [key, "field_name", "n_words", "fail_bits", *(r.name for r in RULES)],
             )
 
-    return spread(df.select(key, *fields)).mapInArrow(run, schema).distinct()
+    return spread(df.select(key, *fields).filter(F.col(key).isNotNull())).mapInArrow(run, schema).distinct()
 
 
 def rejected(policy: str) -> Column:

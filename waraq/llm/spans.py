@@ -12,7 +12,7 @@ Windows of an anchor that very many documents hold (page chrome, say) are anchor
 k-gram; what is still that frequent is cut into blocks and every two blocks share a shard, so that no
 task holds an unbounded group. Copies of whole texts are collapsed beforehand and put back at the end.
 
-Defined cases: null, empty and short texts share nothing; a span repeated within one document only is
+Defined cases: null, empty and short texts share nothing; rows without an id are no document; a span repeated within one document only is
 not shared; rows with equal ids are one document each id; an empty table gives no rows; characters
 are code points; other columns are ignored.
 """
@@ -163,7 +163,7 @@ class SharedSpans:
     def __init__(self, documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH):
         self.length = length
         spark = documents.sparkSession
-        texts = documents.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).filter(F.length("text") >= length)
+        texts = documents.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).filter(F.col("doc").isNotNull() & (F.length("text") >= length))
         # copies of whole texts: the smallest id stands for all
         same = texts.select("doc", F.md5("text").alias("m"), F.length("text").alias("n"))
         firsts = same.groupBy("m").agg(F.min("doc").alias("rep"), F.max("doc").alias("last")).filter(F.col("rep") < F.col("last")).select("m", "rep")
