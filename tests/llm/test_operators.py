@@ -308,7 +308,7 @@ def brute_spans(texts, n):
 
 @pytest.mark.parametrize("hot", [2000, 4])
 def test_shared_spans_against_brute_force(spark, hot, monkeypatch):
-    monkeypatch.setattr(spans, "HOT_PIECES", hot)
+    monkeypatch.setattr(spans, "HOT_TEXTS", hot)
     rng = random.Random(6)
     n = 24
     passages = ["".join(rng.choice("abcdefghij ") for _ in range(rng.randint(18, 60))) for _ in range(12)]
@@ -319,7 +319,7 @@ def test_shared_spans_against_brute_force(spark, hot, monkeypatch):
             at = rng.randint(0, len(t))
             t = t[:at] + rng.choice(passages) + t[at:]
         texts.append((k, t))
-    texts += [(100, None), (101, ""), (102, texts[3][1]), (103, texts[3][1]), (104, "ab" * 400), (105, "é😀" * 30), (106, "x" + "é😀" * 30)]
+    texts += [(100, None), (101, ""), (102, texts[3][1]), (103, texts[3][1]), (104, "ab" * 400), (107, "q" + "ab" * 300), (105, "é😀" * 30), (106, "x" + "é😀" * 30)]
     df = clashing(spark.createDataFrame(texts, "doc_id bigint, text string"))
     op = spans.SharedSpans(df, length=n)
     pairs, cover = brute_spans(texts, n)

@@ -8,9 +8,9 @@ whatever the size of the corpus. Each shard builds an FM-index of its pieces and
 it: backward search over the wavelet matrix gives thresholded matching statistics, that is all windows
 that another document of the shard holds, as classes of equal windows.
 
-Windows of an anchor that very many documents hold (page chrome, say) are anchored again by a longer
-k-gram; what is still that frequent is cut into blocks and every two blocks share a shard, so that no
-task holds an unbounded group. Copies of whole texts are collapsed beforehand and put back at the end.
+Equal pieces of one document are searched once, and pieces are cut to like lengths. Windows of an anchor
+that very many documents hold (page chrome, say) are anchored again by a longer k-gram; what is still that
+frequent is cut into blocks and every two blocks share a shard, so that no task holds an unbounded group. Copies of whole texts are collapsed beforehand and put back at the end.
 
 Defined cases: null, empty and short texts share nothing; rows without an id are no document; a span repeated within one document only is
 not shared; rows with equal ids are one document each id; an empty table gives no rows; characters
@@ -32,8 +32,10 @@ from waraq.session import cut, parallelism, spread
 LENGTH = 200
 ANCHOR = 100
 LONG_ANCHOR = 170
-#: Pieces of one anchor beyond which it is anchored again, then cut into blocks.
-HOT_PIECES = 2000
+#: Texts with one anchor beyond which it is anchored again, then cut into blocks.
+HOT_TEXTS = 2000
+#: Windows to a piece.
+MOST_WINDOWS = 512
 #: Characters of pieces to a shard.
 SHARD_CHARS = 500_000
 #: Anchor rows (24 bytes each) up to which they are broadcast to the texts.
@@ -80,30 +82,37 @@ def anchors(points: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.nda
     low = np.minimum(low[: len(h) - w + 1], low[w - width : w - width + len(h) - w + 1])
     change = np.flatnonzero(low[1:] != low[:-1]) + 1
     first = np.append(0, change)
-    return low[first], first, np.append(change, len(low)) - 1
+    last = np.append(change, len(low)) - 1
+    # where a text goes round in circles one anchor may cover it all: a search goes in step through pieces of like length
+    parts = (last - first) // MOST_WINDOWS + 1
+    start = np.repeat(first, parts) + MOST_WINDOWS * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    return np.repeat(low[first], parts), start, np.minimum(start + MOST_WINDOWS - 1, np.repeat(last, parts))
 
 
 def _anchor_rows(texts: DataFrame, length: int, k: int) -> DataFrame:
-    """(doc, h, a, b): the windows a..b of each anchor. texts: (doc bigint, base int, text)."""
+    """(doc, h, a, b, one): the windows a..b of each anchor; one is 1 where the text shows the anchor first, else 0. texts: (doc bigint, base int, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, hs, firsts, lasts = [], [], [], []
+            docs, hs, firsts, lasts, ones = [], [], [], [], []
             for doc, base, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 h, a, b = anchors(code_points(text), length, k)
                 docs.append(np.full(len(h), doc, np.int64))
                 hs.append(h.view(np.int64))
                 firsts.append(a + base)
                 lasts.append(b + base)
+                one = np.zeros(len(h), np.int64)
+                one[np.unique(h, return_index=True)[1]] = 1
+                ones.append(one)
             if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(hs)), pa.array(np.concatenate(firsts), pa.int32()), pa.array(np.concatenate(lasts), pa.int32())], ["doc", "h", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(hs)), pa.array(np.concatenate(firsts), pa.int32()), pa.array(np.concatenate(lasts), pa.int32()), pa.array(np.concatenate(ones), pa.int32())], ["doc", "h", "a", "b", "one"])
 
-    return texts.mapInArrow(run, "doc bigint, h bigint, a int, b int")
+    return texts.mapInArrow(run, "doc bigint, h bigint, a int, b int, one int")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """(h, pieces) of the anchors that at least two documents hold; combined before the shuffle."""
-    return rows.groupBy("h").agg(F.count("*").alias("pieces"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter(F.col("lo") < F.col("hi")).select("h", "pieces")
+    """(h, texts) of the anchors that at least two documents hold, with the number of texts; combined before the shuffle."""
+    return rows.groupBy("h").agg(F.sum("one").alias("texts"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter(F.col("lo") < F.col("hi")).select("h", "texts")
 
 
 def _pieces(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -111,7 +120,24 @@ def _pieces(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     held = wanted.groupBy("doc").agg(F.collect_list(F.struct("h", "a", "b")).alias("w"))
     if wanted.count() <= BROADCAST_ROWS:
         held = F.broadcast(held)
-    return texts.join(held, "doc").select("doc", "text", F.explode("w").alias("w")).select("doc", F.col("w.h").alias("h"), F.col("w.a").alias("a"), F.substring("text", F.col("w.a") + 1, F.col("w.b") - F.col("w.a") + length).alias("text"))
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows)) or [[], [], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.string()))], ["doc", "h", "a", "text"])
+
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, text, windows in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for w in windows:
+                    rows.append((doc, w["h"], w["a"], text[w["a"] : w["b"] + length]))
+                    if len(rows) >= 20_000:
+                        yield made(rows)
+                        rows = []
+            yield made(rows)
+
+    # a window in the middle of a long text is found in one step here, and by a walk from its beginning in SQL
+    return texts.join(held, "doc").select("doc", "text", "w").mapInArrow(cut_out, "doc bigint, h bigint, a int, text string")
 
 
 _RESULT = "doc bigint, other bigint, a int, b int"
@@ -123,8 +149,10 @@ def _search(length: int):
     def run(table: pa.Table) -> pa.Table:
         docs = table.column("doc").to_numpy()
         starts = table.column("a").to_numpy()
-        pieces = [code_points(t).astype(np.int64) for t in table.column("text").to_pylist()]
-        index = FMIndex(pieces, docs, length)
+        # a document that goes round in circles has the same piece in many places: it is searched once
+        numbers: dict[tuple, int] = {}
+        number = np.array([numbers.setdefault(x, len(numbers)) for x in zip(docs.tolist(), table.column("text").to_pylist())])
+        index = FMIndex([code_points(t).astype(np.int64) for _, t in numbers], np.array([d for d, _ in numbers], np.int64), length)
         piece, offset, cls = index.shared_windows()
         if not len(piece):
             return pa.table({"doc": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "a": pa.array([], pa.int32()), "b": pa.array([], pa.int32())})
@@ -133,7 +161,12 @@ def _search(length: int):
         gap = np.append(True, (p[1:] != p[:-1]) | (o[1:] > o[:-1] + length))
         begin = np.flatnonzero(gap)
         end = np.append(begin[1:], len(p)) - 1
-        spans = (docs[p[begin]], starts[p[begin]] + o[begin], starts[p[begin]] + o[end] + length)
+        # each place of a piece has the piece's spans
+        count = np.bincount(p[begin], minlength=len(numbers))
+        first = np.cumsum(count) - count
+        place = np.repeat(np.arange(len(docs)), count[number])
+        mine = np.arange(len(place)) - np.repeat(np.cumsum(count[number]) - count[number], count[number]) + first[number[place]]
+        spans = (docs[place], starts[place] + o[begin[mine]], starts[place] + o[end[mine]] + length)
         which, who = index.documents(np.unique(cls))
         cuts = np.append(np.flatnonzero(np.append(True, which[1:] != which[:-1])), len(which))
         sets = {who[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])}
@@ -144,7 +177,7 @@ def _search(length: int):
             left.append(d[i])
             right.append(d[j])
         pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
-        n, m = pairs.shape[1], len(begin)
+        n, m = pairs.shape[1], len(place)
         return pa.table(
             {
                 "doc": pa.array(np.concatenate([pairs[0], spans[0]])),
@@ -174,14 +207,14 @@ class SharedSpans:
         k = min(ANCHOR, length // 2)
         rows = cut(_anchor_rows(spread(unique).select("doc", F.lit(0).alias("base"), "text"), length, k))
         shared = cut(_shared(rows))
-        cold = rows.join(shared.filter(F.col("pieces") <= HOT_PIECES).select("h"), "h", "left_semi").select("doc", "h", "a", "b", F.lit(0).alias("block"))
+        cold = rows.join(shared.filter(F.col("texts") <= HOT_TEXTS).select("h"), "h", "left_semi").select("doc", "h", "a", "b", F.lit(0).alias("block"))
         wanted = cold
-        hot = shared.filter(F.col("pieces") > HOT_PIECES).select("h")
+        hot = shared.filter(F.col("texts") > HOT_TEXTS).select("h")
         if hot.limit(1).count():
             again = rows.join(F.broadcast(hot) if shared.count() <= BROADCAST_ROWS else hot, "h", "left_semi")
             longer = cut(_anchor_rows(_pieces(unique, again, length).select("doc", F.col("a").alias("base"), "text"), length, min(LONG_ANCHOR, length - 1)).dropDuplicates(["doc", "h", "a", "b"]))
             counts = _shared(longer)
-            blocks = longer.join(counts, "h").withColumn("of", F.ceil(F.col("pieces") / HOT_PIECES).cast("int"))
+            blocks = longer.join(counts, "h").withColumn("of", F.ceil(F.col("texts") / HOT_TEXTS).cast("int"))
             own = F.pmod(F.xxhash64("doc"), F.col("of")).cast("int")
             # block i meets block j in the shard of (i, j); a single block meets itself
             meets = F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda j: F.least("own", j) * 100_000 + F.greatest("own", j))
