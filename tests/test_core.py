@@ -233,6 +233,16 @@ def test_splits_never_overshoot_and_nest(spark):
     assert pair.transform(lambda x: splits.bucketed(x, c)).select("bucket").distinct().count() == 1
 
 
+def test_a_stored_histogram_is_solved_again(spark, tmp_path):
+    df = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("u").alias("population"), F.lit(10).alias("chars"))
+    c = config.Splits(buckets=100)
+    splits.save(splits.histogram(df, c), str(tmp_path / "h"), c)
+    other = config.Splits(buckets=100, heldout_share=0.1)
+    assert splits.resolve(spark, str(tmp_path / "h"), other).collect() == splits.bands(splits.histogram(df, other), other).collect()
+    with pytest.raises(ValueError):
+        splits.resolve(spark, str(tmp_path / "h"), config.Splits(buckets=50))
+
+
 def test_packing_is_a_running_buffer(spark):
     rng = random.Random(9)
     c = config.Packing(sequence_length=16)
@@ -356,6 +366,17 @@ def test_streams(spark, tmp_path):
     assert spark.table("seen").count() == 2
 
 
+def test_late_rows_still_count_within_the_watermark(spark, tmp_path):
+    from waraq.streaming import stages
+
+    for name, rows in (("a", [("2024-01-01 00:00:10", "x"), ("2024-01-01 00:09:00", "x")]), ("b", [("2024-01-01 00:05:00", "x"), ("2024-01-01 02:00:00", "y")])):
+        spark.createDataFrame(rows, "ts string, kind string").select(F.col("ts").cast("timestamp").alias("ts"), "kind").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    counts = stages.windowed_counts(stages.read_parquet(spark, str(tmp_path / "in"), 1), "ts", "10 minutes", "30 minutes", "kind")
+    q = counts.writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r["kind"], r["n"]) for r in spark.table("windows").collect()) == [("x", 3), ("y", 1)]
+
+
 # the registry
 
 

@@ -7,7 +7,7 @@ solved again under other budgets without reading a document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -62,3 +62,17 @@ def summary(assigned: DataFrame, chars_col: str = "chars") -> DataFrame:
     """(population, split_name, arm, documents, chars): arm is 'all' for the whole of a split."""
     arms = F.explode(F.concat(F.array(F.lit("all")), F.col("arms")))
     return assigned.withColumn("arm", arms).groupBy(F.coalesce("population", F.lit("")).alias("population"), "split_name", "arm").agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.col(chars_col).cast("bigint")), F.lit(0)).alias("chars"))
+
+
+def save(hist: DataFrame, path: str, config: Splits = Splits()) -> None:
+    """The histogram with what it was made under, for later solving."""
+    hist.withColumn("buckets", F.lit(config.buckets)).withColumn("salt", F.lit(config.salt)).write.mode("overwrite").parquet(path)
+
+
+def resolve(spark: SparkSession, path: str, config: Splits = Splits()) -> DataFrame:
+    """Bands from a stored histogram under other budgets; raises where it is empty or its buckets are others."""
+    stored = spark.read.parquet(path)
+    made = stored.select("buckets", "salt").distinct().limit(2).collect()
+    if [tuple(r) for r in made] != [(config.buckets, config.salt)]:
+        raise ValueError(f"the histogram at {path} is empty or was made under other buckets")
+    return bands(stored.select("population", "bucket", "chars"), config)
