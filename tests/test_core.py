@@ -12,6 +12,7 @@ from waraq import config
 from waraq.functions import text as T
 from waraq.operators import analytics, corruption, decontaminate, dedup, encoding, exclusions, generation, neardup, normalize, packing, pii, quality, sampling, scripts, splits
 from waraq.operators.components import connected_components
+from waraq.plans import pipeline
 from waraq.sources import readers
 
 
@@ -377,6 +378,16 @@ def test_late_rows_still_count_within_the_watermark(spark, tmp_path):
     assert sorted((r["kind"], r["n"]) for r in spark.table("windows").collect()) == [("x", 3), ("y", 1)]
 
 
+def test_composed_plan_removes_near_duplicates(spark):
+    rng = random.Random(8)
+    base = [f"word{rng.randrange(400)}" for _ in range(200)]
+    texts = [" ".join(base), " ".join(base[:100] + ["changed"] + base[101:]), " ".join(base), " ".join(f"other{rng.randrange(400)}" for _ in range(200))]
+    df = docs_of(spark, texts).withColumn("source", F.lit("s"))
+    items = spark.createDataFrame([("e", "nothing of this stands in the corpus at all")], "item_id string, text string")
+    got = {r["doc_id"]: r["stage"] for r in pipeline.curate(df, items).collect()}
+    assert sorted(got[i] for i in (0, 1, 2)) == ["exact_duplicate", "kept", "near_duplicate"] and got[3] == "kept"
+
+
 # the registry
 
 

@@ -1,13 +1,17 @@
-"""The composed curation plan: encoding, language, normalization, quality, redaction, deduplication, decontamination."""
+"""The composed curation plan: encoding, language, normalization, quality, redaction, exact and near deduplication, decontamination.
+
+Each stage sees what the one before it left. Lines that documents share stay, and only e-mail addresses
+are redacted: line removal and the other redactions are queries of their own.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waraq.config import Encoding, EvalSet, Quality
+from waraq.config import Encoding, EvalSet, NearDup, Quality
 from waraq.functions.text import rate
-from waraq.operators import decontaminate, dedup, encoding, normalize, pii, quality, scripts
+from waraq.operators import decontaminate, dedup, encoding, neardup, normalize, pii, quality, scripts
 from waraq.session import cut
 
 
@@ -31,12 +35,14 @@ def stages(docs: DataFrame, quality_config: Quality = Quality()) -> DataFrame:
     return scored.select("doc_id", "source", pii.redact_emails(F.col("text")).alias("text"), "label", "reasons", "kept")
 
 
-def curate(docs: DataFrame, items: DataFrame, quality_config: Quality = Quality(), spec: EvalSet = EvalSet("default")) -> DataFrame:
+def curate(docs: DataFrame, items: DataFrame, quality_config: Quality = Quality(), spec: EvalSet = EvalSet("default"), near_config: NearDup = NearDup()) -> DataFrame:
     """(doc_id, source, label, stage): where each document leaves the plan, or 'kept'."""
     passed = cut(stages(docs, quality_config))
     good = passed.filter("kept")
-    unique = dedup.verdicts(good)
-    dirty = decontaminate.verdicts(decontaminate.hits(good, items, spec), spec).select(F.col("doc_id").alias("_d"), F.lit(True).alias("dirty"))
-    joined = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source")).join(passed.select("doc_id", "label", F.col("kept").alias("good")), "doc_id", "left").join(unique.select("doc_id", F.col("kept").alias("unique")), "doc_id", "left").join(dirty, F.col("doc_id").cast("string") == F.col("_d"), "left")
-    stage = F.when(F.col("good").isNull(), "encoding").when(~F.col("good"), "quality").when(~F.col("unique"), "exact_duplicate").when(F.col("dirty"), "contaminated").otherwise("kept")
+    unique = cut(dedup.verdicts(good).select("doc_id", F.col("kept").alias("unique")))
+    left = cut(neardup.without(good.select("doc_id", "text"), unique.filter(~F.col("unique"))))
+    near = cut(neardup.verdicts(left, near_config).filter(~F.col("kept")).select("doc_id", F.lit(True).alias("near")).distinct())
+    dirty = decontaminate.verdicts(decontaminate.hits(neardup.without(left, near), items, spec), spec).select(F.col("doc_id").alias("_d"), F.lit(True).alias("dirty"))
+    joined = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source")).join(passed.select("doc_id", "label", F.col("kept").alias("good")), "doc_id", "left").join(unique, "doc_id", "left").join(near, "doc_id", "left").join(dirty, F.col("doc_id").cast("string") == F.col("_d"), "left")
+    stage = F.when(F.col("good").isNull(), "encoding").when(~F.col("good"), "quality").when(~F.col("unique"), "exact_duplicate").when(F.col("near"), "near_duplicate").when(F.col("dirty"), "contaminated").otherwise("kept")
     return joined.select("doc_id", "source", F.coalesce("label", F.lit("")).alias("label"), stage.alias("stage"))
