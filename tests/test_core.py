@@ -194,6 +194,13 @@ def test_quality_against_plain_python(spark):
     assert fired["too_short"]["fired"] == len(texts) and fired["too_short"]["sole"] <= fired["too_short"]["fired"]
 
 
+def test_repetition_late_in_a_long_text_counts(spark):
+    text = " ".join(f"w{i}" for i in range(100_000)) + " round and round it goes again" * 50_000
+    got = quality.score(quality.measure(docs_of(spark, [text]))).first()
+    share = len(" round and round it goes again") * 50_000 / len(text)
+    assert got["words"] == 400_000 and got["dup_10gram"] == pytest.approx(share, abs=1e-4) and "repetition:dup_10gram" in got["reasons"]
+
+
 def test_percentiles_are_nearest_rank(spark):
     values = [random.Random(6).randrange(50) for _ in range(333)]
     df = spark.createDataFrame([(float(v),) for v in values], "m double")

@@ -56,7 +56,6 @@ class Quality(Config):
     max_url_ratio: float = 0.30
     max_html_ratio: float = 0.10
     max_replacement_rate: float = 0.001
-    max_words: int = 100_000
 
     @classmethod
     def for_sentences(cls) -> Quality:

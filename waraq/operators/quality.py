@@ -25,7 +25,7 @@ TAG = r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]{0,200})?/?>"
 ENTITY = r"&(?:[A-Za-z][A-Za-z0-9]{1,31}|#\d{1,7}|#[Xx][0-9A-Fa-f]{1,6});"
 
 
-def _spans(text: str, most: int) -> tuple[list[str], list[int], list[int], int]:
+def _spans(text: str, most: int | None) -> tuple[list[str], list[int], list[int], int]:
     """Words, where they begin and end, and the characters that ratios are over."""
     words, starts, ends, at = [], [], [], 0
     pieces = text.split()
@@ -35,11 +35,11 @@ def _spans(text: str, most: int) -> tuple[list[str], list[int], list[int], int]:
         starts.append(at)
         at += len(w)
         ends.append(at)
-    return words, starts, ends, (ends[-1] if len(pieces) > most else len(text))
+    return words, starts, ends, (ends[-1] if len(words) < len(pieces) else len(text))
 
 
-def repetition(text: str, top: tuple, dup: tuple, most: int) -> tuple[float, list[float], list[float]]:
-    """(share of characters in repeated lines, top n-gram ratios, repeated n-gram ratios)."""
+def repetition(text: str, top: tuple, dup: tuple, most: int | None = None) -> tuple[float, list[float], list[float]]:
+    """(share of characters in repeated lines, top n-gram ratios, repeated n-gram ratios), of the whole text or its first words."""
     rows = [x for x in (line.strip() for line in text.replace("\r", "\n").split("\n")) if x]
     seen = Counter(rows)
     total = sum(map(len, rows))
@@ -68,7 +68,7 @@ def repetition(text: str, top: tuple, dup: tuple, most: int) -> tuple[float, lis
 
 def measure(docs: DataFrame, config: Quality = Quality(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, chars, words, dup_line_ratio, top_{n}gram.., dup_{n}gram.., url_ratio, html_ratio, replacement_rate)."""
-    top, dup, most = [n for n, _ in config.top_ngram], [n for n, _ in config.dup_ngram], config.max_words
+    top, dup = [n for n, _ in config.top_ngram], [n for n, _ in config.dup_ngram]
     t = F.col("text")
     source = spread(docs.select(F.col(id_col).alias("id"), text_or_empty(F.col(text_col)).alias("text")))
     native = source.select(
@@ -86,7 +86,7 @@ def measure(docs: DataFrame, config: Quality = Quality(), id_col: str = "doc_id"
         for b in batches:
             words, columns = [], [[] for _ in names]
             for text in b.column(1).to_pylist():
-                lines, tops, dups = repetition(text, top, dup, most)
+                lines, tops, dups = repetition(text, top, dup)
                 words.append(len(text.split()))
                 for column, x in zip(columns, (lines, *tops, *dups)):
                     column.append(x)
