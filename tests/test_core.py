@@ -120,6 +120,32 @@ def test_near_duplicates(spark):
     assert rows[0.5] >= rows[0.8] >= rows[0.99]
 
 
+def test_pairs_that_are_not_anchored_are_tried(spark):
+    rng = random.Random(11)
+    texts = []
+    for family in range(3):
+        base = [f"w{family}x{rng.randrange(10**6)}" for _ in range(200)]
+        for _ in range(40):
+            changed = list(base)
+            for at in rng.sample(range(200), rng.choice((2, 2, 3))):
+                changed[at] = f"y{rng.randrange(10**9)}"
+            texts += [" ".join(changed)] * rng.choice((1, 1, 2))
+    sketches = neardup.sketched(docs_of(spark, texts)).cache()
+    held = {r["doc_key"]: r["bins"] for r in sketches.collect()}
+    alike = {(a, b): sum(map(int.__eq__, held[a], held[b])) / 128 for a, b in itertools.combinations(sorted(held), 2)}
+    root = {k: k for k in held}
+    for a, b in (p for p, x in alike.items() if x >= 0.8):
+        old, new = max(root[a], root[b]), min(root[a], root[b])
+        root |= {k: new for k, r in root.items() if r == old}
+    got = {r["doc_key"]: r["cluster"] for r in neardup.clusters(sketches, neardup.linked(sketches, config.NearDup(), 0.8), 0.8).collect()}
+    star = {r["doc_key"]: r["cluster"] for r in neardup.clusters(sketches, neardup.pairs(sketches), 0.8).collect()}
+    assert got == root and star != root
+    assert {(r["a"], r["b"]) for r in neardup.pairs(sketches, every=True).collect() if r["similarity"] >= 0.8} == {p for p, x in alike.items() if x >= 0.8}
+    removed = [r["removed"] for r in neardup.sweep(docs_of(spark, texts), (0.8,), every=True).collect()]
+    kept = [r["kept"] for r in neardup.verdicts(docs_of(spark, texts), every=True).collect()]
+    assert removed == [kept.count(False)] == [len(root) - len(set(root.values()))]
+
+
 def test_sketches_estimate_jaccard():
     rng = random.Random(3)
     order = neardup.probe_order(128, 0)

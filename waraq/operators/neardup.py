@@ -4,6 +4,11 @@ A document's shingle hashes are sketched into bins by one hash; empty bins borro
 order fixed by digests. Candidates of a band bucket are its anchor (the smallest key) with every other
 member, so a bucket of m documents gives m-1 pairs and not m². Anchors come from an aggregation with
 map-side combining and are joined back with salt, so a bucket may hold any share of all rows.
+
+The star is the reference's rule and that of the SQL, and leaves pairs that never meet as anchor and member
+untried. `every` tries them too: linked() gives the components of all pairs of a bucket, for which only
+members that the star left apart have to meet, and pairs() all pairs themselves. At a threshold t of which
+(1 - t) * permutations is below the number of bands, no pair of sketches is missed: some band is equal.
 """
 
 from __future__ import annotations
@@ -24,6 +29,8 @@ from waraq.operators.sampling import lowest_per_group
 from waraq.session import cut, spread
 
 SALTS = 16
+#: Members of a bucket that meet in one place.
+BLOCK = 500
 
 
 def probe_order(bins: int, seed: int) -> np.ndarray:
@@ -75,16 +82,54 @@ def candidates(sketches: DataFrame, config: NearDup = NearDup()) -> DataFrame:
     return members.join(spreadout, ["bucket", "salt"]).filter(F.col("doc_key") != F.col("anchor")).select(F.col("anchor").alias("a"), F.col("doc_key").alias("b")).distinct()
 
 
+def meetings(sketches: DataFrame, config: NearDup = NearDup(), roots: DataFrame | None = None) -> DataFrame:
+    """(a, b): all pairs of some bucket, each once, a the smaller key; with (node, root), those of different roots that the star hasn't tried.
+
+    A bucket is dealt into blocks that meet pairwise, so its work is spread however large it is.
+    """
+    bands = F.transform(F.sequence(F.lit(0), F.lit(config.bands - 1)), lambda i: F.xxhash64(i, F.slice("bins", i * config.rows + 1, config.rows)))
+    if roots is None:
+        held = sketches.select("doc_key", F.col("doc_key").alias("root"), F.explode(bands).alias("bucket"))
+    else:
+        held = sketches.select("doc_key", "bins").join(roots.withColumnRenamed("node", "doc_key"), "doc_key", "left").select("doc_key", F.coalesce("root", "doc_key").alias("root"), F.explode(bands).alias("bucket"))
+    members = with_group(held, "bucket", "doc_key", F.count("*").alias("n"), F.min("doc_key").alias("anchor"), F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") < F.col("high"))
+    if roots is not None:
+        members = members.filter((F.col("n") > 2) & (F.col("doc_key") != F.col("anchor")))
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = cut(members.select("bucket", "doc_key", "root", blocks.alias("blocks"), F.pmod(F.xxhash64(F.lit("block"), "doc_key"), blocks).alias("block")))
+    x = dealt.select("bucket", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("doc_key").alias("x"), F.col("root").alias("p"))
+    y = dealt.select("bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), "block")).alias("i"), F.col("block").alias("j"), F.col("doc_key").alias("y"), F.col("root").alias("q"))
+    met = x.join(y, ["bucket", "i", "j"]).filter((F.col("p") != F.col("q")) & ((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def agreement(x: Column, y: Column, k: int) -> Column:
     return F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda e: e)) / F.lit(float(k))
 
 
-def pairs(sketches: DataFrame, config: NearDup = NearDup()) -> DataFrame:
-    """(a, b, similarity) of candidates that agree in at least `retain` of their bins."""
+def measured(found: DataFrame, sketches: DataFrame, config: NearDup, least: float) -> DataFrame:
+    """(a, b, similarity) of the pairs that agree in at least the least share of their bins."""
     held = sketches.select("doc_key", "bins")
-    found = candidates(sketches, config)
     joined = found.join(held.withColumnsRenamed({"doc_key": "a", "bins": "x"}), "a").join(held.withColumnsRenamed({"doc_key": "b", "bins": "y"}), "b")
-    return joined.select("a", "b", agreement(F.col("x"), F.col("y"), config.permutations).alias("similarity")).filter(F.col("similarity") >= config.retain)
+    return joined.select("a", "b", agreement(F.col("x"), F.col("y"), config.permutations).alias("similarity")).filter(F.col("similarity") >= least)
+
+
+def pairs(sketches: DataFrame, config: NearDup = NearDup(), every: bool = False) -> DataFrame:
+    """(a, b, similarity) of candidates that agree in at least `retain` of their bins."""
+    return measured(meetings(sketches, config) if every else candidates(sketches, config), sketches, config, config.retain)
+
+
+def linked(sketches: DataFrame, config: NearDup, threshold: float) -> DataFrame:
+    """(a, b, similarity): links with the components of all pairs of a bucket that reach the threshold.
+
+    Equal sketches are linked to the first of them, which alone meets others: the star, then what it left apart.
+    """
+    same = with_group(sketches.select("doc_key", F.md5(F.array_join(F.col("bins").cast("array<string>"), ",")).alias("sketch")), "sketch", "doc_key", F.min("doc_key").alias("first"))
+    copies = cut(same.filter(F.col("doc_key") != F.col("first")).select(F.col("first").alias("a"), F.col("doc_key").alias("b"), F.lit(1.0).alias("similarity")))
+    single = sketches.join(copies.select(F.col("b").alias("doc_key")), "doc_key", "left_anti")
+    star = cut(measured(candidates(single, config), single, config, threshold))
+    rest = measured(meetings(single, config, connected_components(star)), single, config, threshold)
+    return copies.unionByName(star).unionByName(rest)
 
 
 def clusters(sketches: DataFrame, retained: DataFrame, threshold: float) -> DataFrame:
@@ -94,23 +139,24 @@ def clusters(sketches: DataFrame, retained: DataFrame, threshold: float) -> Data
     return with_group(named, "cluster", "doc_key", F.count("*").alias("size")).select("id", "doc_key", "cluster", "size", (F.col("doc_key") == F.col("cluster")).alias("kept"))
 
 
-def verdicts(docs: DataFrame, config: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def verdicts(docs: DataFrame, config: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
     """(id, kept, reason, cluster_size) of every document; too short ones are kept as such."""
     sketches = cut(sketched(docs, config, id_col, text_col))
-    found = clusters(sketches, cut(pairs(sketches, config)), config.threshold)
+    found = clusters(sketches, cut(linked(sketches, config, config.threshold) if every else pairs(sketches, config)), config.threshold)
     joined = docs.select(F.col(id_col).alias("id")).join(found, "id", "left")
     reason = F.when(F.col("kept").isNull(), "too_few_shingles").when(~F.col("kept"), "near_duplicate").otherwise("unique")
     return joined.select(F.col("id").alias(id_col), F.coalesce("kept", F.lit(True)).alias("kept"), reason.alias("reason"), F.coalesce("size", F.lit(1)).cast("bigint").alias("cluster_size"))
 
 
-def sweep(docs: DataFrame, thresholds: tuple, config: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sweep(docs: DataFrame, thresholds: tuple, config: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
     """(threshold, clusters, removed, largest): the same pairs clustered at other thresholds, none below `retain`."""
     if min(thresholds) < config.retain:
         raise ValueError(f"pairs below {config.retain} were not retained")
     sketches = cut(sketched(docs, config, id_col, text_col))
-    retained, out = cut(pairs(sketches, config)), None
+    retained, out = None if every else cut(pairs(sketches, config)), None
     for t in thresholds:
-        sizes = connected_components(retained.filter(F.col("similarity") >= t).select("a", "b")).groupBy("root").agg(F.count("*").alias("n"))
+        links = cut(linked(sketches, config, t)) if every else retained
+        sizes = connected_components(links.filter(F.col("similarity") >= t).select("a", "b")).groupBy("root").agg(F.count("*").alias("n"))
         row = sizes.agg(F.lit(t).alias("threshold"), F.count("*").alias("clusters"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("removed"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
         out = row if out is None else out.unionByName(row)
     return out

@@ -40,8 +40,8 @@ def curate(docs: DataFrame, items: DataFrame, quality_config: Quality = Quality(
     passed = cut(stages(docs, quality_config))
     good = passed.filter("kept")
     unique = cut(dedup.verdicts(good).select("doc_id", F.col("kept").alias("unique")))
-    left = cut(neardup.without(good.select("doc_id", "text"), unique.filter(~F.col("unique"))))
-    near = cut(neardup.verdicts(left, near_config).filter(~F.col("kept")).select("doc_id", F.lit(True).alias("near")).distinct())
+    left = neardup.without(good.select("doc_id", "text"), unique.filter(~F.col("unique")))
+    near = cut(neardup.verdicts(left, near_config, every=True).filter(~F.col("kept")).select("doc_id", F.lit(True).alias("near")).distinct())
     dirty = decontaminate.verdicts(decontaminate.hits(neardup.without(left, near), items, spec), spec).select(F.col("doc_id").alias("_d"), F.lit(True).alias("dirty"))
     joined = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source")).join(passed.select("doc_id", "label", F.col("kept").alias("good")), "doc_id", "left").join(unique, "doc_id", "left").join(near, "doc_id", "left").join(dirty, F.col("doc_id").cast("string") == F.col("_d"), "left")
     stage = F.when(F.col("good").isNull(), "encoding").when(~F.col("good"), "quality").when(~F.col("unique"), "exact_duplicate").when(F.col("near"), "near_duplicate").when(F.col("dirty"), "contaminated").otherwise("kept")

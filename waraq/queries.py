@@ -228,6 +228,11 @@ def near_dup_verdicts(spark, d):
     return neardup.verdicts(_docs(spark, d))
 
 
+@query
+def near_dup_all_verdicts(spark, d):
+    return neardup.verdicts(_docs(spark, d), every=True)
+
+
 @query
 def near_dup_sweep(spark, d):
     return neardup.sweep(_docs(spark, d), (0.5, 0.6, 0.7, 0.8, 0.9))
