@@ -133,6 +133,21 @@ def test_surrogates_are_distinct_consistent_and_of_the_same_form(spark):
     assert len(numbers) == len(range(0, 100000, 7))
 
 
+def test_surrogates_of_addresses(spark):
+    known = spark.createDataFrame(KNOWN, "name_part string, roman string, urdu string")
+    places = ["Rodar Town", "Misal Town", "Mohalla Kotal", "Karandar Colony", "Tira Colony", "LISPURA Town"]
+    texts = [f"House {n}, Street {k}, {p}" for n in (5, 6, 12) for k in range(1, 10) for p in places] + ["House 12-B, Block C, Rodar Town", "مکان نمبر ۷، گلی نمبر ۳، محلہ میسیم", "مکان نمبر ۷، گلی نمبر ۴، محلہ میسیم", "Flat No. 5, street 3, rodar town"]
+    df = spark.createDataFrame(list(enumerate(texts)), "result_id bigint, text string")
+    got = {r["result_id"]: r["surrogate"] for r in pii.replaced(pii.scan(df, "result_id", "text", known), "result_id", known).collect()}
+    changed = [got[i] for i in range(len(texts))]
+    assert len(set(changed)) == len(texts) and not set(changed) & set(texts)
+    form = lambda t: re.sub("[A-Z]+", "X", re.sub("[a-z]+", "x", re.sub(r"\d", "0", t)))
+    assert all("Rodar" not in t and "Misal" not in t and "Kotal" not in t and "میسیم" not in t for t in changed)
+    assert [form(t) for t in changed[:162]] == [form(t) for t in texts[:162]] and re.fullmatch(r"House \d\d-[A-Z], Block [A-Z], [A-Z][a-z]+ Town", changed[162])
+    assert re.fullmatch(r"مکان نمبر [۰-۹]، گلی نمبر [۰-۹]، محلہ [ء-ۓ]+", changed[163]) and changed[162].split(", ")[2].lower() == changed[165].split(", ")[2]
+    assert sorted(pii.permute_digits(c, b"k", "x") for c in "0123456789") == list("0123456789")
+
+
 # 4
 
 

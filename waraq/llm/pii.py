@@ -10,7 +10,9 @@ Each find becomes a typed placeholder in one output and a surrogate in another.
 the same entity gets the same one throughout the corpus, whatever its spelling, two entities never get
 the same one, and type, script, letter case, format and the gender that a title shows are kept.
 Digits go through a keyed permutation of all numbers of that length, which can't collide; names and
-mailboxes are drawn, checked for collisions over the whole corpus, and drawn again.
+mailboxes are drawn, checked for collisions over the whole corpus, and drawn again. An address keeps its
+words for streets, blocks and the like; its numbers and single letters are permuted and each word of a
+place is drawn as names are, so two addresses differ where their originals do.
 
 Defined cases: null and empty texts and rows without an id have no finds; placeholders already in a text
 are not finds; overlapping finds are settled in the order e-mail, identity number, phone, address,
@@ -28,7 +30,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waraq.llm.words import kept, new_name
@@ -228,15 +230,27 @@ def items(scanned: DataFrame, key: str) -> DataFrame:
 # -- surrogates
 
 
+#: Words of addresses that stay: they tell what a number or a name is.
+ADDRESS_WORDS = frozenset("house ghar makan flat plot kothi apartment apt no number street gali st floor manzil block sector phase lane road mohalla town colony plaza avenue bazaar مکان کوٹھی فلیٹ گھر پلاٹ دکان نمبر گلی بلاک منزل سیکٹر سڑک محلہ ٹاؤن کالونی پلازہ روڈ بازار".split())
+_ADDRESS_TOKEN = regex.compile(r"\p{L}+|\d+")
+_SYLLABLES = ("ba", "da", "ka", "la", "ma", "na", "ra", "sa", "to", "zi")
+
+
 def _draw(secret: bytes, *parts: str) -> int:
     return int.from_bytes(hmac.new(secret, "\x1f".join(parts).encode(), hashlib.sha256).digest()[:8], "big")
 
 
+def permute_sign(sign: str, signs: str, secret: bytes, purpose: str) -> str:
+    """The next of the signs in a keyed cycle of all: a permutation that leaves none as it is."""
+    cycle = sorted(signs, key=lambda c: (_draw(secret, purpose, "cycle", c), c))
+    return cycle[(cycle.index(sign) + 1) % len(cycle)]
+
+
 def permute_digits(digits: str, secret: bytes, purpose: str) -> str:
     """A keyed permutation of all numbers of this length: a balanced Feistel network on decimal halves."""
     n = len(digits)
     if n < 2:
-        return digits
+        return permute_sign(digits, "0123456789", secret, purpose) if n else digits
     cut_at = n // 2
     a, b = digits[:cut_at], digits[cut_at:]
     for r in range(8):
@@ -263,13 +277,36 @@ def surrogate_name(entity: str, gender: str, attempt: int, secret: bytes, names:
     return g, f
 
 
+def surrogate_place(word: str, attempt: int, secret: bytes, names: Names) -> str:
+    """A word for a place in the script of the given one, never that itself; further attempts join more names."""
+    arabic, pool = word[-1:] > "֐", names.family_pool + names.given_pool or list(_SYLLABLES)
+    for k in range(1000):
+        drawn = [pool[_draw(secret, "place", word, f"{attempt}.{k}.{i}") % len(pool)] for i in range(1 + attempt // 2 + k // 100)]
+        made = "".join(c for x in drawn for c in names.forms.get(x, (x, x))[arabic].lower() if c.isalpha())
+        if len(made) > 1 and made != word and made not in ADDRESS_WORDS:
+            return made
+    raise RuntimeError("no name for a place")
+
+
+def _place_words(entity: Column) -> Column:
+    """The words of an address that name places."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(entity, F.lit(r"(\p{L}+)"), F.lit(1)), lambda w: (F.length(w) > 1) & ~w.isin(*sorted(ADDRESS_WORDS))))
+
+
+def _drawn(m: DataFrame, *keys: str) -> DataFrame:
+    """(keys, category, entity, gender) of all that is drawn: names, mailboxes and words of places. m: (keys, m)."""
+    whole = m.filter(F.col("m.category").isin("person_name", "email")).select(*keys, "m.category", "m.entity", "m.gender")
+    places = m.filter(F.col("m.category") == "street_address").select(*keys, F.lit("place").alias("category"), F.explode(_place_words(F.col("m.entity"))).alias("entity"), F.lit("").alias("gender"))
+    return whole.unionByName(places)
+
+
 def _resolve(scanned: DataFrame, secret: bytes, names_rows: list, rounds: int = 24) -> DataFrame:
-    """(category, entity, ticket): a distinct ticket (given, family and a number, 0 where not needed) for each name and mailbox.
+    """(category, entity, ticket): a distinct ticket (given, family and a number, 0 where not needed) for each name and mailbox, and a distinct word for each word of a place.
 
     Every round all unsettled entities draw; of those that draw the same free ticket the smallest hash
     keeps it. Draws are keyed, so the same corpus always gets the same surrogates.
     """
-    entities = scanned.select(F.explode("matches").alias("m")).filter(F.col("m.category").isin("person_name", "email")).groupBy("m.category", "m.entity").agg(F.max("m.gender").alias("gender"))
+    entities = _drawn(scanned.select(F.explode("matches").alias("m"))).groupBy("category", "entity").agg(F.max("gender").alias("gender"))
     shared, name = scanned.sparkSession.sparkContext.broadcast(names_rows), new_name()
 
     def draws(attempt: int):
@@ -279,6 +316,9 @@ def _resolve(scanned: DataFrame, secret: bytes, names_rows: list, rounds: int =
                 c, e, g = (b.column(i).to_pylist() for i in range(3))
                 tickets = []
                 for category, entity, gender in zip(c, e, g):
+                    if category == "place":
+                        tickets.append(surrogate_place(entity, attempt, secret, names))
+                        continue
                     first, last = surrogate_name(entity, gender or "", attempt, secret, names)
                     number = 0 if category == "person_name" and attempt < 4 else _draw(secret, "n", entity, str(attempt)) % 10 ** min(9, 2 + attempt)
                     tickets.append(f"{first}|{last}|{number}")
@@ -304,7 +344,8 @@ def replaced(scanned: DataFrame, key: str, known_names: DataFrame, secret: bytes
     """(key, redacted, surrogate): the text with typed placeholders, and with surrogates."""
     rows = _names_of(known_names)
     tickets = _resolve(scanned, secret, rows)
-    wanted = scanned.select(key, F.xxhash64("text").alias("t"), F.explode("matches").alias("m")).select(key, "t", F.col("m.category").alias("category"), F.col("m.entity").alias("entity")).distinct()
+    wanted = scanned.select(key, F.xxhash64("text").alias("t"), F.explode("matches").alias("m"))
+    wanted = _drawn(wanted, key, "t").select(key, "t", "category", "entity").distinct()
     held = wanted.join(tickets, ["category", "entity"]).groupBy(key, "t").agg(F.collect_list(F.struct("category", "entity", "ticket")).alias("tickets"))
     joined = scanned.withColumn("t", F.xxhash64("text")).join(held, [key, "t"], "left").select(key, "text", "matches", "tickets")
     shared, name = scanned.sparkSession.sparkContext.broadcast(rows), new_name()
@@ -320,7 +361,7 @@ def replaced(scanned: DataFrame, key: str, known_names: DataFrame, secret: bytes
                 for m in matches:
                     span = text[m["span_start"] : m["span_end"]]
                     one += [text[at : m["span_start"]], PLACEHOLDERS[m["category"]]]
-                    two += [text[at : m["span_start"]], _surrogate(m, span, known.get((m["category"], m["entity"])), secret, names)]
+                    two += [text[at : m["span_start"]], _surrogate(m, span, known, secret, names)]
                     at = m["span_end"]
                 redacted.append("".join(one) + text[at:])
                 surrogate.append("".join(two) + text[at:])
@@ -329,8 +370,21 @@ def replaced(scanned: DataFrame, key: str, known_names: DataFrame, secret: bytes
     return joined.mapInArrow(run, f"{key} {kind}, redacted string, surrogate string")
 
 
-def _surrogate(match: dict, span: str, ticket: str | None, secret: bytes, names: Names) -> str:
+def _address_token(token: str, known: dict, secret: bytes, first: bool) -> str:
+    low = token.lower()
+    if token[0].isdecimal():
+        return _keep_digits(token, permute_digits(token.translate(_DIGITS), secret, "address"))
+    if low in ADDRESS_WORDS or first and low == "h":
+        return token
+    if len(token) > 1:
+        return _like(known[("place", low)], token)
+    return _like(permute_sign(low, "abcdefghijklmnopqrstuvwxyz", secret, "address"), token) if "a" <= low <= "z" else token
+
+
+def _surrogate(match: dict, span: str, known: dict, secret: bytes, names: Names) -> str:
+    """known: the ticket of each (category, entity) that is drawn."""
     category, entity = match["category"], match["entity"]
+    ticket = known.get((category, entity))
     plain = span.translate(_DIGITS)
     if category == "identity_number":
         letters = "".join(c for c in entity if c.isalpha())
@@ -342,8 +396,7 @@ def _surrogate(match: dict, span: str, ticket: str | None, secret: bytes, names:
         tail = min(7, len(digits) - 3)  # country and operator codes stay: the number remains of its kind
         return _keep_digits(span, digits[:-tail] + permute_digits(digits[-tail:], secret, "phone" + entity[:-tail]))
     if category == "street_address":
-        numbers = iter([permute_digits(x, secret, "address" + entity) for x in re.findall(r"\d+", plain)])
-        return re.sub(r"\d+", lambda m: _keep_digits(span[m.start() : m.end()], next(numbers)), plain)
+        return _ADDRESS_TOKEN.sub(lambda m: _address_token(m[0], known, secret, m.start() == 0), span)
     first, last, number = (ticket or "||0").split("|")
     if category == "email":
         return _like(f"{first}.{last}{number}@mail.example" if first.isascii() else f"user{number}@mail.example", span)
