@@ -53,6 +53,23 @@ def test_mojibake_round_trip(spark):
         assert found[k]["restored"] == t and not found[k]["lost"]
 
 
+@pytest.mark.parametrize("most", [400, 300, 1000])
+def test_mojibake_trains_on_most_texts_at_every_size(spark, monkeypatch, most):
+    honest, models, parts, validate, judged = honest_corpus(), [], [], mojibake.validate, mojibake.judged
+    monkeypatch.setattr(mojibake, "HELD_OUT", most)
+    monkeypatch.setattr(mojibake, "validate", lambda model, *a: models.append(model) or validate(model, *a))
+    monkeypatch.setattr(mojibake, "judged", lambda model, texts, k: parts.append((model, texts)) or judged(model, texts, k))
+    df = spark.createDataFrame(enumerate(honest * 2), "record_id bigint, text string")
+    mojibake.restored(df, "record_id", "text")
+    clean = [t for t in honest if mojibake.seems_clean(t)]
+    assert models[0].total == pytest.approx(2 * sum(len(t) + 2 for t in clean), rel=0.02)
+    for model, texts in parts:
+        assert 0 < len(texts) <= 40
+        rest = mojibake.train(df.filter(~F.col("text").isin(texts)), "text")
+        assert np.array_equal(model.t3, rest.t3)
+    assert len(parts) >= 2 and sorted(t for _, texts in parts for t in texts) == sorted(set(clean)) or most == 300
+
+
 def test_mojibake_lost_bytes_are_found_and_not_restored(spark):
     honest = honest_corpus()
     bad = honest[0].encode().decode("latin-1").replace("\x81", "�")
