@@ -8,7 +8,8 @@ beside a title.
 
 Each find becomes a typed placeholder in one output and a surrogate in another. Surrogates are keyed:
 the same entity gets the same one throughout the corpus, whatever its spelling, two entities never get
-the same one, and type, script, letter case, format and the gender that a title shows are kept.
+the same one, and type, script, letter case and format are kept. Gender is not: the list of known names
+has none, so a title only chooses between two keyed halves of the given names.
 Digits go through a keyed permutation of all numbers of that length, which can't collide; names and
 mailboxes are drawn, checked for collisions over the whole corpus, and drawn again. An address keeps its
 words for streets, blocks and the like; its numbers and single letters are permuted and each word of a
