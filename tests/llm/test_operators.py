@@ -217,6 +217,16 @@ def test_leak_sketches_keep_all_of_short_items():
     assert 0 < leaks.threshold(5000, 0.6, 1e-9) < 2**64 - 1
 
 
+def test_items_that_repeat_a_passage_are_not_missed():
+    rng = random.Random(12)
+    for k in range(60):
+        passage = " ".join(f"w{k}x{rng.randrange(10**6)}" for _ in range(20))
+        sketch = leaks.Sketch([("e", " ".join([passage] * 250))], 0.6, 1e-9)
+        assert sketch.candidates(leaks.shingle_values(leaks.split(passage + " " + passage), {})) == {0}
+    words = [f"w{i}" for i in range(5000)]
+    assert len(leaks.Sketch([("e", " ".join(words))], 0.6, 1e-9).values) < 1000
+
+
 # 6
 
 

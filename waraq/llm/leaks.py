@@ -1,11 +1,13 @@
 """Problem 5: evaluation texts leaking into training text, by size-partitioned MinHash containment search.
 
 Items are partitioned by their number of words. Each partition keeps the hash values of its items'
-8-word shingles below a partition threshold (a MinHash sketch by threshold: unlike a fixed number of
+8-word shingles below a threshold (a MinHash sketch by threshold: unlike a fixed number of
 minima it compares a short item with a long document). An item of w words of which the share C leaks
-has at least ceil(C*w/8) shingles in the document, so the threshold of a partition is the smallest
-sampling rate at which all of them are missed with a probability of at most `miss`; for short items
-that rate is 1. A document that holds a sketch value of an item is a candidate, and candidates are
+has at least ceil(C*w/8) places of shingles in the document. A sketch holds different values, so what
+counts is how many different shingles these places must have: at least as many as the item's most frequent
+shingles need to fill them. The threshold is the smallest sampling rate at which all of those are missed
+with a probability of at most `miss`, never below that of the partition; for short items, and for long
+ones that repeat a few shingles, that rate is 1 or near it. A document that holds a sketch value of an item is a candidate, and candidates are
 verified on the spot by exact containment of the item's shingles, as words.
 
 The items are the stated query set: they are taken in blocks of a bounded size, each block is sent to
@@ -57,6 +59,14 @@ def threshold(n_words: int, containment: float, miss: float) -> int:
     return min(2**64 - 1, int(sampling_rate(low, containment, miss) * 2**64))
 
 
+def rate_threshold(counts: np.ndarray, n_words: int, containment: float, miss: float) -> int:
+    """threshold() of an item by the number of places of each of its different shingles."""
+    places = max(1, math.ceil(containment * n_words / SHINGLE))
+    runs = int(np.searchsorted(np.cumsum(np.sort(counts)[::-1]), places)) + 1
+    rate = 1 - miss ** (1 / runs) if runs > 1 else 1.0
+    return max(threshold(n_words, containment, miss), min(2**64 - 1, int(rate * 2**64)))
+
+
 def split(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
@@ -86,8 +96,8 @@ class Sketch:
         self.items = [(i, split(t)) for i, t in items]
         values, owners = [], []
         for k, (_, ws) in enumerate(self.items):
-            v = np.unique(shingle_values(ws, memo))
-            v = v[v <= np.uint64(threshold(len(ws), containment, miss))]
+            v, places = np.unique(shingle_values(ws, memo), return_counts=True)
+            v = v[v <= np.uint64(rate_threshold(places, len(ws), containment, miss))]
             values.append(v)
             owners.append(np.full(len(v), k, np.int32))
         v, o = np.concatenate(values or [np.empty(0, np.uint64)]), np.concatenate(owners or [np.empty(0, np.int32)])
