@@ -268,6 +268,16 @@ def test_languages_held_out(spark, sf):
     assert all(docs[r["doc_id"]] == r["label"] for r in rows)
 
 
+def test_corpus_words_of_every_language_count(spark, sf, monkeypatch):
+    monkeypatch.setattr(languages, "MAX_WORDS", 3, raising=False)
+    first = languages._first_model(table(spark, sf, "label_samples"))
+    rows = table(spark, sf, "label_samples").filter("label in ('urdu', 'english')").select(F.concat("text", F.when(F.col("label") == "english", F.lit(" thingamajig")).otherwise(F.lit(" کتابچہ"))).alias("text"), "label").cache()
+    once = rows.filter("label = 'english'").limit(1).select(F.concat("text", F.lit(" doohickeyish")).alias("text"), "label")
+    model = languages._second_model(first, rows.unionByName(once))
+    urdu, english = (model.words[languages.LANGUAGES.index(x)] for x in ("urdu", "english"))
+    assert english["thingamajig"] > 1 and english["doohickeyish"] == 1 and any(w not in first.words[0] for w in urdu)
+
+
 def test_latest_population_wins(spark):
     rows = [("a", "urdu", "2024-01-01", "2024-01-01"), ("a", "english", "2024-02-01", "2024-01-05"), ("b", None, "2024-01-01", "2024-01-01")]
     df = spark.createDataFrame(rows, "doc_id string, population string, written_ts string, loaded_ts string")

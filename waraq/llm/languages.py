@@ -41,8 +41,6 @@ SHARED, PENALTY = 0.2, 3.0
 BESIDE, BESIDE_MOST = 0.5, 4.0
 #: Labelled samples that the first models are fitted on, at most.
 MAX_LABELLED = 50_000
-#: Words of the corpus that the second models take, the most frequent ones: their size whatever the corpus.
-MAX_WORDS = 300_000
 MEMO_WORDS = 300_000
 _WORD = regex.compile(r"[\p{L}\p{M}\p{Cf}'’]*\p{L}[\p{L}\p{M}\p{Cf}'’]*")
 _LETTER = regex.compile(r"\p{L}")
@@ -235,9 +233,9 @@ def _second_model(first: Model, rows: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in keys], pa.string()), pa.array([x[1] for x in keys], pa.string()), pa.array([found[x] for x in keys], pa.int64())], ["language", "word", "n"])
 
     sums = rows.select("text", "label").mapInArrow(run, "language string, word string, n bigint").groupBy("language", "word").agg(F.sum("n").alias("n"))
-    frequent = sums.filter(F.col("n") > 1).orderBy(F.desc("n"), "language", "word").limit(MAX_WORDS).toArrow()
+    found = sums.orderBy("language", "word").toArrow()
     counts = {name: Counter(w) for name, w in zip(LANGUAGES, first.words)}
-    for name, w, n in zip(*(frequent.column(c).to_pylist() for c in ("language", "word", "n"))):
+    for name, w, n in zip(*(found.column(c).to_pylist() for c in ("language", "word", "n"))):
         counts[name][w] += n
     return Model(counts)
 
