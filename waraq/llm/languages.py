@@ -2,9 +2,14 @@
 
 Each language has a word model: a character n-gram model with smoothing by shorter contexts, mixed
 with the frequencies of whole words. A segment is a mixture of languages; expectation maximisation
-finds the proportions under which its words are likeliest, over sets of one, two, three and all
+finds the proportions under which its words are likeliest, over sets of one to all of the
 languages, and the set with the best likelihood penalised by its size (BIC) is taken. Words then share
-out their letters by their posterior language. A document's letters are those of its segments.
+out their letters by their posterior language.
+
+A document is inferred in the same way from all its segments. A segment that no mixture could explain
+better is one unit, the words of the others are units of their own. Units are counted by their signature, the log
+likelihoods of the languages below the best one in steps, of which there are boundedly many
+however large the document, and EM and the choice of the set run over the counted signatures.
 
 The models are first fitted on the labelled samples and then once more on counts of all segments whose
 recorded label agrees with a sure first result, which adds the vocabulary of the corpus.
@@ -17,6 +22,7 @@ language named first; repeated rows count once; other columns are ignored.
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,9 +48,9 @@ BESIDE, BESIDE_MOST = 0.5, 4.0
 #: Labelled samples that the first models are fitted on, at most.
 MAX_LABELLED = 50_000
 MEMO_WORDS = 300_000
-_WORD = regex.compile(r"[\p{L}\p{M}\p{Cf}'’]*\p{L}[\p{L}\p{M}\p{Cf}'’]*")
-_LETTER = regex.compile(r"\p{L}")
 _CF = regex.compile(r"\p{Cf}+")
+#: Size of the steps in which a signature counts, the steps at most, and the bits of each language.
+STEP, DEEPEST, BITS = 0.25, 255, 8
 # The Arabic keyboard's letters as Urdu text may have them, and the Urdu keyboard's.
 _KEYS = str.maketrans("يكهى", "یکہی")
 _FLOOR = -60.0
@@ -59,8 +65,25 @@ def _same_script(language: str, word: str) -> bool:
     return language in ("roman_urdu", "english", "other")
 
 
+class _Signs(dict):
+    """For str.translate: letters, marks, invisible signs and apostrophes stay, the rest becomes space."""
+
+    def __missing__(self, point: int) -> int:
+        c = chr(point)
+        kind = unicodedata.category(c)
+        self[point] = point if kind[0] in "LM" or kind == "Cf" or c in "'’" else 32
+        return self[point]
+
+
+_SIGNS = _Signs()
+
+
+def _n_letters(word: str) -> int:
+    return sum(map(str.isalpha, word))
+
+
 def words(text: str) -> list[str]:
-    return [_CF.sub("", w).lower() for w in _WORD.findall(text)]
+    return [_CF.sub("", w).lower() for w in text.translate(_SIGNS).split() if _n_letters(w)]
 
 
 def letters(text: Column) -> Column:
@@ -94,7 +117,9 @@ class Model:
             for w, n in ws.items():
                 shared[w] += n / total / len(LANGUAGES)
         self.shared = shared
-        self.memo: dict[str, np.ndarray] = {}
+        self.memo: dict[str, int] = {}
+        self.scores = np.empty((1024, len(LANGUAGES)))
+        self.letters = np.empty(1024)
 
     def _spelled(self, table: dict, marked: str) -> float:
         out = 0.0
@@ -109,25 +134,55 @@ class Model:
         return out
 
     def __call__(self, word: str) -> np.ndarray:
-        got = self.memo.get(word)
-        if got is None:
-            out = []
-            # Arabic has its own keyboard; for the other languages its letters are another typing of theirs
-            for name, ws, total, table in zip(LANGUAGES, self.words, self.totals, self.grams):
-                form = word if name == "arabic" else word.translate(_KEYS)
-                spelled = math.exp(max(_FLOOR * 4, self._spelled(table, "^" + form + "$"))) if table else 0.0
-                known = ws.get(form, 0) / (total + 1)
-                # names go through all languages of a script, so a part of every model is what all have seen
-                out.append(math.log(0.4 * known + 0.4 * spelled + (SHARED * self.shared.get(form, 0.0) if _same_script(name, form) else 0.0) + 1e-300))
-            got = np.maximum(np.array(out), max(out) + _FLOOR)
-            if len(self.memo) > MEMO_WORDS:
-                self.memo.clear()
-            self.memo[word] = got
-        return got
-
-
-def _expect(scores: np.ndarray, owner: np.ndarray, starts: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(proportions, log likelihood, posteriors) of mixtures; rows of a mixture are together, from starts on; allowed: mixtures x languages."""
+        """Log likelihoods of a word, as words() gives it."""
+        out = []
+        # Arabic has its own keyboard; for the other languages its letters are another typing of theirs
+        for name, ws, total, table in zip(LANGUAGES, self.words, self.totals, self.grams):
+            form = word if name == "arabic" else word.translate(_KEYS)
+            spelled = math.exp(max(_FLOOR * 4, self._spelled(table, "^" + form + "$"))) if table else 0.0
+            known = ws.get(form, 0) / (total + 1)
+            # names go through all languages of a script, so a part of every model is what all have seen
+            out.append(math.log(0.4 * known + 0.4 * spelled + (SHARED * self.shared.get(form, 0.0) if _same_script(name, form) else 0.0) + 1e-300))
+        return np.maximum(np.array(out), max(out) + _FLOOR)
+
+    def _add(self, raw: str) -> int:
+        """The row of a word as it stands in a text; -1 for one without letters."""
+        n, k = _n_letters(raw), len(self.memo)
+        if not n:
+            self.memo[raw] = -1
+            return -1
+        if k >= len(self.letters):
+            self.scores = np.concatenate([self.scores, np.empty_like(self.scores)])
+            self.letters = np.concatenate([self.letters, np.empty_like(self.letters)])
+        self.scores[k] = self(_CF.sub("", raw).lower())
+        self.letters[k] = n
+        self.memo[raw] = k
+        return k
+
+    def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of the words of all texts, number of words of each text)."""
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        flat: list[int] = []
+        count = np.zeros(len(texts), int)
+        get = self.memo.get
+        for i, t in enumerate(texts):
+            before = len(flat)
+            for w in t.translate(_SIGNS).split():
+                k = get(w)
+                if k is None:
+                    k = self._add(w)
+                if k >= 0:
+                    flat.append(k)
+            count[i] = len(flat) - before
+        return np.array(flat, int), count
+
+
+def _expect(scores: np.ndarray, units: np.ndarray, weight: np.ndarray, owner: np.ndarray, starts: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(proportions, log likelihood, posteriors) of mixtures; rows of a mixture are together, from starts on; allowed: mixtures x languages.
+
+    A row stands for so many units of equal scores, which count in the proportions by their weight.
+    """
     top = scores.max(1, keepdims=True)
     like = np.exp(scores - top) * allowed[owner]
     share = allowed / allowed.sum(1, keepdims=True)
@@ -137,61 +192,95 @@ def _expect(scores: np.ndarray, owner: np.ndarray, starts: np.ndarray, allowed:
         post /= mass
         if step == ITERATIONS:
             break
-        share = np.add.reduceat(post, starts)
+        share = np.add.reduceat(post * weight, starts)
         share /= np.maximum(share.sum(1, keepdims=True), 1e-300)
-    return share, np.add.reduceat(np.log(mass[:, 0]) + top[:, 0], starts), post
+    return share, np.add.reduceat(units * (np.log(mass[:, 0]) + top[:, 0]), starts), post
 
 
-def mixtures(model: Model, texts: list[str]) -> np.ndarray:
-    """Letters of each language in each text.
+def _infer(scores: np.ndarray, units: np.ndarray, n_words: np.ndarray, n_letters: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(letters by language, whether a mixture could pay) of each text; count: rows of each text, at least one.
 
-    One language is tried first. No mixture fits better than that of all languages, so the sets of two
-    and more are only tried where that gain could pay for one more language.
+    One language is tried first. No mixture fits better than each row's best language, so the sets of two and more, which
+    leave out the languages of the smallest proportions one by one, are only tried where that bound could pay for one more.
     """
-    parts = [words(t) for t in texts]
     k = len(LANGUAGES)
-    result = np.zeros((len(texts), k))
-    filled = np.array([i for i, p in enumerate(parts) if p], int)
-    if not len(filled):
-        return result
-    parts = [parts[i] for i in filled]
-    flat = [w for p in parts for w in p]
-    scores = np.stack([model(w) for w in flat])
-    weight = np.array([len(_LETTER.findall(w)) for w in flat], float)[:, None]
-    count = np.array([len(p) for p in parts])
     starts = np.cumsum(count) - count
-    owner = np.repeat(np.arange(len(parts)), count)
-    near = np.maximum(scores - scores.max(1, keepdims=True), -BESIDE_MOST)
-    inside = (owner[1:] == owner[:-1])[:, None]
-    scores[1:] += BESIDE * near[:-1] * inside
-    scores[:-1] += BESIDE * near[1:] * inside
-    fits = np.add.reduceat(scores, starts)
-    price = PENALTY * np.log(np.maximum(count, 2))
+    top = scores.max(1)
+    fits = np.add.reduceat(scores * units[:, None], starts)
+    price = PENALTY * np.log(np.maximum(np.add.reduceat(n_words, starts), 2))
     best, single = fits.max(1) - price, fits.argmax(1)
-    letters_in = np.add.reduceat(weight, starts)
-    taken = np.zeros((len(parts), k))
-    taken[np.arange(len(parts)), single] = letters_in[:, 0]
-    bound = np.add.reduceat(scores.max(1), starts)  # no mixture can fit better than each word's best language
-    some = np.flatnonzero(bound - 2 * price > best)
+    taken = np.zeros((len(count), k))
+    taken[np.arange(len(count)), single] = np.add.reduceat(n_letters, starts)
+    some = np.flatnonzero(np.add.reduceat(top * units, starts) - 2 * price > best)
+    open_ = np.zeros(len(count), bool)
+    open_[some] = True
     if len(some):
-        rows = np.concatenate([np.arange(starts[i], starts[i] + count[i]) for i in some])
-        scores, weight, count = scores[rows], weight[rows], count[some]
+        rows = np.flatnonzero(np.repeat(open_, count))
+        scores, units, n_words, n_letters, count = scores[rows], units[rows], n_words[rows, None], n_letters[rows, None], count[some]
         starts = np.cumsum(count) - count
         owner = np.repeat(np.arange(len(some)), count)
-        everything, fit, _ = _expect(scores, owner, starts, np.ones((len(some), k)))
+        everything, fit, post = _expect(scores, units, n_words, owner, starts, np.ones((len(some), k)))
         order = np.argsort(-everything, axis=1, kind="stable")
         good, mixed = best[some], taken[some]
-        for size in (2, 3, k):
-            allowed = np.zeros((len(some), k))
-            np.put_along_axis(allowed, order[:, :size], 1.0, axis=1)
-            _, fit, post = _expect(scores, owner, starts, allowed)
-            value = fit - size * price[some]
+        for size in range(2, k + 1):
+            if size < k:
+                allowed = np.zeros((len(some), k))
+                np.put_along_axis(allowed, order[:, :size], 1.0, axis=1)
+                _, fit_, post_ = _expect(scores, units, n_words, owner, starts, allowed)
+            else:
+                fit_, post_ = fit, post
+            value = fit_ - size * price[some]
             better = value > good + 1e-9
             good = np.where(better, value, good)
-            mixed = np.where(better[:, None], np.add.reduceat(post * weight, starts), mixed)
+            mixed = np.where(better[:, None], np.add.reduceat(post_ * n_letters, starts), mixed)
         taken[some] = mixed
+    return taken, open_
+
+
+def mixtures(model: Model, texts: list[str]) -> tuple[np.ndarray, list[list[tuple[int, int, int, int]]]]:
+    """(letters of each language in each text, (signature, units, words, letters) of each text)."""
+    k = len(LANGUAGES)
+    result: np.ndarray = np.zeros((len(texts), k))
+    units: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+    rows, count = model.rows(texts)
+    filled = np.flatnonzero(count)
+    if not len(filled):
+        return result, units
+    count = count[filled]
+    starts = np.cumsum(count) - count
+    scores, n_letters = model.scores[rows], model.letters[rows]
+    near = np.maximum(scores - scores.max(1, keepdims=True), -BESIDE_MOST)
+    near *= BESIDE
+    inside = np.ones((len(rows), 1))
+    inside[starts] = 0.0  # the first word of a text has no word before it
+    scores[1:] += near[:-1] * inside[1:]
+    near *= inside
+    scores[:-1] += near[1:]
+    ones = np.ones(len(rows))
+    taken, open_ = _infer(scores, ones, ones, n_letters, count)
     result[filled] = taken
-    return result
+    # a text that no mixture explains better is one unit; words of the others are units
+    fits = np.add.reduceat(scores, starts)
+    whole, n_all = signatures(fits), np.add.reduceat(n_letters, starts)
+    for i, s, n, m, o in zip(filled.tolist(), whole.tolist(), count.tolist(), n_all.tolist(), open_.tolist()):
+        if not o:
+            units[i] = [(s, 1, n, int(m))]
+    for j in np.flatnonzero(open_).tolist():
+        a, b = starts[j], starts[j] + count[j]
+        found, at = np.unique(signatures(scores[a:b]), return_inverse=True)
+        n, m = np.bincount(at), np.bincount(at, n_letters[a:b])
+        units[filled[j]] = [(s, x, x, int(y)) for s, x, y in zip(found.tolist(), n.tolist(), m.tolist())]
+    return result, units
+
+
+def signatures(scores: np.ndarray) -> np.ndarray:
+    """Steps below the best language, BITS for each language."""
+    steps = np.minimum(np.rint((scores.max(1, keepdims=True) - scores) / STEP), DEEPEST).astype(np.int64)
+    return (steps << (BITS * np.arange(len(LANGUAGES)))).sum(1)
+
+
+def of_signatures(signature: np.ndarray) -> np.ndarray:
+    return -STEP * ((signature[:, None] >> (BITS * np.arange(len(LANGUAGES)))) & DEEPEST).astype(float)
 
 
 def label_of(shares: np.ndarray) -> tuple[str, float]:
@@ -224,7 +313,7 @@ def _second_model(first: Model, rows: DataFrame) -> Model:
         for b in batches:
             found: Counter = Counter()
             texts, recorded = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for got, text, name in zip(mixtures(model, texts), texts, recorded):
+            for got, text, name in zip(mixtures(model, texts)[0], texts, recorded):
                 label, sure = label_of(got)
                 if label == name and sure >= 0.95 and label in LANGUAGES:
                     for w in words(text):
@@ -249,27 +338,45 @@ def segment_languages(segments: DataFrame, samples: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = kept(name, lambda: Model(dict(zip(LANGUAGES, shared.value))))
         for b in batches:
-            mix = mixtures(known, b.column(3).to_pylist())
+            mix, units = mixtures(known, b.column(3).to_pylist())
             named = [label_of(m) for m in mix]
+            flat = [u for row in units for u in row]
+            offsets = np.cumsum([0, *map(len, units)])
+            parts = [pa.array([u[i] for u in flat], t) for i, t in enumerate(_UNIT_TYPES)]
+            held = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(parts, ["signature", "units", "words", "letters"]))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array([x[0] for x in named], pa.string()), pa.array([x[1] for x in named], pa.float64()), pa.array(mix.round(6).tolist(), pa.list_(pa.float64()))],
-                ["doc_id", "seg_no", "recorded", "label", "confidence", "mix"],
+                [*b.columns[:3], pa.array([x[0] for x in named], pa.string()), pa.array([x[1] for x in named], pa.float64()), held],
+                ["doc_id", "seg_no", "recorded", "label", "confidence", "units"],
             )
 
     kinds = {f.name: f.dataType.simpleString() for f in segments.schema.fields}
-    return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, seg_no {kinds['seg_no']}, recorded string, label string, confidence double, mix array<double>").distinct()
+    return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, seg_no {kinds['seg_no']}, recorded string, label string, confidence double, units array<struct<signature:bigint,units:bigint,words:bigint,letters:bigint>>").distinct()
+
+
+_UNIT_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64())
 
 
 def document_languages(found: DataFrame) -> DataFrame:
-    """(doc_id, label, confidence) from the letters of a document's segments."""
-    sums = found.groupBy("doc_id").agg(*(F.sum(F.col("mix")[i]).alias(name) for i, name in enumerate(LANGUAGES)))
-    total = sum((F.col(name) for name in LANGUAGES[1:]), F.col(LANGUAGES[0]))
-    sums = sums.withColumn("_t", total)
-    share = lambda name: F.col(name) / F.col("_t")
-    switched = (F.col("urdu") + F.col("roman_urdu") >= SWITCH_SHARE * F.col("_t")) & (F.col("english") >= SWITCH_SHARE * F.col("_t"))
-    best = F.greatest(*(F.col(name) for name in LANGUAGES))
-    label = F.coalesce(*(F.when(F.col(name) == best, F.lit(name)) for name in LANGUAGES))
-    return sums.filter(F.col("_t") > 0).select("doc_id", F.when(switched, F.lit("code_switched")).otherwise(label).alias("label"), F.when(switched, share("urdu") + share("roman_urdu") + share("english")).otherwise(best / F.col("_t")).alias("confidence"))
+    """(doc_id, label, confidence) of each document, inferred from the units of all its segments.
+
+    Units are added up by signature before a document comes together, so a document of any size is a bounded row.
+    """
+    sums = found.select("doc_id", F.explode("units").alias("u")).groupBy("doc_id", "u.signature").agg(*(F.sum(f"u.{c}").alias(c) for c in ("units", "words", "letters")))
+    whole = sums.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("signature", "units", "words", "letters"))).alias("units"))
+    kind = found.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = b.column(1)
+            count = np.diff(rows.offsets.to_numpy())
+            signature, units, n_words, n_letters = (x.to_numpy(zero_copy_only=False) for x in rows.flatten().flatten())
+            taken, _ = _infer(of_signatures(signature), units.astype(float), n_words.astype(float), n_letters.astype(float), count)
+            named = [label_of(t) for t in taken]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in named], pa.string()), pa.array([x[1] for x in named], pa.float64())], ["doc_id", "label", "confidence"])
+
+    return whole.mapInArrow(run, f"doc_id {kind}, label string, confidence double")
 
 
 def latest_population(assignments: DataFrame) -> DataFrame:
