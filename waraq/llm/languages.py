@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waraq.llm.words import kept, new_name
@@ -86,10 +86,6 @@ def words(text: str) -> list[str]:
     return [_CF.sub("", w).lower() for w in text.translate(_SIGNS).split() if _n_letters(w)]
 
 
-def letters(text: Column) -> Column:
-    return F.coalesce(F.length(F.regexp_replace(text, r"\P{L}+", "")), F.lit(0))
-
-
 class Model:
     """Log likelihood of words for each language."""
 
@@ -118,6 +114,7 @@ class Model:
                 shared[w] += n / total / len(LANGUAGES)
         self.shared = shared
         self.memo: dict[str, int] = {}
+        self.empty: set[str] = set()
         self.scores = np.empty((1024, len(LANGUAGES)))
         self.letters = np.empty(1024)
 
@@ -149,7 +146,7 @@ class Model:
         """The row of a word as it stands in a text; -1 for one without letters."""
         n, k = _n_letters(raw), len(self.memo)
         if not n:
-            self.memo[raw] = -1
+            self.empty.add(raw)
             return -1
         if k >= len(self.letters):
             self.scores = np.concatenate([self.scores, np.empty_like(self.scores)])
@@ -161,8 +158,9 @@ class Model:
 
     def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(rows of the words of all texts, number of words of each text)."""
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.memo) + len(self.empty) > MEMO_WORDS:
             self.memo.clear()
+            self.empty.clear()
         flat: list[int] = []
         count = np.zeros(len(texts), int)
         get = self.memo.get
@@ -171,7 +169,7 @@ class Model:
             for w in t.translate(_SIGNS).split():
                 k = get(w)
                 if k is None:
-                    k = self._add(w)
+                    k = -1 if w in self.empty else self._add(w)
                 if k >= 0:
                     flat.append(k)
             count[i] = len(flat) - before
@@ -237,40 +235,58 @@ def _infer(scores: np.ndarray, units: np.ndarray, n_words: np.ndarray, n_letters
     return taken, open_
 
 
-def mixtures(model: Model, texts: list[str]) -> tuple[np.ndarray, list[list[tuple[int, int, int, int]]]]:
-    """(letters of each language in each text, (signature, units, words, letters) of each text)."""
-    k = len(LANGUAGES)
-    result: np.ndarray = np.zeros((len(texts), k))
-    units: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
-    rows, count = model.rows(texts)
-    filled = np.flatnonzero(count)
-    if not len(filled):
-        return result, units
-    count = count[filled]
-    starts = np.cumsum(count) - count
-    scores, n_letters = model.scores[rows], model.letters[rows]
-    near = np.maximum(scores - scores.max(1, keepdims=True), -BESIDE_MOST)
-    near *= BESIDE
-    inside = np.ones((len(rows), 1))
-    inside[starts] = 0.0  # the first word of a text has no word before it
-    scores[1:] += near[:-1] * inside[1:]
-    near *= inside
-    scores[:-1] += near[1:]
-    ones = np.ones(len(rows))
-    taken, open_ = _infer(scores, ones, ones, n_letters, count)
-    result[filled] = taken
-    # a text that no mixture explains better is one unit; words of the others are units
-    fits = np.add.reduceat(scores, starts)
-    whole, n_all = signatures(fits), np.add.reduceat(n_letters, starts)
-    for i, s, n, m, o in zip(filled.tolist(), whole.tolist(), count.tolist(), n_all.tolist(), open_.tolist()):
-        if not o:
-            units[i] = [(s, 1, n, int(m))]
-    for j in np.flatnonzero(open_).tolist():
-        a, b = starts[j], starts[j] + count[j]
-        found, at = np.unique(signatures(scores[a:b]), return_inverse=True)
-        n, m = np.bincount(at), np.bincount(at, n_letters[a:b])
-        units[filled[j]] = [(s, x, x, int(y)) for s, x, y in zip(found.tolist(), n.tolist(), m.tolist())]
-    return result, units
+class Mixtures:
+    """The languages of a batch of texts: rows of their words, number of words and letters, letters by language."""
+
+    def __init__(self, model: Model, texts: list[str]):
+        self.rows, self.count = model.rows(texts)
+        self.letters = np.zeros(len(texts))
+        self.taken = np.zeros((len(texts), len(LANGUAGES)))
+        self.filled = np.flatnonzero(self.count)
+        if not len(self.filled):
+            return
+        count = self.count[self.filled]
+        starts = np.cumsum(count) - count
+        scores, n_letters = model.scores[self.rows], model.letters[self.rows]
+        near = np.maximum(scores - scores.max(1, keepdims=True), -BESIDE_MOST)
+        near *= BESIDE
+        inside = np.ones((len(scores), 1))
+        inside[starts] = 0.0  # the first word of a text has no word before it
+        scores[1:] += near[:-1] * inside[1:]
+        near *= inside
+        scores[:-1] += near[1:]
+        ones = np.ones(len(scores))
+        self.scores, self.n_letters = scores, n_letters
+        self.taken[self.filled], self.open = _infer(scores, ones, ones, n_letters, count)
+        self.letters[self.filled] = np.add.reduceat(n_letters, starts)
+
+    def units(self) -> tuple[np.ndarray, np.ndarray]:
+        """((signature, units, words, letters) by column, number of those of each text).
+
+        A text that no mixture explains better is one unit, words of the others are units of their own.
+        """
+        held = np.zeros(len(self.count), np.int64)
+        if not len(self.filled):
+            return np.zeros((4, 0), np.int64), held
+        count = self.count[self.filled]
+        starts = np.cumsum(count) - count
+        columns = np.stack([signatures(np.add.reduceat(self.scores, starts)), np.ones(len(count), np.int64), count, self.letters[self.filled].astype(np.int64)])
+        held[self.filled] = 1
+        odd = np.flatnonzero(self.open)
+        if not len(odd):
+            return columns, held
+        rows = np.flatnonzero(np.repeat(self.open, count))
+        owner = np.repeat(odd, count[odd])
+        sign = signatures(self.scores[rows])
+        order = np.lexsort((sign, owner))
+        owner, sign, n_letters = owner[order], sign[order], self.n_letters[rows][order]
+        first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (sign[1:] != sign[:-1])))
+        n = np.diff(np.append(first, len(owner)))
+        parts = np.stack([sign[first], n, n, np.add.reduceat(n_letters, first).astype(np.int64)])
+        held[self.filled[odd]] = np.bincount(owner[first], minlength=len(count))[odd]
+        every = np.concatenate([columns[:, ~self.open], parts], 1)
+        at = np.argsort(np.concatenate([np.flatnonzero(~self.open), owner[first]]), kind="stable")
+        return every[:, at], held
 
 
 def signatures(scores: np.ndarray) -> np.ndarray:
@@ -283,17 +299,15 @@ def of_signatures(signature: np.ndarray) -> np.ndarray:
     return -STEP * ((signature[:, None] >> (BITS * np.arange(len(LANGUAGES)))) & DEEPEST).astype(float)
 
 
-def label_of(shares: np.ndarray) -> tuple[str, float]:
-    """(label, confidence) of letters by language: the share that decides it."""
-    total = shares.sum()
-    if total <= 0:
-        return "other", 0.0
-    s = shares / total
-    urdu, english = s[0] + s[1], s[2]
-    if urdu >= SWITCH_SHARE and english >= SWITCH_SHARE:
-        return "code_switched", float(min(1.0, urdu + english))
-    k = int(np.argmax(s))
-    return LANGUAGES[k], float(s[k])
+def labels_of(taken: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(label, confidence) of letters by language, a row for each text; the confidence is the share that decides."""
+    total = taken.sum(1)
+    shares = taken / np.maximum(total, 1e-300)[:, None]
+    urdu, english = shares[:, 0] + shares[:, 1], shares[:, 2]
+    switched = (urdu >= SWITCH_SHARE) & (english >= SWITCH_SHARE)
+    best = np.where(switched, len(LANGUAGES), shares.argmax(1))
+    best = np.where(total > 0, best, LANGUAGES.index("other"))
+    return np.array(LABELS)[best], np.where(switched, np.minimum(1.0, urdu + english), shares.max(1))
 
 
 def _first_model(samples: DataFrame) -> Model:
@@ -312,16 +326,20 @@ def _second_model(first: Model, rows: DataFrame) -> Model:
         model = kept(name_of, lambda: Model(dict(zip(LANGUAGES, shared.value))))
         for b in batches:
             found: Counter = Counter()
-            texts, recorded = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for got, text, name in zip(mixtures(model, texts)[0], texts, recorded):
-                label, sure = label_of(got)
-                if label == name and sure >= 0.95 and label in LANGUAGES:
-                    for w in words(text):
-                        found[label, w if label == "arabic" else w.translate(_KEYS)] += 1
+            texts, recorded = b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), object)
+            mix = Mixtures(model, texts)
+            label, sure = labels_of(mix.taken)
+            agrees = (label == recorded) & (sure >= 0.95) & (mix.letters >= MIN_LETTERS)
+            raw = list(model.memo)
+            for name in LANGUAGES:
+                n = np.bincount(mix.rows[np.repeat(agrees & (label == name), mix.count)])
+                for k in np.flatnonzero(n).tolist():
+                    w = _CF.sub("", raw[k]).lower()
+                    found[name, w if name == "arabic" else w.translate(_KEYS)] += int(n[k])
             keys = list(found)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in keys], pa.string()), pa.array([x[1] for x in keys], pa.string()), pa.array([found[x] for x in keys], pa.int64())], ["language", "word", "n"])
 
-    sums = rows.select("text", "label").mapInArrow(run, "language string, word string, n bigint").groupBy("language", "word").agg(F.sum("n").alias("n"))
+    sums = rows.filter(F.col("label").isin(*LANGUAGES)).select("text", "label").mapInArrow(run, "language string, word string, n bigint").groupBy("language", "word").agg(F.sum("n").alias("n"))
     found = sums.orderBy("language", "word").toArrow()
     counts = {name: Counter(w) for name, w in zip(LANGUAGES, first.words)}
     for name, w, n in zip(*(found.column(c).to_pylist() for c in ("language", "word", "n"))):
@@ -331,31 +349,25 @@ def _second_model(first: Model, rows: DataFrame) -> Model:
 
 def segment_languages(segments: DataFrame, samples: DataFrame) -> DataFrame:
     """(doc_id, seg_no, recorded, label, confidence, mix) of each segment with enough letters; mix: letters by language."""
-    rows = spread(segments.select("doc_id", "seg_no", F.col("label").alias("label"), "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (letters(F.col("text")) >= MIN_LETTERS)))
+    rows = spread(segments.select("doc_id", "seg_no", F.col("label").alias("label"), "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()))
     model = _second_model(_first_model(samples), rows)
     shared, name = segments.sparkSession.sparkContext.broadcast([dict(w) for w in model.words]), new_name()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = kept(name, lambda: Model(dict(zip(LANGUAGES, shared.value))))
         for b in batches:
-            mix, units = mixtures(known, b.column(3).to_pylist())
-            named = [label_of(m) for m in mix]
-            flat = [u for row in units for u in row]
-            offsets = np.cumsum([0, *map(len, units)])
-            parts = [pa.array([u[i] for u in flat], t) for i, t in enumerate(_UNIT_TYPES)]
-            held = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(parts, ["signature", "units", "words", "letters"]))
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array([x[0] for x in named], pa.string()), pa.array([x[1] for x in named], pa.float64()), held],
-                ["doc_id", "seg_no", "recorded", "label", "confidence", "units"],
-            )
+            mix = Mixtures(known, b.column(3).to_pylist())
+            label, sure = labels_of(mix.taken)
+            columns, held = mix.units()
+            parts = pa.StructArray.from_arrays([pa.array(c) for c in columns], ["signature", "units", "words", "letters"])
+            units = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held)), pa.int32()), parts)
+            out = pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(label.tolist(), pa.string()), pa.array(sure), units], ["doc_id", "seg_no", "recorded", "label", "confidence", "units"])
+            yield out.filter(pa.array(mix.letters >= MIN_LETTERS))
 
     kinds = {f.name: f.dataType.simpleString() for f in segments.schema.fields}
     return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, seg_no {kinds['seg_no']}, recorded string, label string, confidence double, units array<struct<signature:bigint,units:bigint,words:bigint,letters:bigint>>").distinct()
 
 
-_UNIT_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64())
-
-
 def document_languages(found: DataFrame) -> DataFrame:
     """(doc_id, label, confidence) of each document, inferred from the units of all its segments.
 
@@ -373,8 +385,8 @@ def document_languages(found: DataFrame) -> DataFrame:
             count = np.diff(rows.offsets.to_numpy())
             signature, units, n_words, n_letters = (x.to_numpy(zero_copy_only=False) for x in rows.flatten().flatten())
             taken, _ = _infer(of_signatures(signature), units.astype(float), n_words.astype(float), n_letters.astype(float), count)
-            named = [label_of(t) for t in taken]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in named], pa.string()), pa.array([x[1] for x in named], pa.float64())], ["doc_id", "label", "confidence"])
+            label, sure = labels_of(taken)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(label.tolist(), pa.string()), pa.array(sure)], ["doc_id", "label", "confidence"])
 
     return whole.mapInArrow(run, f"doc_id {kind}, label string, confidence double")
 
