@@ -217,20 +217,25 @@ def _infer(scores: np.ndarray, units: np.ndarray, n_words: np.ndarray, n_letters
         scores, units, n_words, n_letters, count = scores[rows], units[rows], n_words[rows, None], n_letters[rows, None], count[some]
         starts = np.cumsum(count) - count
         owner = np.repeat(np.arange(len(some)), count)
-        everything, fit, post = _expect(scores, units, n_words, owner, starts, np.ones((len(some), k)))
+        everything, _, _ = _expect(scores, units, n_words, owner, starts, np.ones((len(some), k)))
         order = np.argsort(-everything, axis=1, kind="stable")
+        # a language of less than half a word can't pay for itself
+        useful = (everything * np.add.reduceat(n_words, starts) >= 0.5).sum(1)
         good, mixed = best[some], taken[some]
         for size in range(2, k + 1):
-            if size < k:
-                allowed = np.zeros((len(some), k))
-                np.put_along_axis(allowed, order[:, :size], 1.0, axis=1)
-                _, fit_, post_ = _expect(scores, units, n_words, owner, starts, allowed)
-            else:
-                fit_, post_ = fit, post
-            value = fit_ - size * price[some]
-            better = value > good + 1e-9
-            good = np.where(better, value, good)
-            mixed = np.where(better[:, None], np.add.reduceat(post_ * n_letters, starts), mixed)
+            here = np.flatnonzero(useful >= size)
+            if not len(here):
+                break
+            rows = np.flatnonzero((useful >= size)[owner])
+            n = count[here]
+            first = np.cumsum(n) - n
+            allowed = np.zeros((len(here), k))
+            np.put_along_axis(allowed, order[here, :size], 1.0, axis=1)
+            _, fit, post = _expect(scores[rows], units[rows], n_words[rows], np.repeat(np.arange(len(here)), n), first, allowed)
+            value = fit - size * price[some[here]]
+            better = value > good[here] + 1e-9
+            good[here] = np.where(better, value, good[here])
+            mixed[here] = np.where(better[:, None], np.add.reduceat(post * n_letters[rows], first), mixed[here])
         taken[some] = mixed
     return taken, open_
 
