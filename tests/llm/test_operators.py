@@ -111,6 +111,7 @@ def test_repetition_edges_and_ablation(spark):
 
 # 3
 
+SECRET = b"a secret of tests"
 KNOWN = [("given", "Rahimu", "رحیمو"), ("given", "Saliko", "سلیکو"), ("family", "Karandar", "کراندر"), ("family", "Maloandar", "ملواندر"), ("family", "Tiraandar", "تراندر"), ("family", "Bosuandar", "بسواندر")]
 TEXTS = {
     1: ("Write to Ab.c+x@mail.example.org, thanks.", [("email", 9)]),
@@ -140,14 +141,15 @@ def test_surrogates_are_distinct_consistent_and_of_the_same_form(spark):
     known = spark.createDataFrame(KNOWN, "name_part string, roman string, urdu string")
     rows = [(i, t) for i, (t, _) in TEXTS.items()] + [(20, "Mr. Rahimu Karandar again"), (21, "RAHIMU KARANDAR signed the form"), (22, None), (23, "")]
     df = clashing(spark.createDataFrame(rows, "result_id bigint, text string"))
-    got = {r["result_id"]: r for r in pii.replaced(pii.scan(df, "result_id", "text", known), "result_id", known).collect()}
+    got = {r["result_id"]: r for r in pii.replaced(pii.scan(df, "result_id", "text", known), "result_id", known, SECRET).collect()}
     assert set(got) == {i for i, t in rows if t}
     assert got[4]["redacted"] == "CNIC [ID] and [ID] and [ID]" and got[9]["surrogate"] == TEXTS[9][0]
-    assert re.fullmatch(r"CNIC 9\d{4}-\d{7}-\d and ۹[۰-۹]{4} [۰-۹]{7} [۰-۹] and ZQ\d{7}", got[4]["surrogate"])
+    assert re.fullmatch(r"CNIC [1-9]\d{4}-\d{7}-\d and [۱-۹][۰-۹]{4} [۰-۹]{7} [۰-۹] and [A-Z]{2}\d{7}", got[4]["surrogate"])
     one = got[7]["surrogate"].split(" came")[0].removeprefix("Mr. ")
     assert got[20]["surrogate"] == f"Mr. {one} again" and got[21]["surrogate"].startswith(one.upper()) and one not in got[7]["surrogate"].split("came")[1]
-    numbers = {pii.permute_digits(f"{i:05d}", b"k", "x") for i in range(0, 100000, 7)}
-    assert len(numbers) == len(range(0, 100000, 7))
+    keyed = pii.Keyed(SECRET)
+    numbers = {keyed.digits(f"{i:05d}", "x") for i in range(0, 100000, 7)}
+    assert len(numbers) == len(range(0, 100000, 7)) and all(keyed.digits(f"{i:03d}", "x") != f"{i:03d}" for i in range(1000))
 
 
 def test_surrogates_of_addresses(spark):
@@ -155,14 +157,63 @@ def test_surrogates_of_addresses(spark):
     places = ["Rodar Town", "Misal Town", "Mohalla Kotal", "Karandar Colony", "Tira Colony", "LISPURA Town"]
     texts = [f"House {n}, Street {k}, {p}" for n in (5, 6, 12) for k in range(1, 10) for p in places] + ["House 12-B, Block C, Rodar Town", "مکان نمبر ۷، گلی نمبر ۳، محلہ میسیم", "مکان نمبر ۷، گلی نمبر ۴، محلہ میسیم", "Flat No. 5, street 3, rodar town"]
     df = spark.createDataFrame(list(enumerate(texts)), "result_id bigint, text string")
-    got = {r["result_id"]: r["surrogate"] for r in pii.replaced(pii.scan(df, "result_id", "text", known), "result_id", known).collect()}
+    got = {r["result_id"]: r["surrogate"] for r in pii.replaced(pii.scan(df, "result_id", "text", known), "result_id", known, SECRET).collect()}
     changed = [got[i] for i in range(len(texts))]
     assert len(set(changed)) == len(texts) and not set(changed) & set(texts)
     form = lambda t: re.sub("[A-Z]+", "X", re.sub("[a-z]+", "x", re.sub(r"\d", "0", t)))
     assert all("Rodar" not in t and "Misal" not in t and "Kotal" not in t and "میسیم" not in t for t in changed)
     assert [form(t) for t in changed[:162]] == [form(t) for t in texts[:162]] and re.fullmatch(r"House \d\d-[A-Z], Block [A-Z], [A-Z][a-z]+ Town", changed[162])
     assert re.fullmatch(r"مکان نمبر [۰-۹]، گلی نمبر [۰-۹]، محلہ [ء-ۓ]+", changed[163]) and changed[162].split(", ")[2].lower() == changed[165].split(", ")[2]
-    assert sorted(pii.permute_digits(c, b"k", "x") for c in "0123456789") == list("0123456789")
+    keyed = pii.Keyed(SECRET)
+    assert sorted(keyed.digits(c, "x") for c in "0123456789") == list("0123456789")
+    assert sorted(keyed.number(f"{i}", "x") for i in range(10, 100)) == [f"{i}" for i in range(10, 100)]
+
+
+def test_surrogates_need_a_secret_and_follow_from_it(spark):
+    with pytest.raises(ValueError):
+        pii.Keyed(b"")
+    a, b = pii.Keyed(SECRET), pii.Keyed(b"another secret")
+    assert a.digits("1234567", "x") == pii.Keyed(SECRET).digits("1234567", "x") != b.digits("1234567", "x")
+
+
+def test_surrogates_of_many_entities_are_distinct_and_no_entities(spark):
+    known = spark.createDataFrame(KNOWN, "name_part string, roman string, urdu string")
+    given, family = [n for p, n, _ in KNOWN if p == "given"], [n for p, n, _ in KNOWN if p == "family"]
+    people = [f"Mr. {g} {f}" for g in given for f in family]
+    texts = people + [f"Call 0391 4561{i:03d}" for i in range(300)] + [f"CNIC 91025-47190{i:02d}-0" for i in range(100)] + [f"to u{i}@web.example or u{i} [at] mail [dot] web [dot] example" for i in range(200)]
+    texts += [f"House No. {i}, Street 3, Block C" for i in range(1, 10)]
+    df = spark.createDataFrame(list(enumerate(texts)), "result_id bigint, text string")
+    scanned = pii.scan(df, "result_id", "text", known)
+    assert {r["property"]: r["violations"] for r in pii.checks(scanned, "result_id", known, SECRET).collect()} == dict.fromkeys(["surrogates of two entities", "surrogates that are entities", "entities with two surrogates", "places named as other places", "finds that stayed as they were"], 0)
+    out = {r["result_id"]: r["surrogate"] for r in pii.replaced(scanned, "result_id", known, SECRET).collect()}
+    made = [out[i] for i in range(len(people))]
+    assert len(set(made)) == len(people) and not set(made) & set(people) and not any(c.isdigit() for t in made for c in t)
+    assert re.fullmatch(r"to \w+\.\w+@mail\.example or \w+\.\w+ \[at\] mail \[dot\] host \[dot\] example", out[len(people) + 400])
+
+
+def test_surrogates_keep_gender_where_titles_tell_it(spark):
+    women, men = ["Salika", "Nurani", "Rahila"], ["Karimo", "Talibo", "Zamiro"]
+    rows = [("given", n, None) for n in women + men] + [("family", f, None) for f in ("Karandar", "Maloandar", "Tiraandar", "Bosuandar", "Lemuandar")]
+    known = spark.createDataFrame(rows, "name_part string, roman string, urdu string")
+    texts = [f"Mrs. {n} Karandar" for n in women] + [f"Mr. {n} Karandar" for n in men] + [f"{n} Maloandar came" for n in women + men]
+    df = spark.createDataFrame(list(enumerate(texts)), "result_id bigint, text string")
+    out = {r["result_id"]: r["surrogate"] for r in pii.replaced(pii.scan(df, "result_id", "text", known), "result_id", known, SECRET).collect()}
+    for i in range(12):
+        first = out[i].replace("Mrs. ", "").replace("Mr. ", "").split()[0]
+        assert (first in women) == (i in (0, 1, 2, 6, 7, 8)), out[i]
+
+
+def test_surrogates_of_an_empty_table_and_without_known_names(spark):
+    known = spark.createDataFrame([], "name_part string, roman string, urdu string")
+    df = spark.createDataFrame([(1, "Mr. Rahimu Karandar, House 5, Street 3, Rodar Town or a@b.example")], "result_id bigint, text string")
+    assert pii.items(pii.scan(df.limit(0), "result_id", "text", known), "result_id", known, SECRET).count() == 0
+    got = pii.replaced(pii.scan(df, "result_id", "text", known), "result_id", known, SECRET).first()["surrogate"]
+    assert re.fullmatch(r"Mr. [A-Z][a-z]+ [A-Z][a-z]+, House \d, Street \d, [A-Z][a-z]+ Town or [a-z]+\.[a-z]+@mail.example", got)
+
+
+def test_address_ends_before_the_next_word():
+    text = "woh Ghar No. 625, Gali 31, Tutupura Colony mein rehte hain"
+    assert [text[f.start : f.end] for f in pii.find(text, names())] == ["Ghar No. 625, Gali 31, Tutupura Colony"]
 
 
 # 4

@@ -3,6 +3,9 @@
 _WORDS = r"'[\p{L}\p{M}\p{Nd}]+'"
 
 ORACLES: dict[str, str] = {
+    # what must hold of all surrogates, whatever the corpus
+    "p3_checks": """
+select property, cast(0 as bigint) as violations from (values ('surrogates of two entities'), ('surrogates that are entities'), ('entities with two surrogates'), ('places named as other places'), ('finds that stayed as they were')) v(property)""",
     "p2_found": rf"""
 with t as (select distinct idx, 'ar_text' field_name, ar_text txt from demo_pairs union select distinct idx, 'diff_text', diff_text from demo_pairs),
 w as (select idx, field_name, regexp_extract_all(lower(regexp_replace(txt, '\p{{Nd}}', '0', 'g')), {_WORDS}) ws from t where txt is not null),

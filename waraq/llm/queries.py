@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,16 +38,26 @@ def _p3_scan(spark: SparkSession, d: str) -> DataFrame:
     return pii.scan(table(spark, d, "pii_results"), "result_id", "text", table(spark, d, "known_names"))
 
 
-def _p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.items(_p3_scan(spark, d), "result_id").select("result_id", "category", "span_start").distinct()
+def _secret(spark: SparkSession) -> bytes:
+    """The key of the surrogates: the session's, else one of this run that nobody keeps."""
+    named = spark.conf.get("spark.waraq.surrogates.key", None)
+    return named.encode() if named else secrets.token_bytes(32)
 
 
 def _p3_items(spark: SparkSession, d: str) -> DataFrame:
-    return pii.items(_p3_scan(spark, d), "result_id")
+    return pii.items(_p3_scan(spark, d), "result_id", table(spark, d, "known_names"), _secret(spark)).drop("surrogate")
+
+
+def _p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p3_items(spark, d).select("result_id", "category", "span_start").distinct()
 
 
 def _p3_replaced(spark: SparkSession, d: str) -> DataFrame:
-    return pii.replaced(cut(_p3_scan(spark, d)), "result_id", table(spark, d, "known_names"))
+    return pii.replaced(cut(_p3_scan(spark, d)), "result_id", table(spark, d, "known_names"), _secret(spark))
+
+
+def _p3_checks(spark: SparkSession, d: str) -> DataFrame:
+    return pii.checks(cut(_p3_scan(spark, d)), "result_id", table(spark, d, "known_names"), _secret(spark))
 
 
 def _p4_forms(spark: SparkSession, d: str) -> DataFrame:
@@ -121,6 +132,7 @@ QUERIES: dict[str, Query] = {
     "p3_found": _p3_found,
     "p3_items": _p3_items,
     "p3_replaced": _p3_replaced,
+    "p3_checks": _p3_checks,
     "p4_found": _p4_found,
     "p4_forms": _p4_forms,
     "p5_found": _p5_found,
