@@ -235,6 +235,27 @@ def test_lookalikes(spark):
     assert lookalikes.same_look(lookalikes.consistent(df.limit(0), "record_id", "text")).count() == 0
 
 
+def test_the_vocabulary_decides_what_is_repaired(spark):
+    """Toward a word of the corpus a mixed token is repaired; toward none it stays, and the texts differ."""
+    rows = [(1, "kitab pichle saal"), (2, "kitab pichle saal"), (3, "kitаb рichle saal"), (4, "zuqnа vela"), (5, "zuqna vela")]
+    df = spark.createDataFrame(rows, "record_id bigint, text string")
+    forms = lookalikes.consistent(df, "record_id", "text")
+    assert rows_of(lookalikes.same_look(forms), "id_a", "id_b") == [(1, 2), (1, 3), (2, 3)]
+    got = {r["key"]: r for r in forms.collect()}
+    assert got[4]["form"] != got[5]["form"] and got[4]["skeleton"] == got[5]["skeleton"]
+    assert rows_of(lookalikes.same_look(lookalikes.consistent(df, "record_id", "text", seen=1)), "id_a", "id_b") == [(1, 2), (1, 3), (2, 3), (4, 5)]
+    assert rows_of(lookalikes.looks(forms), "key", "look", "size") == [(1, 1, 3), (2, 1, 3), (3, 1, 3), (4, 4, 1), (5, 5, 1)]
+
+
+def test_a_look_of_a_third_of_all_rows(spark, monkeypatch):
+    from waraq.operators import groups
+
+    monkeypatch.setattr(groups, "BLOCK", 20)
+    df = spark.range(300).select(F.col("id").alias("record_id"), F.when(F.col("id") % 3 == 0, F.lit("same text")).otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"))
+    found = lookalikes.same_look(lookalikes.consistent(df, "record_id", "text"))
+    assert rows_of(found, "id_a", "id_b") == list(itertools.combinations(range(0, 300, 3), 2))
+
+
 # 5
 
 

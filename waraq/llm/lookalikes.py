@@ -5,9 +5,9 @@ forms (full width, presentation forms, ligatures) resolved, invisible characters
 space, one keyboard for yeh, kaf and heh. Look-alikes of other alphabets are then repaired by token:
 the token's scripts are counted, and in a token of mixed scripts, or of a script foreign to its text,
 the letters are substituted toward the dominant script (else another of the token's) when the result
-stands in the vocabulary of the corpus, that is of all tokens of one script. Honest foreign words
-therefore stay as they are. Texts are the same to a reader when the repaired texts have the same
-skeleton, in which any look-alike left over counts as its prototype.
+stands in the vocabulary of the corpus, that is among the tokens of one script that at least SEEN texts have. Honest foreign words
+therefore stay as they are. Texts are the same to a reader when their repaired forms are the same. The
+skeleton, in which any look-alike left over counts as its prototype, is a report beside the form.
 
 Defined cases: null, empty and blank texts (also texts of invisible characters only) have no form and
 no partner, nor have rows without an id; repeated rows count once; equal texts are partners; an empty table gives no rows; other
@@ -25,8 +25,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waraq.operators.groups import pairs_within, with_group
 from waraq.session import cut, spread
 
+#: Texts that must have a word for it to count as vocabulary, and words that a worker counts at a time.
+SEEN, MEMO_WORDS = 2, 500_000
 # Letters of other alphabets that are drawn like a Latin letter, and that Latin letter.
 CYRILLIC = "аАвВеЕкКмМнНоОрРсСтТуУхХіІјЈѕЅһҺԁԛԜԝӏԌҮ"
 CYRILLIC_AS = "aABBeEkKmMHHoOpPcCTTyYxXiIjJsShhdqWwlGY"
@@ -133,8 +136,8 @@ def suspects(text: str) -> dict[str, list[str]]:
     return {t: c for t, c in found.items() if c}
 
 
-def consistent(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, form, skeleton) of each distinct row with visible text."""
+def consistent(df: DataFrame, key: str, text: str, seen: int = SEEN) -> DataFrame:
+    """(key, form, skeleton) of each distinct row with visible text; seen: texts that make a word one of the corpus."""
     source = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull() & F.col("text").isNotNull()))
     kind = df.schema[key].dataType.simpleString()
 
@@ -152,14 +155,20 @@ def consistent(df: DataFrame, key: str, text: str) -> DataFrame:
     base = cut(source.mapInArrow(first, f"key {kind}, form string, odd array<struct<token:string,goals:array<string>>>").distinct())
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[str] = set()
+        seen: Counter = Counter()
         for b in batches:
-            new = {t for x in b.column(0).to_pylist() for t in _TOKEN.findall(x)} - seen
-            if len(seen) < 1_000_000:
-                seen |= new
-            yield pa.RecordBatch.from_arrays([pa.array([t for t in new if len(token_scripts(t)) == 1], pa.string())], ["word"])
-
-    words = base.select("form").mapInArrow(vocabulary, "word string").distinct()
+            for x in b.column(0).to_pylist():
+                seen.update(set(_TOKEN.findall(x)))
+            if len(seen) > MEMO_WORDS:
+                yield counted(seen)
+                seen = Counter()
+        yield counted(seen)
+
+    def counted(seen: Counter) -> pa.RecordBatch:
+        known = [t for t in seen if len(token_scripts(t)) == 1]
+        return pa.RecordBatch.from_arrays([pa.array(known, pa.string()), pa.array([seen[t] for t in known], pa.int64())], ["word", "n"])
+
+    words = base.select("form").mapInArrow(vocabulary, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= seen).select("word")
     goals = base.select(F.explode("odd").alias("o")).select("o.token", "o.goals").distinct().select("token", F.posexplode("goals").alias("rank", "word"))
     repairs = goals.join(words, "word").groupBy("token").agg(F.min_by("word", F.struct("rank", "word")).alias("word"))
     fixes = base.select("key", "form", F.explode("odd").alias("o")).select("key", F.xxhash64("form").alias("f"), F.col("o.token").alias("token")).join(repairs, "token").groupBy("key", "f").agg(F.collect_list(F.struct("token", "word")).alias("fixes"))
@@ -180,9 +189,12 @@ def consistent(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def same_look(forms: DataFrame) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: keys whose texts look the same."""
-    prints = forms.select("key", F.md5("skeleton").alias("p")).distinct()
-    several = prints.groupBy("p").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("p")
-    prints = cut(prints.join(several, "p", "left_semi"))
-    a, b = prints.withColumnRenamed("key", "id_a"), prints.withColumnRenamed("key", "id_b")
-    return a.join(b, "p").filter(F.col("id_a") < F.col("id_b")).select("id_a", "id_b").distinct()
+    """(id_a, id_b), id_a < id_b: keys whose texts look the same, that is have the same form."""
+    prints = cut(forms.select("key", F.md5("form").alias("p")).distinct())
+    return pairs_within(prints, "p", "key").select(F.col("a").alias("id_a"), F.col("b").alias("id_b")).filter(F.col("id_a") < F.col("id_b")).distinct()
+
+
+def looks(forms: DataFrame) -> DataFrame:
+    """(key, look, size): each key with the smallest key of its look as the name of the class, and the number of its keys."""
+    prints = forms.select("key", F.md5("form").alias("p")).distinct()
+    return with_group(prints, "p", "key", F.min("key").alias("look"), F.count("*").alias("size")).select("key", "look", "size").distinct()

@@ -70,6 +70,10 @@ def _p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.same_look(_p4_forms(spark, d).withColumnRenamed("record_id", "key"))
 
 
+def _p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.looks(_p4_forms(spark, d).withColumnRenamed("record_id", "key")).withColumnRenamed("key", "record_id")
+
+
 def _p5_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "probe_decon_rup_survivors"), "doc_id", "doc", table(spark, d, "eval_items"), "item_id", "text").withColumnRenamed("item_id", "eval_id")
 
@@ -135,6 +139,7 @@ QUERIES: dict[str, Query] = {
     "p3_checks": _p3_checks,
     "p4_found": _p4_found,
     "p4_forms": _p4_forms,
+    "p4_classes": _p4_classes,
     "p5_found": _p5_found,
     "p5_leaks": _p5_leaks,
     "p6_found": _p6_found,
