@@ -308,16 +308,24 @@ def test_copies(spark):
         (10, '{"name": "Ab", "n": "1"}'), (11, "n = 1; name = ab"), (12, "name: AB\nn: 1"), (13, "name: ab\nn: 2"), (14, "name 'Ab' n 1"),
         (20, None), (21, ""), (22, "...!"), (5, "Hello, World! 12"), (30, "x" * 200_000), (31, "X" * 200_000 + "."),
         (40, '{"a": "b", "c": "d"}'), (41, '{"c": "d", "a": "b"}'), (42, '{"c": "b", "a": "d"}'), (43, "a: b\na: b\nc: d"),
+        (50, "x: 1\nx: 1\ny: 2"), (51, "y: 2; x: 1; x: 1"), (52, "y: 2; y: 2; x: 1"), (60, "{'k': 'v', 'w': {'z': 1}}"), (61, '{"w": {"z": 1}, "k": "V"}'),
     ]
     df = clashing(spark.createDataFrame(rows, "row_id bigint, text string"))
     got = {r["row_id"]: (r["keep_id"], r["size"]) for r in copies.copy_sets(df, "row_id", "text").collect()}
     assert got[5] == got[3] == (3, 2) and got[9] == (9, 1)
     assert got[10] == got[11] == got[12] == got[14] == (10, 4) and got[13] == (13, 1)
+    assert got[50] == got[51] == (50, 2) and got[52] == (52, 1) and got[60] == got[61] == (60, 2)
     assert got[30] == got[31] == (30, 2) and got[40] == got[41] == (40, 2) and got[42] == (42, 1) and got[43] == (43, 1)
     assert not {20, 21, 22} & set(got)
     assert copies.copy_sets(df.limit(0), "row_id", "text").count() == 0
 
 
+def test_rows_of_equal_sums_and_other_fields_are_apart(spark, monkeypatch):
+    rows = [(1, "t1", ["a", "b"]), (2, "t1", ["b", "a"]), (3, "t1", ["a", "c"]), (4, "t1", ["c", "a"]), (5, "t2", ["a", "b"])]
+    got = {r["row_id"]: r["key"] for r in copies._verified(spark.createDataFrame(rows, "row_id bigint, key string, payload array<string>")).collect()}
+    assert got[1] == got[2] == "t1" and got[3] == got[4] != "t1" and got[5] == "t2"
+
+
 def test_copies_of_a_hot_group(spark):
     df = spark.range(3000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, F.lit("Same text!")).otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"))
     sizes = copies.copy_sets(df, "row_id", "text").groupBy("size").count().collect()
