@@ -266,7 +266,9 @@ def brute_leak(item, doc):
     return len(covered) / len(i) if i else 0.0
 
 
-def test_leaks_against_brute_force(spark):
+@pytest.mark.parametrize("most", [leaks.BLOCK_CHARS, 10])
+def test_leaks_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(leaks, "BLOCK_CHARS", most)
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(40)]
     items = [(f"i{k}", " ".join(rng.choice(vocabulary) for _ in range(rng.randint(5, 60)))) for k in range(40)]
@@ -284,6 +286,24 @@ def test_leaks_against_brute_force(spark):
     assert got == pytest.approx(want) and want
 
 
+def test_recall_of_long_and_repetitive_items(spark):
+    """Items of 30 to 10,000 words, every other one a passage over and over, each leaked to the share that just counts."""
+    rng = random.Random(31)
+    items, docs = [], []
+    for k in range(120):
+        n = rng.choice([30, 60, 200, 300, 1000, 3000, 10000])
+        period = rng.choice([9, 20, 100]) if k % 2 else n
+        passage = [f"w{k}x{rng.randrange(10**7)}" for _ in range(min(period, n))]
+        words = (passage * (n // len(passage) + 1))[:n]
+        items.append((f"i{k}", " ".join(words)))
+        at = rng.randrange(n - -(-6 * n // 10) + 1)
+        docs.append((f"d{k}", " ".join([f"z{rng.randrange(99)}" for _ in range(50)] + words[at : at - (-6 * n // 10)] + ["end"] * 3)))
+    found = leaks.leaks(spark.createDataFrame(docs, "doc_id string, doc string"), "doc_id", "doc", spark.createDataFrame(items, "item_id string, text string"), "item_id", "text")
+    assert rows_of(found, "doc_id", "item_id") == sorted((f"d{k}", f"i{k}") for k in range(120))
+    kept = [len(leaks.Sketch([i], 0.6, 1e-9).values) / max(1, len(set(leaks.shingle_values(leaks.split(i[1]), {}).tolist()))) for i in items]
+    assert min(kept) < 0.1 and max(kept) == 1
+
+
 def test_leak_sketches_keep_all_of_short_items():
     assert leaks.threshold(13, 0.6, 1e-9) == 2**64 - 1
     assert 0 < leaks.threshold(5000, 0.6, 1e-9) < 2**64 - 1

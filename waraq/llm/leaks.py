@@ -10,9 +10,10 @@ with a probability of at most `miss`, never below that of the partition; for sho
 ones that repeat a few shingles, that rate is 1 or near it. A document that holds a sketch value of an item is a candidate, and candidates are
 verified on the spot by exact containment of the item's shingles, as words.
 
-The items are the stated query set: they are taken in blocks of a bounded size, each block is sent to
-the workers, and the documents stream past it without a shuffle, so that a document repeated in a
-third of all rows costs no more than any other.
+The items are the stated query set. Up to a bounded size their sketches are sent to the workers and the documents
+stream past them without a shuffle, so that a document repeated in a third of all rows costs no more than
+any other. A larger set stays distributed: the workers get a bitmap of fixed size of all sketch values, the
+documents stream past that once, and only what it lets through is joined with the sketches. Both ways give the same rows.
 
 Defined cases: null, empty and short texts have no shingles and no hits; rows without an id are left out; repeated rows and repeated
 documents count once; an item of fewer than 8 words can't leak; of several texts of one item or
@@ -31,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waraq.llm.words import WORD, kept, new_name
-from waraq.session import spread
+from waraq.session import cut, spread
 
 SHINGLE = 8
 #: Upper bounds (words) of the partitions; the last is open.
 PARTITIONS = (16, 32, 64, 128, 256, 512, 1024, 4096)
-#: Characters of items in a block; a block's sketch takes about twice as many bytes.
+#: Characters of items up to which their sketches are sent to the workers; they take about twice as many bytes.
 BLOCK_CHARS = 20_000_000
+#: Bits of the bitmap of larger sets.
+BITS = 1 << 28
 _BASES = [np.uint64(pow(0x9E3779B97F4A7C15, w, 1 << 64)) for w in (1, 2, 4)]
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 MEMO_WORDS = 500_000
@@ -128,34 +131,99 @@ def covered_words(item: list[str], shingles: set[tuple[str, ...]]) -> int:
 
 def leaks(docs: DataFrame, doc_id: str, doc: str, items: DataFrame, item_id: str, item: str, containment: float = 0.6, miss: float = 1e-9) -> DataFrame:
     """(doc_id, item_id, containment, n_words, n_covered): containment is the share of the item's words inside shared runs of eight or more."""
-    spark = docs.sparkSession
     texts = spread(docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(doc).alias("doc")).filter(F.col("doc_id").isNotNull() & (F.length(doc) > 0)))
     pool = items.select(F.col(item_id).cast("string").alias("item_id"), F.col(item).alias("text")).filter(F.col("item_id").isNotNull() & (F.length("text") > 0)).distinct()
-    blocks = -(-(pool.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS) or 1
-    schema = "doc_id string, item_id string, n_words int, n_covered int"
-    found = None
-    for block in range(blocks):
-        rows = pool if blocks == 1 else pool.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows.collect()])
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=new_name()) -> Iterator[pa.RecordBatch]:
-            sketch, memo = kept(name, lambda: Sketch(shared.value, containment, miss)), {}
-            for b in batches:
-                out: list[tuple] = []
-                for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    words = split(text)
-                    near = sketch.candidates(shingle_values(words, memo))
-                    if near:
-                        shingles = set(zip(*(words[k:] for k in range(SHINGLE))))
-                        for k in near:
-                            name, ws = sketch.items[k]
-                            n = covered_words(ws, shingles)
-                            if n >= containment * len(ws) - 1e-9:
-                                out.append((d, name, len(ws), n))
-                columns = list(zip(*out)) if out else [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], ["doc_id", "item_id", "n_words", "n_covered"])
-
-        part = texts.mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
+    if (pool.agg(F.sum(F.length("text"))).first()[0] or 0) <= BLOCK_CHARS:
+        found = _streamed(texts, [(r["item_id"], r["text"]) for r in pool.collect()], containment, miss)
+    else:
+        found = _joined(texts, pool, containment, miss)
     best = F.max_by(F.struct("n_words", "n_covered"), F.struct(F.col("n_covered") / F.col("n_words"), "n_words")).alias("m")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (F.col("m.n_covered") / F.col("m.n_words")).alias("containment"), F.col("m.n_words").alias("n_words"), F.col("m.n_covered").alias("n_covered"))
+
+
+_ROWS = "doc_id string, item_id string, n_words int, n_covered int"
+
+
+def _batch(out: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*out)) if out else [[], [], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "n_words", "n_covered"])
+
+
+def _streamed(texts: DataFrame, items: list[tuple[str, str]], containment: float, miss: float) -> DataFrame:
+    """The documents past the sketches of all items."""
+    shared, name = texts.sparkSession.sparkContext.broadcast(items), new_name()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch, memo = kept(name, lambda: Sketch(shared.value, containment, miss)), {}
+        for b in batches:
+            out: list[tuple] = []
+            for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = split(text)
+                near = sketch.candidates(shingle_values(words, memo))
+                if near:
+                    shingles = set(zip(*(words[k:] for k in range(SHINGLE))))
+                    for k in near:
+                        item, ws = sketch.items[k]
+                        n = covered_words(ws, shingles)
+                        if n >= containment * len(ws) - 1e-9:
+                            out.append((d, item, len(ws), n))
+            yield _batch(out)
+
+    return texts.mapInArrow(run, _ROWS)
+
+
+def _joined(texts: DataFrame, pool: DataFrame, containment: float, miss: float) -> DataFrame:
+    """The documents past a bitmap of the sketch values, what it lets through joined with the sketches, and the pairs verified."""
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = [Sketch([("", t)], containment, miss).values.view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh64_intdigest(t) - 2**63 for t in b.column(1).to_pylist()], pa.int64()), pa.array(values, pa.list_(pa.int64()))], ["item_id", "e", "values"])
+
+    sketches = cut(spread(pool).mapInArrow(sketched, "item_id string, e bigint, values array<bigint>").select("item_id", "e", F.explode("values").alias("value")))
+    slot = F.pmod("value", F.lit(BITS))
+    maps = sketches.groupBy(F.bitmap_bucket_number(slot + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot + 1)).alias("bits")).collect()  # BITS / 8 bytes at most
+    whole = np.zeros(BITS // 8, np.uint8)
+    for r in maps:
+        part = np.frombuffer(r["bits"], np.uint8)
+        whole[(r["k"] - 1) * len(part) : r["k"] * len(part)] = part
+    shared = texts.sparkSession.sparkContext.broadcast(whole)
+
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, memo = shared.value, {}
+        for b in batches:
+            docs, hashes, values = [], [], []
+            for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                v = np.unique(shingle_values(split(text), memo)).view(np.int64)
+                at = v % BITS
+                v = v[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+                if len(v):
+                    docs.append(d)
+                    hashes.append(xxhash.xxh64_intdigest(text) - 2**63)
+                    values.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), pa.array(hashes, pa.int64()), pa.array(values, pa.list_(pa.int64()))], ["doc_id", "d", "values"])
+
+    near = texts.mapInArrow(through, "doc_id string, d bigint, values array<bigint>").select("doc_id", "d", F.explode("values").alias("value"))
+    pairs = cut(near.join(sketches, "value").select("doc_id", "d", "item_id", "e").distinct())
+
+    def named(df: DataFrame, key: str, text: str, mark: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh64_intdigest(t) - 2**63 for t in b.column(1).to_pylist()], pa.int64()), b.column(1)], [key, mark, text])
+
+        return df.select(key, text).mapInArrow(run, f"{key} string, {mark} bigint, {text} string")
+
+    held = named(texts, "doc_id", "doc", "d").join(pairs.select("doc_id", "d").distinct(), ["doc_id", "d"], "left_semi").distinct()
+    both = pairs.join(held, ["doc_id", "d"]).join(named(pool, "item_id", "text", "e").distinct(), ["item_id", "e"]).select("doc_id", "doc", "item_id", "text")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for d, doc, item, text in zip(*(b.column(i).to_pylist() for i in range(4))):
+                words, ws = split(doc), split(text)
+                n = covered_words(ws, set(zip(*(words[k:] for k in range(SHINGLE)))))
+                if n >= containment * len(ws) - 1e-9:
+                    out.append((d, item, len(ws), n))
+            yield _batch(out)
+
+    return both.mapInArrow(verify, _ROWS)
