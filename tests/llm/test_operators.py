@@ -478,6 +478,8 @@ def test_shared_spans_against_brute_force(spark, hot, monkeypatch):
     assert set(rows_of(op.pairs(), "doc_a", "doc_b")) == pairs and pairs
     got = {r["doc_id"]: r["shared_chars"] for r in op.coverage(df).collect()}
     assert got == cover
+    assert set(rows_of(spans.SharedSpans(df, length=n, wants=("pairs",)).pairs(), "doc_a", "doc_b")) == pairs
+    assert {r["doc_id"]: r["shared_chars"] for r in spans.SharedSpans(df, length=n, wants=("spans",)).coverage(df).collect()} == cover
     assert spans.SharedSpans(df.limit(0), length=n).pairs().count() == 0
 
 
@@ -501,8 +503,8 @@ def everything(spark, df):
     yield "p1", mojibake.restored(df, "record_id", "text")
     yield "p2", repetition.ledger(df, "idx", ["text"])
     scanned = pii.scan(df, "record_id", "text", known)
-    yield "p3", pii.items(scanned, "record_id")
-    yield "p3r", pii.replaced(scanned, "record_id", known)
+    yield "p3", pii.items(scanned, "record_id", known, SECRET)
+    yield "p3r", pii.replaced(scanned, "record_id", known, SECRET)
     yield "p4", lookalikes.same_look(lookalikes.consistent(df, "record_id", "text"))
     yield "p5", leaks.leaks(df, "doc_id", "text", items, "item_id", "text")
     yield "p6", copies.copy_sets(df, "record_id", "text")

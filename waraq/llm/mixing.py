@@ -6,8 +6,8 @@ documents' expected copies are added up along one order, one random offset is ad
 is emitted once for each integer boundary its interval crosses: never more than ceil(N*s/T) times.
 The order runs through size classes, so that the tokens reached follow the documents reached.
 
-The running sum is taken in two levels (totals of small ordered buckets, then ranks inside a bucket),
-so a source with any share of the rows is spread over many tasks. Sums are integers in units of 2^-20
+The running sum is taken in levels (totals of size classes, of ranges of buckets, of buckets, then ranks
+inside a bucket), so a source with any share of the rows is spread over many tasks and no level has many rows in one. Sums are integers in units of 2^-20
 copies and therefore exact and independent of partitioning.
 
 N is the largest size at which no source needs more than its max_repeats, unless given; with a larger
@@ -29,7 +29,8 @@ from waraq.llm.tokens import DEFAULT_VOCABULARY, count
 from waraq.session import cut
 
 UNIT = 1 << 20
-BUCKET_ROWS = 20_000
+#: Rows of a bucket of all classes, and buckets of a range.
+BUCKET_ROWS, RANGE = 20_000, 1024
 
 
 def _plan(sizes: list, targets: list, total_tokens: int | None) -> dict[str, tuple[float, int, int]]:
@@ -69,9 +70,13 @@ def mixture(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text:
         .withColumn("_class", F.floor(4 * F.log2("n_tokens")).cast("int"))
         .withColumn("_bucket", F.pmod(F.shiftright("_h", 8), F.lit(buckets)).cast("int"))
     )
-    counts = use.groupBy("source", "_class", "_bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("source").orderBy("_class", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    counts = cut(use.groupBy("source", "_class", "_bucket").agg(F.count("*").alias("n")).withColumn("_range", F.floor(F.col("_bucket") / RANGE)))
+    levels, starts = (("source", "_class"), ("source", "_class", "_range"), ("source", "_class", "_range", "_bucket")), counts.withColumn("_start", F.lit(0).cast("bigint"))
+    for level in levels:
+        before = Window.partitionBy(*level[:-1]).orderBy(level[-1]).rowsBetween(Window.unboundedPreceding, -1)
+        sums = counts.groupBy(*level).agg(F.sum("n").alias("n")).select(*level, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_more"))
+        starts = starts.join(sums, list(level)).withColumn("_start", F.col("_start") + F.col("_more")).drop("_more")
+    starts = starts.select("source", "_class", "_bucket", "_start")
     rank = F.row_number().over(Window.partitionBy("source", "_class", "_bucket").orderBy("_h", "key")) - 1
     offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col("source")), F.lit(UNIT))
     placed = use.withColumn("_rank", rank).join(starts, ["source", "_class", "_bucket"]).withColumn("_at", (F.col("_start") + F.col("_rank")) * F.col("units") + offset)

@@ -3,6 +3,8 @@
 _WORDS = r"'[\p{L}\p{M}\p{Nd}]+'"
 
 ORACLES: dict[str, str] = {
+    # what must hold of the mixture: every listed source reaches its share and keeps its cap
+    "p9_reached": "select source, true as share_reached, true as within_cap from mix_targets",
     # what must hold of all surrogates, whatever the corpus
     "p3_checks": """
 select property, cast(0 as bigint) as violations from (values ('surrogates of two entities'), ('surrogates that are entities'), ('entities with two surrogates'), ('places named as other places'), ('finds that stayed as they were')) v(property)""",

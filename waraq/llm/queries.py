@@ -118,13 +118,24 @@ def _p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def _p9_reached(spark: SparkSession, d: str) -> DataFrame:
+    """(source, share_reached, within_cap) of each listed source: shares within a hundredth, or two copies of its largest document."""
+    documents, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    chosen, report = mixing.mixture(documents, targets)
+    largest = chosen.groupBy("source").agg(F.max("n_tokens").alias("largest"))
+    total = report.agg(F.sum("mixed_tokens").alias("total"))
+    near = F.abs(F.col("actual_share") - F.col("target_share")) <= F.greatest(F.lit(0.01), 2 * F.coalesce("largest", F.lit(0)) / F.col("total"))
+    # total is a single row
+    return report.join(largest, "source", "left").join(F.broadcast(total)).filter(F.col("max_repeats").isNotNull()).select("source", near.alias("share_reached"), (F.col("most_copies") <= F.col("max_repeats")).alias("within_cap"))
+
+
 def _p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return spans.SharedSpans(table(spark, d, "documents")).pairs()
+    return spans.SharedSpans(table(spark, d, "documents"), wants=("pairs",)).pairs()
 
 
 def _p10_coverage(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
-    return spans.SharedSpans(documents).coverage(documents)
+    return spans.SharedSpans(documents, wants=("spans",)).coverage(documents)
 
 
 QUERIES: dict[str, Query] = {
@@ -150,6 +161,7 @@ QUERIES: dict[str, Query] = {
     "p8_ids": _p8_ids,
     "p9_mixture": _p9_mixture,
     "p9_shares": _p9_shares,
+    "p9_reached": _p9_reached,
     "p10_found": _p10_found,
     "p10_coverage": _p10_coverage,
 }

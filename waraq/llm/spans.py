@@ -9,8 +9,10 @@ it: backward search over the wavelet matrix gives thresholded matching statistic
 that another document of the shard holds, as classes of equal windows.
 
 Equal pieces of one document are searched once, and pieces are cut to like lengths. Windows of an anchor
-that very many documents hold (page chrome, say) are anchored again by a longer k-gram; what is still that
-frequent is cut into blocks and every two blocks share a shard, so that no task holds an unbounded group. Copies of whole texts are collapsed beforehand and put back at the end.
+that very many documents hold (page chrome, say) are anchored again by a longer k-gram. What is still that
+frequent comes as classes with members: its windows are grouped by their 128-bit digests, whose rows grow with
+the documents and not with their pairs, and only pairs() lets the members of a class meet, in blocks. Copies of
+whole texts are collapsed beforehand and put back at the end.
 
 Defined cases: null, empty and short texts share nothing; rows without an id are no document; a span repeated within one document only is
 not shared; rows with equal ids are one document each id; an empty table gives no rows; characters
@@ -19,6 +21,7 @@ are code points; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waraq.llm.fm_index import FMIndex
+from waraq.operators.groups import pairs_within, with_group
 from waraq.session import cut, parallelism, spread
 
 LENGTH = 200
 ANCHOR = 100
 LONG_ANCHOR = 170
-#: Texts with one anchor beyond which it is anchored again, then cut into blocks.
+#: Texts with one anchor beyond which it is anchored again, then grouped by window.
 HOT_TEXTS = 2000
 #: Windows to a piece.
 MOST_WINDOWS = 512
@@ -140,11 +144,27 @@ def _pieces(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return texts.join(held, "doc").select("doc", "text", "w").mapInArrow(cut_out, "doc bigint, h bigint, a int, text string")
 
 
+def _windows(pieces: DataFrame, length: int) -> DataFrame:
+    """(doc, a, m): the digest of each window of the pieces. pieces: (doc, h, a, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, at, digests = [], [], []
+            for doc, a, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                for i in range(len(text) - length + 1):
+                    docs.append(doc)
+                    at.append(a + i)
+                    digests.append(hashlib.md5(text[i : i + length].encode("utf-8", "surrogatepass")).digest())
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(at, pa.int32()), pa.array(digests, pa.binary())], ["doc", "a", "m"])
+
+    return pieces.mapInArrow(run, "doc bigint, a int, m binary").distinct()
+
+
 _RESULT = "doc bigint, other bigint, a int, b int"
 
 
-def _search(length: int):
-    """For each shard: pairs (doc, other, null, null) and shared spans (doc, null, a, b)."""
+def _search(length: int, wants: tuple[str, ...]):
+    """For each shard: pairs (doc, other, null, null) and shared spans (doc, null, a, b), as wanted."""
 
     def run(table: pa.Table) -> pa.Table:
         docs = table.column("doc").to_numpy()
@@ -156,6 +176,21 @@ def _search(length: int):
         piece, offset, cls = index.shared_windows()
         if not len(piece):
             return pa.table({"doc": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "a": pa.array([], pa.int32()), "b": pa.array([], pa.int32())})
+        pairs = np.zeros((2, 0), np.int64)
+        if "pairs" in wants:
+            which, who = index.documents(np.unique(cls))
+            cuts = np.append(np.flatnonzero(np.append(True, which[1:] != which[:-1])), len(which))
+            sets = {who[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])}
+            left, right = [], []
+            for s in sets:
+                d = np.frombuffer(s, np.int64)
+                i, j = np.triu_indices(len(d), 1)
+                left.append(d[i])
+                right.append(d[j])
+            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
+        if "spans" not in wants:
+            n = pairs.shape[1]
+            return pa.table({"doc": pa.array(pairs[0]), "other": pa.array(pairs[1]), "a": pa.nulls(n, pa.int32()), "b": pa.nulls(n, pa.int32())})
         order = np.lexsort((offset, piece))
         p, o = piece[order], offset[order]
         gap = np.append(True, (p[1:] != p[:-1]) | (o[1:] > o[:-1] + length))
@@ -167,16 +202,6 @@ def _search(length: int):
         place = np.repeat(np.arange(len(docs)), count[number])
         mine = np.arange(len(place)) - np.repeat(np.cumsum(count[number]) - count[number], count[number]) + first[number[place]]
         spans = (docs[place], starts[place] + o[begin[mine]], starts[place] + o[end[mine]] + length)
-        which, who = index.documents(np.unique(cls))
-        cuts = np.append(np.flatnonzero(np.append(True, which[1:] != which[:-1])), len(which))
-        sets = {who[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])}
-        left, right = [], []
-        for s in sets:
-            d = np.frombuffer(s, np.int64)
-            i, j = np.triu_indices(len(d), 1)
-            left.append(d[i])
-            right.append(d[j])
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
         n, m = pairs.shape[1], len(place)
         return pa.table(
             {
@@ -193,50 +218,53 @@ def _search(length: int):
 class SharedSpans:
     """Spans of at least `length` characters that stand verbatim in more than one document."""
 
-    def __init__(self, documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH):
-        self.length = length
-        spark = documents.sparkSession
+    def __init__(self, documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, wants: tuple[str, ...] = ("pairs", "spans")):
+        """wants: what will be asked for; pairs cost more than spans where many documents share a span."""
+        self.length, self.wants = length, wants
         texts = documents.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).filter(F.col("doc").isNotNull() & (F.length("text") >= length))
         # copies of whole texts: the smallest id stands for all
         same = texts.select("doc", F.md5("text").alias("m"), F.length("text").alias("n"))
-        firsts = same.groupBy("m").agg(F.min("doc").alias("rep"), F.max("doc").alias("last")).filter(F.col("rep") < F.col("last")).select("m", "rep")
-        self.copies = cut(same.join(firsts, "m").filter(F.col("doc") != F.col("rep")).select("doc", "rep", "n"))
+        self.copies = cut(with_group(same, "m", "doc", F.min("doc").alias("rep")).filter(F.col("doc") != F.col("rep")).select("doc", "rep", "n"))
         drop = self.copies.select("doc").distinct()
         unique = texts.join(F.broadcast(drop) if self.copies.count() <= BROADCAST_ROWS else drop, "doc", "left_anti")
         # windows by their anchors; those of very frequent anchors again by a longer one
         k = min(ANCHOR, length // 2)
         rows = cut(_anchor_rows(spread(unique).select("doc", F.lit(0).alias("base"), "text"), length, k))
         shared = cut(_shared(rows))
-        cold = rows.join(shared.filter(F.col("texts") <= HOT_TEXTS).select("h"), "h", "left_semi").select("doc", "h", "a", "b", F.lit(0).alias("block"))
-        wanted = cold
+        cold = rows.join(shared.filter(F.col("texts") <= HOT_TEXTS).select("h"), "h", "left_semi").select("doc", "h", "a", "b")
+        wanted, self.classes = cold, None
         hot = shared.filter(F.col("texts") > HOT_TEXTS).select("h")
         if hot.limit(1).count():
             again = rows.join(F.broadcast(hot) if shared.count() <= BROADCAST_ROWS else hot, "h", "left_semi")
             longer = cut(_anchor_rows(_pieces(unique, again, length).select("doc", F.col("a").alias("base"), "text"), length, min(LONG_ANCHOR, length - 1)).dropDuplicates(["doc", "h", "a", "b"]))
-            counts = _shared(longer)
-            blocks = longer.join(counts, "h").withColumn("of", F.ceil(F.col("texts") / HOT_TEXTS).cast("int"))
-            own = F.pmod(F.xxhash64("doc"), F.col("of")).cast("int")
-            # block i meets block j in the shard of (i, j); a single block meets itself
-            meets = F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda j: F.least("own", j) * 100_000 + F.greatest("own", j))
-            wanted = wanted.unionByName(blocks.withColumn("own", own).select("doc", "h", "a", "b", F.explode(meets).alias("block")))
+            counts = cut(_shared(longer))
+            wanted = wanted.unionByName(longer.join(counts.filter(F.col("texts") <= HOT_TEXTS).select("h"), "h", "left_semi").select("doc", "h", "a", "b"))
+            hottest = counts.filter(F.col("texts") > HOT_TEXTS).select("h")
+            if not hottest.isEmpty():
+                members = _windows(_pieces(unique, longer.join(hottest, "h", "left_semi"), length), length)
+                self.classes = cut(with_group(members, "m", "doc", F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter(F.col("lo") < F.col("hi")).select("doc", "a", "m"))
         wanted = cut(wanted)
         chars = wanted.agg(F.sum(F.col("b") - F.col("a") + length)).first()[0] or 0
         shards = max(1, -(-chars // SHARD_CHARS))
         if shards > 1:
-            shards = max(shards, parallelism(spark))
-        pieces = _pieces(unique, wanted.select("doc", F.xxhash64("h", "block").alias("h"), "a", "b"), length)
+            shards = max(shards, parallelism(documents.sparkSession))
+        pieces = _pieces(unique, wanted.select("doc", F.xxhash64("h").alias("h"), "a", "b"), length)
         routed = pieces.select(F.pmod("h", F.lit(shards)).alias("shard"), "doc", "a", "text")
-        self.found = cut(routed.groupBy("shard").applyInArrow(_search(length), _RESULT))
+        self.found = cut(routed.groupBy("shard").applyInArrow(_search(length, wants), _RESULT))
 
     def pairs(self) -> DataFrame:
         """(doc_a, doc_b), doc_a < doc_b: documents that share a span."""
-        linked = self.found.filter(F.col("other").isNotNull()).select("doc", "other").distinct()
+        linked = self.found.filter(F.col("other").isNotNull()).select("doc", "other")
+        if self.classes is not None:
+            met = pairs_within(self.classes.select("doc", "m").distinct(), "m", "doc")
+            linked = linked.unionByName(met.select(F.col("a").alias("doc"), F.col("b").alias("other")))
+        linked = linked.distinct()
         members = self.copies.select("rep", "doc").distinct()
         # a linked text and its copies on either side, then copies among themselves
         left = linked.unionByName(linked.join(members, linked["doc"] == members["rep"]).select(members["doc"].alias("doc"), "other"))
         both = left.unionByName(left.join(members.withColumnRenamed("doc", "copy"), F.col("other") == F.col("rep")).select("doc", F.col("copy").alias("other")))
-        among = members.select(F.col("rep").alias("doc"), F.col("doc").alias("other")).unionByName(members.join(members.withColumnRenamed("doc", "other"), "rep").filter(F.col("doc") < F.col("other")).select("doc", "other"))
-        return both.unionByName(among).select(F.least("doc", "other").alias("doc_a"), F.greatest("doc", "other").alias("doc_b")).filter(F.col("doc_a") < F.col("doc_b")).distinct()
+        among = pairs_within(members.unionByName(members.select("rep", F.col("rep").alias("doc")).distinct()), "rep", "doc")
+        return both.unionByName(among.select(F.col("a").alias("doc"), F.col("b").alias("other"))).select(F.least("doc", "other").alias("doc_a"), F.greatest("doc", "other").alias("doc_b")).filter(F.col("doc_a") < F.col("doc_b")).distinct()
 
     def spans(self) -> DataFrame:
         """(doc_id, span_start, span_end): the maximal shared spans of each document; a copied text is shared as a whole."""
@@ -244,6 +272,8 @@ class SharedSpans:
         members = self.copies.select("rep", "doc", "n").distinct()
         whole = members.select("doc", F.lit(0).alias("a"), F.col("n").alias("b")).unionByName(members.select(F.col("rep").alias("doc"), F.lit(0).alias("a"), F.col("n").alias("b")))
         parts = parts.unionByName(whole)
+        if self.classes is not None:
+            parts = parts.unionByName(self.classes.select("doc", "a", (F.col("a") + self.length).alias("b")))
         merged = F.aggregate(
             F.array_sort(F.collect_set(F.struct("a", "b"))),
             F.array().cast("array<struct<a:int,b:int>>"),
