@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waraq import config
+from waraq.config import Damage
 from waraq.functions import text as T
 from waraq.operators import analytics, corruption, decontaminate, dedup, encoding, exclusions, generation, neardup, normalize, packing, pii, quality, sampling, scripts, splits
 from waraq.operators.components import connected_components
@@ -370,7 +371,41 @@ def test_corruption_depends_on_the_id_only(spark):
     for kind in corruption.KINDS:
         a = {r["doc_id"]: r["text"] for r in corruption.corrupt(df, kind, 3).collect()}
         assert a == {r["doc_id"]: r["text"] for r in corruption.corrupt(df.repartition(3), kind, 3).collect()} and a[1] is None
-    assert corruption.romanize_word("گھر") == "ghar" and corruption.romanize("کتاب۔") == "katab."
+
+
+# Words and how speakers write them.
+WRITTEN = {"کرتے": "karte", "گھر": "ghar", "بندہ": "banda", "درگاہ": "dargah", "صفحہ": "safha", "ہمارے": "hamare", "پڑھنا": "parhna", "اچھا": "achha", "لڑکی": "larki", "بھائی": "bhayi", "کتاب۔": "kataba.", "plain text": "plain text", "": ""}
+
+
+def test_romanization(spark):
+    df = spark.createDataFrame([*enumerate(WRITTEN), (-1, None)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in corruption.corrupt(df, "romanize").collect()}
+    assert [got[i] for i in range(len(WRITTEN))] == list(WRITTEN.values()) and got[-1] is None
+    mixed = {r["doc_id"]: r["text"] for r in corruption.corrupt(df.withColumn("text", F.repeat(F.concat("text", F.lit(" ")), 200)), "code_switch", 1, config=Damage(switch_rate=(0.5, 0.5))).collect()}
+    assert set(mixed[1].split()) == {"گھر", "ghar"} and mixed[11].split()[:2] == ["plain", "text"]
+
+
+CLEAN = "یہ کتاب 1947 میں لاہور سے چھپی، اور اس کے 350 صفحات ہیں۔ لوگ اسے آج بھی پڑھتے ہیں۔ کیا آپ نے دیکھی؟"
+
+
+def test_half_of_ocr_damage_is_undone_by_normalization(spark):
+    df = spark.createDataFrame([(i, CLEAN) for i in range(40)], "doc_id bigint, text string")
+    back = lambda config: [r["text"] for r in corruption.corrupt(df, "ocr", 1, config=config).select(normalize.normalized(F.col("text")).alias("text")).collect()]
+    assert df.select(normalize.normalized(F.col("text")).alias("t")).first()["t"] == CLEAN
+    assert set(back(Damage(ocr_rate=(0.5, 0.5), ocr_lossy_share=0.0))) == {CLEAN}
+    assert CLEAN not in back(Damage(ocr_rate=(0.5, 0.5), ocr_lossy_share=1.0))
+    damaged = [r["text"] for r in corruption.corrupt(df, "ocr", 1, config=Damage(ocr_rate=(0.4, 0.4))).collect()]
+    assert len(set(damaged)) == 40 and CLEAN not in damaged and not any("\u064b" <= c <= "\u0660" and c != "\u0660" or c == "\u0670" for t in damaged for c in t)
+    undone = {v for vs in corruption.reversible().values() for v in vs}
+    assert not undone & {c for f in corruption.DOT_FAMILIES for c in f}
+
+
+def test_spacing_moves_spaces_only(spark):
+    df = spark.createDataFrame([(i, CLEAN) for i in range(20)], "doc_id bigint, text string")
+    got = [r["text"] for r in corruption.corrupt(df, "spacing", 3, config=Damage(spacing_rate=(0.5, 0.5))).collect()]
+    assert CLEAN not in got and {t.replace(" ", "") for t in got} == {CLEAN.replace(" ", "")}
+    with pytest.raises(ValueError):
+        Damage(ocr_rate=(0.5, 0.1))
 
 
 def test_reports(spark):

@@ -118,3 +118,24 @@ class Packing(Config):
     eos: int = 256
     salt: str = "packing-1"
     sequences_per_shard: int = 20_000
+
+
+@dataclass(frozen=True)
+class Damage(Config):
+    """Rates of damage, drawn for each document from a range, and shares of its kinds."""
+
+    version: str = "2"
+    ocr_rate: tuple = (0.01, 0.10)
+    ocr_lossy_share: float = 0.5
+    ocr_insert_share: float = 0.35
+    drop_share: float = 0.4
+    double_share: float = 0.3
+    spacing_rate: tuple = (0.02, 0.12)
+    spacing_join_share: float = 0.5
+    switch_rate: tuple = (0.15, 0.45)
+
+    def __post_init__(self) -> None:
+        for name in ("ocr_rate", "spacing_rate", "switch_rate"):
+            low, high = getattr(self, name)
+            if not 0 <= low <= high <= 1:
+                raise ValueError(f"{name} is not a range within 0 and 1")

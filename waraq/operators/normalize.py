@@ -33,7 +33,7 @@ _LINE_BREAKS = r"\r\n|[\r\x0b\x0c\x{85}\x{2028}\x{2029}]"
 _HORIZONTAL = r"[\t \x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]+"
 
 
-def _presentation_forms() -> dict[str, str]:
+def presentation_forms() -> dict[str, str]:
     """Compatibility images of the Arabic presentation-form blocks, from the Unicode data."""
     out = {}
     for first, last in ((0xFB50, 0xFDFF), (0xFE70, 0xFEFC)):
@@ -44,9 +44,9 @@ def _presentation_forms() -> dict[str, str]:
     return out
 
 
-def expand_presentation_forms(text: Column) -> Column:
+def expandpresentation_forms(text: Column) -> Column:
     """Single-letter forms by one translate; ligatures one by one, and only where any stands in the text."""
-    forms = _presentation_forms()
+    forms = presentation_forms()
     single = {c: x for c, x in forms.items() if len(x) == 1}
     out = F.translate(text, "".join(single), "".join(single.values()))
     ligatures = {c: x for c, x in forms.items() if len(x) > 1}
@@ -78,12 +78,12 @@ def collapse(text: Column) -> Column:
 
 
 def normalized(text: Column) -> Column:
-    return collapse(_folded(expand_presentation_forms(text_or_empty(text))))
+    return collapse(_folded(expandpresentation_forms(text_or_empty(text))))
 
 
 def normalize(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds norm: struct(text, chars_in, chars_out, rules)."""
-    staged = spread(docs).withColumn("_x", expand_presentation_forms(text_or_empty(F.col(text_col))))
+    staged = spread(docs).withColumn("_x", expandpresentation_forms(text_or_empty(F.col(text_col))))
     staged = staged.withColumn("_f", _folded(F.col("_x")))
     out = collapse(F.col("_f"))
     return staged.withColumn("norm", F.struct(out.alias("text"), F.length(text_or_empty(F.col(text_col))).alias("chars_in"), F.length(out).alias("chars_out"), rule_counts(F.col("_x")).alias("rules"))).drop("_x", "_f")

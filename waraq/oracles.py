@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
 
 WS = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -182,22 +183,46 @@ ORACLES["near_dup_histogram"] = f"with {_PAIRS} select least(floor(similarity *
 _CLUSTERS = _PAIRS.replace("sh as", "sh as", 1) + ", ed as (select a, b from rt where similarity >= 0.8 union select b, a from rt where similarity >= 0.8), rc as (select a node, b other from ed union select rc.node, ed.b from rc join ed on rc.other = ed.a), rr as (select node, least(node, min(other)) root from rc group by 1)"
 ORACLES["near_dup_verdicts"] = f"with recursive {_CLUSTERS}, cl as (select ky.doc_id, ky.k, coalesce(rr.root, ky.k) c from ky left join rr on rr.node = ky.k), sz as (select *, count(*) over (partition by c) n from cl) select d.doc_id, coalesce(sz.k = sz.c, true) as kept, case when sz.k is null then 'too_few_shingles' when sz.k = sz.c then 'unique' else 'near_duplicate' end as reason, coalesce(sz.n, 1) as cluster_size from documents d left join sz using (doc_id)"
 
-_DECON = f"""{_SH}, eh as (select item_id, {shingle_list('text')} ss from eval_items), es as (select item_id, len(ss) m, unnest(ss) s from eh where len(ss) >= 8), ds as (select doc_id, len(ss) n, unnest(ss) s from sh),
-ct as (select ds.doc_id::varchar doc_id, es.item_id, n, m, count(*) shared from ds join es using (s) group by all)"""
-ORACLES["decontaminate_containments"] = f"with {_DECON} select doc_id, item_id, shared, round(shared / m::double, 9) as containment, round(shared / (m + n - shared)::double, 9) as jaccard from ct where shared / m::double >= 0.2"
+_TRAINED = "documents as (select distinct doc_id, doc as text, 'documents' as source from probe_decon_rup_survivors union select 'pair:' || pair_id, eval, 'pairs' from probe_decon_rup_survivors where eval is not null union all select item_id, text, 'items' from eval_items)"
+
+
+def char_list(t: str, n: int = 5) -> str:
+    return f"(select list(distinct s[i:i+{n - 1}]) from (select s, unnest(range(1, length(s) - {n - 2})) i from (select {canon(t)} s)))"
+
+
+def _decon(shingled=shingle_list, least: int = 8) -> str:
+    return f"""sh as (select doc_id::varchar doc_id, {shingled('text')} ss from documents where text <> ''), eh as (select item_id, {shingled('text')} ss from eval_items), es as (select item_id, len(ss) m, unnest(ss) s from eh where len(ss) >= {least}), ds as (select doc_id, len(ss) n, unnest(ss) s from sh), ct as (select doc_id, item_id, n, m, count(*) shared from ds join es using (s) where doc_id <> item_id group by all)"""
+
+
+_DECON = _decon()
+_CONTAINED = "select doc_id, item_id, shared, round(shared / m::double, 9) as containment, round(shared / (m + n - shared)::double, 9) as jaccard from ct where shared / m::double >= "
+ORACLES["decontaminate_containments"] = f"with {_TRAINED}, {_DECON} {_CONTAINED} 0.2"
+ORACLES["decontaminate_char_containments"] = f"with {_TRAINED}, {_decon(char_list, 25)} {_CONTAINED} 0.8"
 
 
 def _long(t: str) -> str:
     return f"list_distinct(list_transform(list_filter(list_transform(string_split(coalesce({t}, ''), chr(10)), lambda x: {strip('x')}), lambda x: length(x) >= 40), lambda x: md5({canon('x')})))"
 
 
-_EXACT = f"""xd as (select d.doc_id::varchar doc_id, e.item_id from documents d join eval_items e on md5({canon('d.text')}) = md5({canon('e.text')}) where {canon('e.text')} <> ''),
-dl as (select doc_id::varchar doc_id, unnest({_long('text')}) h from documents), el as (select item_id, unnest({_long('text')}) h from eval_items), xl as (select distinct doc_id, item_id from dl join el using (h))"""
-ORACLES["decontaminate_exact_lines"] = f"with {_EXACT} select doc_id, item_id from xl"
-_HITS = f"{_DECON}, {_EXACT}, ht as (select doc_id, item_id, 0 r, 1.0::double c from xd union all select doc_id, item_id, 1, 1.0 from xl union all select doc_id, item_id, 2, shared / m::double from ct where shared / m::double >= 0.5)"
-ORACLES["decontaminate_verdicts"] = f"with {_HITS}, b as (select *, row_number() over (partition by doc_id order by r, -c, item_id) k from ht where r < 2 or c >= 0.8) select doc_id, case r when 0 then 'exact_document' when 1 then 'exact_line' else 'containment' end as reason, item_id, round(c, 9) as containment from b where k = 1"
+_EXACT = f"""xd as (select distinct d.doc_id::varchar doc_id, e.item_id from documents d join eval_items e on md5({canon('d.text')}) = md5({canon('e.text')}) where {canon('e.text')} <> '' and d.doc_id::varchar <> e.item_id),
+dl as (select doc_id::varchar doc_id, unnest({_long('text')}) h from documents), el as (select item_id, unnest({_long('text')}) h from eval_items), xl as (select distinct doc_id, item_id from dl join el using (h) where doc_id <> item_id)"""
+ORACLES["decontaminate_exact_documents"] = f"with {_TRAINED}, {_EXACT} select doc_id, item_id from xd"
+ORACLES["decontaminate_exact_lines"] = f"with {_TRAINED}, {_EXACT} select doc_id, item_id from xl"
+
+
+_HITS = f"{_TRAINED}, {_DECON}, {_EXACT}, ht as (select doc_id, item_id, 0 r, 1.0::double c from xd union all select doc_id, item_id, 1, 1.0 from xl union all select doc_id, item_id, 2, shared / m::double from ct where shared / m::double >= 0.5)"
+_VERDICT = "b as (select *, row_number() over (partition by doc_id order by r, -c, item_id) k from ht where r < 2 or c >= {0}) select doc_id, case r when 0 then 'exact_document' when 1 then 'exact_line' else 'containment' end as reason, item_id, round(c, 9) as containment from b where k = 1"
+ORACLES["decontaminate_verdicts"] = f"with {_HITS}, {_VERDICT.format(0.8)}"
 ORACLES["decontaminate_coverage"] = f"with {_HITS}, o as (select distinct item_id from ht where r < 2 or c >= 0.8) select eval_set, count(*) as items, count(o.item_id) as found from eval_items left join o using (item_id) group by 1"
 ORACLES["decontaminate_sweep"] = f"with {_HITS}, t as (select unnest([0.5, 0.7, 0.8, 0.9])::double threshold) select threshold, count(distinct doc_id) as documents, count(distinct item_id) as items from ht, t where r < 2 or c >= threshold group by 1"
+# each set under its own specification: words for the quiz, characters for sentences
+_BY_SET = f"""{_TRAINED}, {_EXACT}, {_decon()}, {re.sub(r'\b(sh|eh|es|ds|ct)\b', r'c\1', _decon(char_list, 25))},
+hs as (select doc_id, item_id, 'exact_document' reason from xd union all select doc_id, item_id, 'exact_line' from xl
+union all select doc_id, item_id, 'containment' from ct join eval_items using (item_id) where eval_set = 'reading-quiz' and shared / m::double >= 0.6
+union all select doc_id, item_id, 'containment' from cct join eval_items using (item_id) where eval_set <> 'reading-quiz' and shared / m::double >= 0.9)"""
+ORACLES["decontaminate_report"] = f"""with {_BY_SET}, j as (select hs.*, eval_set, source from hs join eval_items using (item_id) left join (select distinct doc_id, source from documents) using (doc_id))
+select 'reason' as "by", reason as name, count(distinct doc_id) as documents, count(distinct item_id) as items from j group by reason union all select 'set', eval_set, count(distinct doc_id), count(distinct item_id) from j group by eval_set union all select 'source', source, count(distinct doc_id), count(distinct item_id) from j group by source"""
+ORACLES["decontaminate_removals"] = f"with {_BY_SET} select distinct split_part(doc_id, '#', 1) as doc_id from hs"
 
 _BUCKET = "(('0x' || substr(md5('splits-1|' || split_part(doc_id::varchar, '#', 1)), 1, 15))::bigint % 1000)"
 _HIST = f"po as (select doc_id, lang population, n_chars chars, strlen(coalesce(text, '')) n_tokens, {_BUCKET} bucket from documents), hi as (select population, bucket, sum(coalesce(chars, 0))::bigint chars from po where population is not null group by 1, 2)"
@@ -244,9 +269,8 @@ ORACLES["exact_jaccard_pairs"] = f"with {_PAIRS}, nm as (select least(x.doc_id,
 ORACLES["near_dup_pair_examples"] = f"with {_PAIRS}, bn2 as (select *, least(floor(similarity * 20 + 1e-9), 19)::int band from rt) select a, b, similarity, band from (select *, row_number() over (partition by band order by md5('examples|' || a || '|' || b), a || '|' || b) r from bn2) where r <= 3"
 ORACLES["near_dup_cross_source"] = f"with recursive {_CLUSTERS.replace('similarity >= 0.8', 'similarity >= 0.5')}, cl as (select ky.doc_id, coalesce(rr.root, ky.k) c from ky left join rr on rr.node = ky.k), cs as (select distinct c, coalesce(source, '') s from cl join documents using (doc_id)) select p.s as source_a, q.s as source_b, count(*) as clusters from cs p join cs q on p.c = q.c and p.s < q.s group by 1, 2"
 ORACLES["char_shingle_counts"] = f"with c as (select item_id, {canon('text')} t from eval_items) select item_id, coalesce(len((select list(distinct substr(t, i::int, 5)) from (select unnest(range(1, length(t) - 3)) i))), 0)::int as n_shingles from c"
-ORACLES["decontaminate_histogram"] = f"with {_DECON} select case when shared >= m then '1.00' else printf('%.1f', floor(shared / m::double * 10 + 1e-9) / 10) end as band, count(*) as hits from ct group by 1"
+ORACLES["decontaminate_histogram"] = f"with {_TRAINED}, {_DECON} select case when shared >= m then '1.00' else printf('%.1f', floor(shared / m::double * 10 + 1e-9) / 10) end as band, count(*) as hits from ct group by 1"
 ORACLES["decontaminate_unmeasurable"] = f"select item_id, coalesce(len(ss), 0)::int as n_shingles from (select item_id, {shingle_list('text')} ss from eval_items) where coalesce(len(ss), 0) < 40"
-ORACLES["decontaminate_removals"] = f"with {_DECON}, {_EXACT} select distinct split_part(doc_id, '#', 1) as doc_id from (select doc_id from xd union select doc_id from xl union select doc_id from ct where shared / m::double >= 0.3)"
 ORACLES["byte_fertility"] = f"select source, count(*) as documents, sum(b)::bigint as tokens, round(coalesce(sum(c) / nullif(sum(b), 0)::double, 0.0), 9) as chars_per_token, round(coalesce(sum(b) / nullif(sum(b), 0)::double, 0.0), 9) as bytes_per_token, round(coalesce(sum(b) / nullif(sum(w), 0)::double, 0.0), 9) as tokens_per_word from (select source, strlen(coalesce(text, '')) b, length(coalesce(text, '')) c, len({_TOK.format(t='text')}) w from documents) group by 1"
 ORACLES["draw_summary"] = "select ar_forwards, count(*) as n, round(avg(ar_secs), 6) as mean, round(coalesce(stddev_samp(ar_secs), 0.0), 6) as sd, round(coalesce(stddev_samp(ar_secs), 0.0) / sqrt(count(*)), 6) as sem, round(min(ar_secs), 6) as least, round(max(ar_secs), 6) as most from (select distinct idx, ar_forwards, ar_secs from demo_pairs) where ar_secs is not null group by 1"
 
@@ -314,3 +338,27 @@ def _normalize_log() -> str:
 ORACLES["normalize_log"] = _normalize_log()
 ORACLES["dedup_variants"] = ORACLES["normalize_text"].rsplit("select doc_id, md5(x)", 1)[0] + f"select 'text' as variant, count(distinct {canon('t')}) as distinct_documents from e union all select 'normalized', count(distinct {canon('x')}) from e"
 ORACLES["near_dup_sweep"] = f"with recursive {_PAIRS}, th as (select unnest([0.5, 0.6, 0.7, 0.8, 0.9])::double t), ed as (select t, a, b from rt, th where similarity >= t union select t, b, a from rt, th where similarity >= t), rc as (select t, a node, b other from ed union select rc.t, rc.node, ed.b from rc join ed on rc.t = ed.t and rc.other = ed.a), rr as (select t, node, least(node, min(other)) root from rc group by 1, 2), sz as (select t, root, count(*) n from rr group by 1, 2) select th.t as threshold, count(root) as clusters, coalesce(sum(n - 1), 0)::bigint as removed, coalesce(max(n), 0) as largest from th left join sz on sz.t = th.t group by 1"
+
+
+def _romanized() -> str:
+    """Each letter by its neighbours: (doc_id, out) of the documents with text."""
+    from waraq.operators.corruption import ROMAN, ROMAN_FIRST, ROMAN_LAST, SCRIPT, VOWELS
+
+    table = lambda m: "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in m.items()) + "}"
+    silent = VOWELS + "ہ"
+    consonants = "".join(c for c, x in ROMAN.items() if x.isalpha() and c not in VOWELS)
+    word = lambda c: f"coalesce(regexp_matches({c}, '[{SCRIPT}]'), false)"
+    return f"""c as (select doc_id, i, s[i] ch from (select doc_id, s, unnest(range(1, len(s) + 1)) i from (select doc_id, regexp_extract_all(text, '(?s).') s from documents))),
+n as (select *, {word('ch')} w, {word('lag(ch) over p')} pw, {word('lead(ch) over p')} nw, lag(ch) over p pc, lead(ch) over p nc, lead(ch, 2) over p n2 from c window p as (partition by doc_id order by i)),
+r as (select doc_id, i, case when not w then ch
+ when not pw and {table(ROMAN_FIRST)}[ch] is not null then {table(ROMAN_FIRST)}[ch]
+ when not nw and ch = 'ہ' and pw and contains('{VOWELS}', pc) then 'h'
+ when not nw and {table(ROMAN_LAST)}[ch] is not null then {table(ROMAN_LAST)}[ch]
+ else coalesce({table(ROMAN)}[ch], '') end
+ || case when w and contains('{consonants}', ch) and nw and not contains('{silent}ھ', nc) and (not pw or not coalesce(contains('{silent}', n2), false)) then 'a' else '' end piece from n),
+ro as (select doc_id, string_agg(piece, '' order by i) out from r group by 1)"""
+
+
+ORACLES["romanize"] = f"with {_romanized()} select doc_id, case when text is null then null else md5(coalesce(out, '')) end as text_md5 from documents left join ro using (doc_id)"
+# what must hold whatever the corpus
+ORACLES["corrupt_reversible"] = "select cast(0 as bigint) as not_restored, true as some_damaged"

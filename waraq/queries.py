@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waraq import oracles
-from waraq.config import EvalSet, NearDup, Packing, Quality, Splits
+from waraq.config import Damage, EvalSet, NearDup, Packing, Quality, Splits
 from waraq.functions.text import h60, shingles, text_or_empty
 from waraq.operators import analytics, corruption, decontaminate, dedup, encoding, exclusions, generation, neardup, normalize, packing, pii, quality, sampling, scripts, splits, tokenizers
 from waraq.plans import pipeline
@@ -34,6 +34,21 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("item_id", "text")
 
 
+def _trained(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, text, source): documents that hold passages of items, items that were collected as documents, and the items themselves."""
+    rows = table(spark, d, "probe_decon_rup_survivors")
+    documents = rows.select("doc_id", F.col("doc").alias("text"), F.lit("documents").alias("source")).distinct()
+    copies = rows.filter(F.col("eval").isNotNull()).select(F.concat(F.lit("pair:"), F.col("pair_id").cast("string")).alias("doc_id"), F.col("eval").alias("text"), F.lit("pairs").alias("source")).distinct()
+    return documents.unionByName(copies).unionByName(table(spark, d, "eval_items").select(F.col("item_id").alias("doc_id"), "text", F.lit("items").alias("source")))
+
+
+def _sets(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "eval_items").select("item_id", "eval_set", "text")
+
+
+SPECS = [EvalSet("reading-quiz", containment=0.6), EvalSet.for_sentences("parl-test-roman"), EvalSet.for_sentences("parl-test-urdu")]
+
+
 @query
 def exact_dedup_verdicts(spark, d):
     return dedup.verdicts(_docs(spark, d))
@@ -240,28 +255,50 @@ def near_dup_sweep(spark, d):
 
 @query
 def decontaminate_containments(spark, d):
-    return decontaminate.containments(_docs(spark, d), _items(spark, d), EvalSet("all", retain=0.2)).select("doc_id", "item_id", "shared", F.round("containment", 9).alias("containment"), F.round("jaccard", 9).alias("jaccard"))
+    return decontaminate.containments(_trained(spark, d), _items(spark, d), EvalSet("all", retain=0.2)).select("doc_id", "item_id", "shared", F.round("containment", 9).alias("containment"), F.round("jaccard", 9).alias("jaccard"))
+
+
+@query
+def decontaminate_char_containments(spark, d):
+    spec = EvalSet.for_sentences("all")
+    return decontaminate.containments(_trained(spark, d), _items(spark, d), spec).select("doc_id", "item_id", "shared", F.round("containment", 9).alias("containment"), F.round("jaccard", 9).alias("jaccard"))
+
+
+@query
+def decontaminate_exact_documents(spark, d):
+    return decontaminate.exact_documents(_trained(spark, d), _items(spark, d))
 
 
 @query
 def decontaminate_exact_lines(spark, d):
-    return decontaminate.exact_lines(_docs(spark, d), _items(spark, d))
+    return decontaminate.exact_lines(_trained(spark, d), _items(spark, d))
 
 
 @query
 def decontaminate_verdicts(spark, d):
-    return decontaminate.verdicts(decontaminate.hits(_docs(spark, d), _items(spark, d))).withColumn("containment", F.round("containment", 9))
+    return decontaminate.verdicts(decontaminate.hits(_trained(spark, d), _items(spark, d))).withColumn("containment", F.round("containment", 9))
 
 
 @query
 def decontaminate_coverage(spark, d):
     sets = table(spark, d, "eval_items").select("item_id", "eval_set")
-    return decontaminate.coverage(decontaminate.hits(_docs(spark, d), _items(spark, d)), _items(spark, d), sets)
+    return decontaminate.coverage(decontaminate.hits(_trained(spark, d), _items(spark, d)), _items(spark, d), sets)
 
 
 @query
 def decontaminate_sweep(spark, d):
-    return decontaminate.sweep(decontaminate.hits(_docs(spark, d), _items(spark, d)), (0.5, 0.7, 0.8, 0.9))
+    return decontaminate.sweep(decontaminate.hits(_trained(spark, d), _items(spark, d)), (0.5, 0.7, 0.8, 0.9))
+
+
+@query
+def decontaminate_report(spark, d):
+    found = decontaminate.hits_by_set(_trained(spark, d), _sets(spark, d), SPECS)
+    return decontaminate.report(found, SPECS, _trained(spark, d))
+
+
+@query
+def decontaminate_prepared_items(spark, d):
+    return decontaminate.prepared(_sets(spark, d)).select("item_id", F.md5("text").alias("text_md5"))
 
 
 def _population(spark, d):
@@ -372,7 +409,12 @@ def ngram_overlap(spark, d):
 
 @query
 def romanize(spark, d):
-    return corruption.corrupt(_docs(spark, d), "romanize")
+    return corruption.corrupt(_docs(spark, d), "romanize").select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query
+def code_switch(spark, d):
+    return corruption.corrupt(_docs(spark, d), "code_switch", 3)
 
 
 @query
@@ -380,6 +422,15 @@ def corrupt_restore(spark, d):
     return corruption.corrupt(_docs(spark, d), "restore", 5)
 
 
+@query
+def corrupt_reversible(spark, d):
+    """Normalization undoes the reversible half of OCR damage, however much there is of it."""
+    clean = normalize.normalize(_docs(spark, d).select("doc_id", "text")).select("doc_id", F.col("norm.text").alias("text"))
+    damaged = corruption.corrupt(clean, "ocr", 3, config=Damage(ocr_rate=(0.5, 0.5), ocr_lossy_share=0.0)).select("doc_id", F.col("text").alias("bad"))
+    both = clean.join(damaged, "doc_id").select("text", "bad", normalize.normalized(F.col("bad")).alias("back"))
+    return both.agg(F.count_if(F.col("back") != F.col("text")).alias("not_restored"), (F.count_if(F.col("bad") != F.col("text")) > 0).alias("some_damaged"))
+
+
 @query
 def latest_assignment(spark, d):
     rows = table(spark, d, "split_assignments").select("doc_id", "population", "split_name", "written_ts").distinct()
@@ -434,7 +485,7 @@ def char_shingle_counts(spark, d):
 
 @query
 def decontaminate_histogram(spark, d):
-    return decontaminate.histogram(decontaminate.containments(_docs(spark, d), _items(spark, d), EvalSet("all", retain=0.0)))
+    return decontaminate.histogram(decontaminate.containments(_trained(spark, d), _items(spark, d), EvalSet("all", retain=0.0)))
 
 
 @query
@@ -444,9 +495,7 @@ def decontaminate_unmeasurable(spark, d):
 
 @query
 def decontaminate_removals(spark, d):
-    specs = [EvalSet(name, containment=0.3, retain=0.2) for name in ("reading-quiz", "parl-test-roman", "parl-test-urdu")]
-    found = decontaminate.hits_by_set(_docs(spark, d), table(spark, d, "eval_items"), specs)
-    return decontaminate.removals(found, specs)
+    return decontaminate.removals(decontaminate.hits_by_set(_trained(spark, d), _sets(spark, d), SPECS), SPECS)
 
 
 @query

@@ -49,11 +49,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a local one only where none is set."""
+    """The shared folder named in spark.checkpoint.dir; a folder of this machine only for a session that is all on it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not named:
         named = os.path.join(tempfile.gettempdir(), "waraq-checkpoints")
     spark.sparkContext.setCheckpointDir(named)
