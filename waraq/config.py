@@ -42,7 +42,6 @@ class Language(Config):
     running_text_rate: float = 0.5
     code_switch_min_share: float = 0.10
     alternation_min_share: float = 0.30
-    max_segments: int = 400
 
 
 @dataclass(frozen=True)

@@ -22,13 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waraq.config import NearDup
+from waraq.functions.shingling import canonical
 from waraq.functions.text import h60, key, shingles
 from waraq.operators.components import connected_components
 from waraq.operators.groups import with_group
 from waraq.operators.sampling import lowest_per_group
 from waraq.session import cut, spread
 
-SALTS = 16
 #: Members of a bucket that meet in one place.
 BLOCK = 500
 
@@ -39,6 +39,13 @@ def probe_order(bins: int, seed: int) -> np.ndarray:
     return np.array([sorted((p for p in range(bins) if p != b), key=lambda p: digest(b, p)) for b in range(bins)])
 
 
+def shingle_hashes(text: str, size: int) -> np.ndarray:
+    """h60 of the distinct shingles of a text, as functions.text has them for columns."""
+    words = canonical(text).split(" ")
+    grams = {" ".join(words[i : i + size]) for i in range(len(words) - size + 1)}
+    return np.fromiter((int.from_bytes(hashlib.md5(g.encode("utf-8", "surrogatepass")).digest()[:8], "big") >> 4 for g in grams), np.int64, len(grams))
+
+
 def sketch(hashes: np.ndarray, order: np.ndarray) -> np.ndarray:
     """The smallest value of each bin; an empty bin takes that of the first filled one in its order."""
     k = len(order)
@@ -54,21 +61,24 @@ def sketch(hashes: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 def sketched(docs: DataFrame, config: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, doc_key, n_shingles, bins) of documents with enough shingles; one narrow pass, no shuffle."""
-    hashed = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", F.transform(shingles(F.col("text"), config.shingle_size), h60).alias("hs"))
-    hashed = hashed.filter(F.size("hs") >= config.min_shingles)
+    source = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     kind, k, seed = docs.schema[id_col].dataType.simpleString(), config.permutations, config.seed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = probe_order(k, seed)
         for b in batches:
-            lists = b.column(1)
-            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-            rows = [sketch(values[i:j], order) for i, j in zip(offsets[:-1], offsets[1:])]
+            keep, sizes, rows = [], [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                h = shingle_hashes(text or "", config.shingle_size)
+                if len(h) >= config.min_shingles:
+                    keep.append(i)
+                    sizes.append(len(h))
+                    rows.append(sketch(h, order))
             flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
             bins = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, k), pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets), pa.int32()), bins], ["id", "n_shingles", "bins"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(sizes, pa.int32()), bins], ["id", "n_shingles", "bins"])
 
-    made = hashed.mapInArrow(run, f"id {kind}, n_shingles int, bins array<bigint>")
+    made = source.mapInArrow(run, f"id {kind}, n_shingles int, bins array<bigint>")
     return made.select("id", key("near/k", F.col("id").cast("string")).alias("doc_key"), "n_shingles", "bins")
 
 
@@ -76,10 +86,8 @@ def candidates(sketches: DataFrame, config: NearDup = NearDup()) -> DataFrame:
     """(a, b): anchor and member of some bucket, each unordered pair once, a the smaller key."""
     bands = F.transform(F.sequence(F.lit(0), F.lit(config.bands - 1)), lambda i: F.md5(F.concat_ws("|", i.cast("string"), F.array_join(F.slice("bins", i * config.rows + 1, config.rows).cast("array<string>"), ","))))
     buckets = sketches.select("doc_key", F.explode(bands).alias("bucket"))
-    anchors = buckets.groupBy("bucket").agg(F.min("doc_key").alias("anchor"), F.count("*").alias("n")).filter(F.col("n") > 1).select("bucket", "anchor")
-    members = buckets.withColumn("salt", F.pmod(F.xxhash64("doc_key"), F.lit(SALTS)))
-    spreadout = anchors.withColumn("salt", F.explode(F.array(*(F.lit(i).cast("bigint") for i in range(SALTS)))))
-    return members.join(spreadout, ["bucket", "salt"]).filter(F.col("doc_key") != F.col("anchor")).select(F.col("anchor").alias("a"), F.col("doc_key").alias("b")).distinct()
+    met = with_group(buckets, "bucket", "doc_key", F.min("doc_key").alias("anchor"), F.count("*").alias("n")).filter(F.col("n") > 1)
+    return met.filter(F.col("doc_key") != F.col("anchor")).select(F.col("anchor").alias("a"), F.col("doc_key").alias("b")).distinct()
 
 
 def meetings(sketches: DataFrame, config: NearDup = NearDup(), roots: DataFrame | None = None) -> DataFrame:

@@ -66,14 +66,16 @@ def repetition(text: str, top: tuple, dup: tuple, most: int | None = None) -> tu
     return dup_lines, tops, dups
 
 
-def measure(docs: DataFrame, config: Quality = Quality(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, chars, words, dup_line_ratio, top_{n}gram.., dup_{n}gram.., url_ratio, html_ratio, replacement_rate)."""
+def measure(docs: DataFrame, config: Quality = Quality(), id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carried columns.., chars, words, dup_line_ratio, top_{n}gram.., dup_{n}gram.., url_ratio, html_ratio, replacement_rate)."""
     top, dup = [n for n, _ in config.top_ngram], [n for n, _ in config.dup_ngram]
-    t = F.col("text")
-    source = spread(docs.select(F.col(id_col).alias("id"), text_or_empty(F.col(text_col)).alias("text")))
+    held = [c for c in carry if c != id_col]
+    source = spread(docs.select(F.col(id_col).alias("_id"), text_or_empty(F.col(text_col)).alias("_text"), *held))
+    t = F.col("_text")
     native = source.select(
-        "id",
-        "text",
+        "_id",
+        "_text",
+        *held,
         F.length(t).alias("chars"),
         rate(matched_chars(t, URL), F.length(t)).alias("url_ratio"),
         rate(matched_chars(t, TAG) + matched_chars(t, ENTITY), F.length(t)).alias("html_ratio"),
@@ -92,7 +94,8 @@ def measure(docs: DataFrame, config: Quality = Quality(), id_col: str = "doc_id"
                     column.append(x)
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(words, pa.int32()), *(pa.array(c, pa.float64()) for c in columns)], [id_col, *b.schema.names[2:], "words", *names])
 
-    return native.mapInArrow(run, f"{id_col} {kind}, chars int, url_ratio double, html_ratio double, replacement_rate double, words int, " + ", ".join(f"{n} double" for n in names))
+    kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in native.schema.fields if f.name in held)
+    return native.mapInArrow(run, f"{id_col} {kind}, {kept}chars int, url_ratio double, html_ratio double, replacement_rate double, words int, " + ", ".join(f"{n} double" for n in names))
 
 
 def reasons(config: Quality = Quality(), script_share: Column | None = None, script_floor: Column | None = None) -> Column:

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from waraq.config import Language
-from waraq.functions.text import let, rate, text_or_empty
+from waraq.functions.text import text_or_empty
 from waraq.session import spread
 
 # Script ranges.
@@ -87,85 +93,145 @@ def script_counts(text: Column) -> Column:
 
 _ARABIC_WORD = re.compile("[\u0600-\u06ff\u0750-\u077f\u08a0-\u08ff]+")
 _LATIN_WORD = re.compile("[A-Za-z][A-Za-z']*")
+_SENTENCE = re.compile("[۔؟?!.]+[ \t-\r\u200f\u200e]*|\n+")
 SCORES = ("urdu", "persian", "arabic", "roman_urdu", "english", "lowercase")
-
-
-def _scorer(profile: Profile, config: Language):
-    """An Arrow UDF from text and letters to the scores: set look-ups per word, which no built-in expression does."""
-    urdu, persian, arabic = (frozenset(x) for x in (profile.urdu, profile.persian, profile.arabic))
-    roman, english = frozenset(profile.only("roman_urdu", "english")), frozenset(profile.only("english", "roman_urdu"))
-
-    def one(text: str, letters: int) -> tuple:
-        words, n = _ARABIC_WORD.findall(text), max(letters, 1)
-        out = [0.0] * 6
-        if words:
-            k = len(words)
-            out[0] = sum(w in urdu for w in words) / k + config.urdu_letter_weight * sum(map(text.count, URDU_LETTERS)) / n
-            out[1] = sum(w in persian for w in words) / k
-            out[2] = sum(w in arabic for w in words) / k + config.arabic_letter_weight * sum(map(text.count, ARABIC_LETTERS)) / n
-        words = _LATIN_WORD.findall(text)
-        if words:
-            k, low = len(words), [w.lower() for w in words]
-            out[3] = sum(w in roman for w in low) / k
-            out[4] = sum(w in english for w in low) / k
-            out[5] = sum(len(w) > 1 and w == x for w, x in zip(words, low)) / k
-        return tuple(out)
-
-    @F.pandas_udf(", ".join(f"{s} double" for s in SCORES))
-    def scores(text: pd.Series, letters: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(t, int(n)) for t, n in zip(text, letters)], columns=list(SCORES))
-
-    return scores
-
-
-def with_evidence(docs: DataFrame, profile: Profile = URDU_PROFILE, config: Language = Language(), text_col: str = "text", prefix: str = "") -> DataFrame:
-    """Adds scripts (letters by script) and scores (urdu, persian, arabic, roman_urdu, english, lowercase)."""
-    t = text_or_empty(F.col(text_col))
-    staged = docs.withColumn(f"{prefix}scripts", script_counts(t))
-    return staged.withColumn(f"{prefix}scores", _scorer(profile, config)(t, F.col(f"{prefix}scripts.letters")))
-
-
-def _best(*named: tuple[str, Column]) -> tuple[Column, Column, Column]:
-    """(label, score, margin) of the largest score; ties go to the label named first."""
-    order = F.array_sort(F.array(*(F.struct((-s).alias("v"), F.lit(i).alias("i"), F.lit(name).alias("n")) for i, (name, s) in enumerate(named))))
-    return order[0]["n"], -order[0]["v"], order[1]["v"] - order[0]["v"]
-
-
-def span_label(prefix: str = "", config: Language = Language()) -> Column:
-    """The language of a span from its scripts and scores, for one script or a mixture of two."""
-    sc, ev = F.col(f"{prefix}scripts"), F.col(f"{prefix}scores")
-    n = sc["letters"]
-    share = {s: rate(sc[s], n) for s in SCRIPTS}
-    a_label, a_top, a_margin = _best(("urdu", ev["urdu"]), ("persian", ev["persian"]), ("arabic", ev["arabic"]))
-    arabic_side = F.when((a_top < config.min_evidence) | (a_margin < config.min_margin), "urdu").otherwise(a_label)
-    l_label, l_top, l_margin = _best(("roman_urdu", ev["roman_urdu"]), ("english", ev["english"]))
-    latin_side = F.when((l_top < config.min_evidence) | (l_margin < config.min_margin), "other").otherwise(l_label)
-    top = F.greatest(*share.values())
-    single = F.when(share["arabic"] == top, arabic_side).when(share["latin"] == top, latin_side).when(share["devanagari"] == top, "hindi").otherwise("other")
-    switched = (share["arabic"] >= config.mixed_min_ratio) & (share["latin"] >= config.mixed_min_ratio) & (arabic_side == "urdu") & (ev["lowercase"] >= config.running_text_rate)
-    mixed = F.when(switched, "code_switched").otherwise(single)
-    return F.when(n == 0, "empty").when(1 - top < config.mixed_min_ratio, single).otherwise(mixed)
-
-
-def classify(docs: DataFrame, profile: Profile = URDU_PROFILE, config: Language = Language(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Adds label: mixed documents are labelled by the letters of their labelled sentences.
-
-    Only mixed documents have their sentences exploded and regrouped; all others stay in place.
-    """
-    found = with_evidence(spread(docs), profile, config, text_col).withColumn("_label", span_label("", config))
-    # one expression over one evaluation of the counts: a filter on their columns would repeat them for each reference
-    top = lambda c: F.greatest(*(rate(c[s], c["letters"]) for s in SCRIPTS))
-    mixed = let(script_counts(F.col(text_col)), lambda c: (c["letters"] >= config.min_letters) & (1 - top(c) >= config.mixed_min_ratio))
-    parts = spread(docs.select(id_col, text_col)).filter(mixed).select(id_col, F.posexplode(F.split(text_or_empty(F.col(text_col)), "[۔؟?!.]+[\\s\\x{200F}\\x{200E}]*|\n+")).alias("pos", "sentence"))
-    parts = with_evidence(parts, profile, config, "sentence").filter(F.col("scripts.letters") >= config.sentence_min_letters)
-    parts = parts.select(id_col, span_label("", config).alias("l"), F.col("scripts.letters").alias("n"))
-    sums = parts.groupBy(id_col, "l").agg(F.sum("n").alias("n")).groupBy(id_col).agg(F.sum("n").alias("t"), F.map_from_entries(F.collect_list(F.struct("l", "n"))).alias("by"))
-    of = lambda name: F.coalesce(F.try_element_at("by", F.lit(name)), F.lit(0)) / F.col("t")
-    partner = F.greatest(of("english"), of("roman_urdu"))
-    best = F.array_sort(F.transform(F.map_entries("by"), lambda e: F.struct((-e["value"]).alias("v"), e["key"].alias("k"))))[0]["k"]
-    refined = sums.select(id_col, F.when((of("code_switched") >= config.code_switch_min_share) | ((of("urdu") >= config.alternation_min_share) & (partner >= config.alternation_min_share)), "code_switched").otherwise(best).alias("_refined"))
-    joined = found.join(refined, id_col, "left")
-    return joined.withColumn("label", F.when(F.col("scripts.letters") < config.min_letters, "empty").otherwise(F.coalesce("_refined", "_label"))).drop("_label", "_refined")
+_SCRIPT_FIELDS, _SCORE_FIELDS = ("arabic", "latin", "devanagari", "other", "letters"), SCORES
+
+
+def _ranges(pattern: str) -> list[tuple[int, int]]:
+    return [(int(a, 16), int(b, 16)) for a, b in re.findall(r"\\x\{(\w+)\}-\\x\{(\w+)\}", pattern)]
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """For each character of the basic plane: 1 to 4 for letters of SCRIPTS, 0 for the rest; with 8 and 16 for letters that mark Urdu and Arabic."""
+    out = np.zeros(0x10000, np.uint8)
+    for point in range(0x10000):
+        if unicodedata.category(chr(point))[0] == "L":
+            out[point] = 4
+    for k, pattern in enumerate((ARABIC, LATIN, DEVANAGARI), 1):
+        for first, last in _ranges(pattern):
+            part = out[first : last + 1]
+            part[part > 0] = k
+    for marks, bit in ((URDU_LETTERS, 8), (ARABIC_LETTERS, 16)):
+        for c in marks:
+            out[ord(c)] |= bit
+    return out
+
+
+class Judge:
+    """Scripts, scores and labels of texts, a batch at a time."""
+
+    def __init__(self, profile: Profile, config: Language):
+        self.config = config
+        self.arabic_words: dict[str, int] = {}
+        for bit, words in ((1, profile.urdu), (2, profile.persian), (4, profile.arabic)):
+            for w in words:
+                self.arabic_words[w] = self.arabic_words.get(w, 0) | bit
+        self.latin_words = {w: 1 for w in profile.only("roman_urdu", "english")} | {w: 2 for w in profile.only("english", "roman_urdu")}
+
+    def evidence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(letters by script and in all, scores) of each text."""
+        n = len(texts)
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        owner = np.repeat(np.arange(n), [len(t) for t in texts])
+        kind = np.where(points > 0xFFFF, 4, _classes()[np.minimum(points, 0xFFFF)])
+        counts = np.bincount(owner * 5 + (kind & 7), minlength=5 * n).reshape(n, 5)
+        counts = np.concatenate([counts[:, 1:], counts[:, 1:].sum(1, keepdims=True)], 1)
+        marks = np.stack([np.bincount(owner[(kind & bit) > 0], minlength=n) for bit in (8, 16)], 1) / np.maximum(counts[:, 4:], 1)
+        scores = np.zeros((n, len(SCORES)))
+        for i, text in enumerate(texts):
+            words = _ARABIC_WORD.findall(text) if counts[i, 0] else ()
+            if words:
+                got = Counter(map(self.arabic_words.get, words))
+                for bit in (0, 1, 2):
+                    scores[i, bit] = sum(k for mask, k in got.items() if mask and mask >> bit & 1) / len(words)
+                scores[i, 0] += self.config.urdu_letter_weight * marks[i, 0]
+                scores[i, 2] += self.config.arabic_letter_weight * marks[i, 1]
+            words = _LATIN_WORD.findall(text) if counts[i, 1] else ()
+            if words:
+                low = text.lower() if len(text) == len(text.lower()) else None
+                lowered = _LATIN_WORD.findall(low) if low is not None else ()
+                if len(lowered) != len(words):
+                    lowered = [w.lower() for w in words]
+                got = Counter(map(self.latin_words.get, lowered))
+                scores[i, 3], scores[i, 4] = got[1] / len(words), got[2] / len(words)
+                scores[i, 5] = sum(len(w) > 1 and w == x for w, x in zip(words, lowered)) / len(words)
+        return counts, scores
+
+    def labels(self, counts: np.ndarray, scores: np.ndarray) -> list[str]:
+        """The language of each span from its scripts and scores, for one script or a mixture of two; ties go to what is named first."""
+        c = self.config
+        n = counts[:, 4]
+        share = counts[:, :4] / np.maximum(n, 1)[:, None]
+
+        def side(columns: tuple[int, ...], names: tuple[str, ...], unsure: str) -> np.ndarray:
+            part = scores[:, columns]
+            order = np.sort(part, 1)
+            sure = (order[:, -1] >= c.min_evidence) & (order[:, -1] - order[:, -2] >= c.min_margin)
+            return np.where(sure, np.array(names)[part.argmax(1)], unsure)
+
+        arabic = side((0, 1, 2), ("urdu", "persian", "arabic"), "urdu")
+        latin = side((3, 4), ("roman_urdu", "english"), "other")
+        top = share.max(1)
+        single = np.select([share[:, 0] == top, share[:, 1] == top, share[:, 2] == top], [arabic, latin, "hindi"], "other")
+        mixed = 1 - top >= c.mixed_min_ratio
+        switched = mixed & (share[:, 0] >= c.mixed_min_ratio) & (share[:, 1] >= c.mixed_min_ratio) & (arabic == "urdu") & (scores[:, 5] >= c.running_text_rate)
+        return np.where(n == 0, "empty", np.where(switched, "code_switched", single)).tolist()
+
+    def classify(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(labels, counts, scores); mixed texts are labelled by the letters of their labelled sentences."""
+        c = self.config
+        counts, scores = self.evidence(texts)
+        labels = self.labels(counts, scores)
+        top = counts[:, :4].max(1) / np.maximum(counts[:, 4], 1)
+        mixed = np.flatnonzero((counts[:, 4] >= c.min_letters) & (1 - top >= c.mixed_min_ratio)).tolist()
+        parts = [(i, p) for i in mixed for p in _SENTENCE.split(texts[i])]
+        if parts:
+            inner, inner_scores = self.evidence([p for _, p in parts])
+            held: dict[int, Counter] = {}
+            for (i, _), label, n in zip(parts, self.labels(inner, inner_scores), inner[:, 4].tolist()):
+                if n >= c.sentence_min_letters:
+                    held.setdefault(i, Counter())[label] += n
+            for i, by in held.items():
+                total = sum(by.values())
+                partner = max(by["english"], by["roman_urdu"])
+                if by["code_switched"] >= c.code_switch_min_share * total or (by["urdu"] >= c.alternation_min_share * total and partner >= c.alternation_min_share * total):
+                    labels[i] = "code_switched"
+                else:
+                    labels[i] = min(by, key=lambda k: (-by[k], k))
+        return [x if n >= c.min_letters else "empty" for x, n in zip(labels, counts[:, 4].tolist())], counts, scores
+
+
+def _judged(docs: DataFrame, profile: Profile, config: Language, text_col: str, labelled: bool) -> DataFrame:
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(profile, config)
+        for b in batches:
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            labels, counts, scores = judge.classify(texts) if labelled else ([], *judge.evidence(texts))
+            found = [pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in counts.T], list(_SCRIPT_FIELDS)), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x)) for x in scores.T], list(_SCORE_FIELDS))]
+            names = [*b.schema.names, "scripts", "scores"]
+            if labelled:
+                found.append(pa.array(labels, pa.string()))
+                names.append("label")
+            yield pa.RecordBatch.from_arrays([*b.columns, *found], names)
+
+    schema = StructType([*docs.schema.fields, StructField("scripts", StructType([StructField(f, IntegerType()) for f in _SCRIPT_FIELDS])), StructField("scores", StructType([StructField(f, DoubleType()) for f in _SCORE_FIELDS]))])
+    if labelled:
+        schema = schema.add("label", StringType())
+    return docs.mapInArrow(run, schema)
+
+
+def with_evidence(docs: DataFrame, profile: Profile = URDU_PROFILE, config: Language = Language(), text_col: str = "text") -> DataFrame:
+    """Adds scripts (letters by script) and scores (urdu, persian, arabic, roman_urdu, english, lowercase), in one Arrow pass."""
+    return _judged(spread(docs), profile, config, text_col, False)
+
+
+def classify(docs: DataFrame, profile: Profile = URDU_PROFILE, config: Language = Language(), text_col: str = "text") -> DataFrame:
+    """Adds scripts, scores and label in one Arrow pass: mixed documents are labelled by the letters of their labelled sentences, all of them."""
+    return _judged(spread(docs), profile, config, text_col, True)
 
 
 def log(classified: DataFrame) -> DataFrame:

@@ -30,9 +30,9 @@ def stages(docs: DataFrame, quality_config: Quality = Quality()) -> DataFrame:
         floors = F.when(F.col("label") == name, floor) if floors is None else floors.when(F.col("label") == name, floor)
         shares = F.when(F.col("label") == name, total) if shares is None else shares.when(F.col("label") == name, total)
     flat = labelled.select("doc_id", "source", "label", shares.alias("script_share"), floors.alias("script_floor"), normalize.normalized(F.col("text")).alias("text"))
-    measured = quality.measure(flat, quality_config)
-    scored = quality.score(flat.join(measured, "doc_id"), quality_config, script_share=F.col("script_share"), script_floor=F.col("script_floor"))
-    return scored.select("doc_id", "source", pii.redact_emails(F.col("text")).alias("text"), "label", "reasons", "kept")
+    measured = quality.measure(flat, quality_config, carry=("source", "label", "script_share", "script_floor", "text"))
+    scored = quality.score(measured, quality_config, script_share=F.col("script_share"), script_floor=F.col("script_floor"))
+    return scored.select("doc_id", "source", "text", "label", "reasons", "kept")
 
 
 def curate(docs: DataFrame, items: DataFrame, quality_config: Quality = Quality(), spec: EvalSet = EvalSet("default"), near_config: NearDup = NearDup()) -> DataFrame:
