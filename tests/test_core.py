@@ -446,14 +446,59 @@ def test_late_rows_still_count_within_the_watermark(spark, tmp_path):
     assert sorted((r["kind"], r["n"]) for r in spark.table("windows").collect()) == [("x", 3), ("y", 1)]
 
 
-def test_composed_plan_removes_near_duplicates(spark):
+def urdu_words(rng, n):
+    return ["".join(rng.choice("بپتٹجچدڈرڑسشکگلمنے") for _ in range(5)) for _ in range(n)]
+
+
+def test_composed_plan_where_documents_leave_it(spark):
     rng = random.Random(8)
-    base = [f"word{rng.randrange(400)}" for _ in range(200)]
-    texts = [" ".join(base), " ".join(base[:100] + ["changed"] + base[101:]), " ".join(base), " ".join(f"other{rng.randrange(400)}" for _ in range(200))]
-    df = docs_of(spark, texts).withColumn("source", F.lit("s"))
-    items = spark.createDataFrame([("e", "nothing of this stands in the corpus at all")], "item_id string, text string")
-    got = {r["doc_id"]: r["stage"] for r in pipeline.curate(df, items).collect()}
+    base, passage, line = urdu_words(rng, 200), urdu_words(rng, 60), " ".join(urdu_words(rng, 20))
+    raw_item = " ".join(passage).replace("ک", "ك") + " a.b@mail.example"  # an item as it was before normalization and redaction
+    texts = {
+        0: " ".join(base), 1: " ".join(base[:100] + ["بدلا"] + base[101:]), 2: " ".join(base), 3: " ".join(urdu_words(rng, 200)),
+        4: " ".join(urdu_words(rng, 100) + passage + ["[@]"] + urdu_words(rng, 100)), 5: "plain english text that is not wanted here " * 20, 6: "بہت کم", 7: None,
+        8: " ".join(urdu_words(rng, 150)) + "\n" + line, 9: line + "\n" + " ".join(urdu_words(rng, 150)), 10: " ".join(urdu_words(rng, 150)) + " Ã˜Â¨" * 90 + "Ã¿",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").withColumn("source", F.lit("s"))
+    items = spark.createDataFrame([("e", raw_item)], "item_id string, text string")
+    rows = {r["doc_id"]: r for r in pipeline.curate(df, items).collect()}
+    got = {i: r["stage"] for i, r in rows.items()}
     assert sorted(got[i] for i in (0, 1, 2)) == ["exact_duplicate", "kept", "near_duplicate"] and got[3] == "kept"
+    assert got[4] == "contaminated" and got[5] == "language" and got[6] in ("language", "quality") and got[7] == "language" and got[10] == "encoding"
+    assert got[8] == got[9] == "kept" and sorted(rows[i]["removed_lines"] for i in (8, 9)) == [0, 1]
+    assert pipeline.curate(df.limit(0), items).count() == 0
+
+
+def test_numbers_of_candidates_are_taken_by_groups_of_digits():
+    assert [(t, k) for a, b, k in pii.spans("(042) 1234567 oder") for t in ["(042) 1234567 oder"[a:b]]] == [("(042) 1234567", "phone")]
+    assert pii.spans("0300123456") == [] and pii.spans("03001234567") == [(0, 11, "phone")] and pii.spans("+92 300 1234567 89 99 99") == [(0, 15, "phone")]
+    assert pii.unsafe_placeholders() == [] and pii.unsafe_placeholders(("[@]", "03001234567")) == ["03001234567"]
+
+
+# budgets
+
+
+def test_token_bands_never_overshoot_and_tell_what_runs_out(spark):
+    from dataclasses import replace
+
+    rng = random.Random(3)
+    config = config_of_budgets()
+    hist = [("x", b, rng.randint(1, 50)) for b in sorted(rng.sample(range(config.buckets), 400))] + [("y", 7, 5)]
+    found = {(r["population"], r["band"]): r for r in splits.token_bands(spark.createDataFrame(hist, "population string, bucket bigint, chars bigint"), config).collect()}
+    chars = lambda p, a, b: sum(c for q, k, c in hist if q == p and a <= k < b)
+    for (p, band), r in found.items():
+        assert r["chars"] == chars(p, r["bucket_from"], r["bucket_to"]) <= r["target"]
+    x = {b: r for (p, b), r in found.items() if p == "x"}
+    assert x["test"]["bucket_from"] == x["validation"]["bucket_to"] and x["arm_A"]["bucket_to"] <= x["arm_B"]["bucket_to"] <= x["validation"]["bucket_from"]
+    assert x["arm_B"]["exhausted"] and not x["arm_A"]["exhausted"] and not x["test"]["exhausted"] and all(r["exhausted"] for (p, _), r in found.items() if p == "y")
+    again = {(r["population"], r["band"]): r for r in splits.token_bands(spark.createDataFrame(hist, "population string, bucket bigint, chars bigint"), replace(config, heldout_sequences=2)).collect()}
+    assert again["x", "arm_A"]["bucket_to"] == x["arm_A"]["bucket_to"]  # an arm doesn't move with the held-out sets
+    funded = {(r["arm"], r["population"]): r["funded"] for r in splits.funding(spark.createDataFrame(hist, "population string, bucket bigint, chars bigint"), config).collect()}
+    assert funded["A", "x"] and not funded["B", "x"] and not funded["A", "y"]
+
+
+def config_of_budgets():
+    return config.Budgets(arms=(("A", 1000), ("B", 9000)), targets=(("x", 9), ("y", 1)), chars_per_token=(("x", 2.0), ("y", 3.0)), heldout_sequences=4, sequence_length=100)
 
 
 # the registry

@@ -110,6 +110,38 @@ class Splits(Config):
     heldout_share: float = 0.02
 
 
+@dataclass(frozen=True)
+class Budgets(Config):
+    """Budgets in tokens: arms of the same mixture of populations, and two held-out sets; characters stand for tokens by measured ratios."""
+
+    version: str = "1"
+    salt: str = "splits-1"
+    buckets: int = 100_000
+    arms: tuple = (("A", 25_000_000), ("B", 85_000_000))
+    targets: tuple = (("urdu", 80), ("roman_urdu", 15), ("code_switched", 5))
+    chars_per_token: tuple = (("urdu", 3.5), ("roman_urdu", 4.2), ("code_switched", 3.8))
+    heldout_sequences: int = 5_000
+    sequence_length: int = 512
+    sample_rate: float = 1.0
+
+    def __post_init__(self) -> None:
+        ratios = dict(self.chars_per_token)
+        if not self.arms or not self.targets or min(n for _, n in (*self.arms, *self.targets)) <= 0:
+            raise ValueError("budgets need arms and targets above 0")
+        if any(ratios.get(p, 0) <= 0 for p, _ in self.targets) or not 0 < self.sample_rate <= 1:
+            raise ValueError("each target needs its characters a token, and the sample rate is within 0 and 1")
+
+    def share(self, population: str) -> float:
+        """The part of every arm and held-out set that a population is."""
+        return dict(self.targets)[population] / sum(n for _, n in self.targets)
+
+    def chars(self, population: str, tokens: float) -> float:
+        return tokens * self.share(population) * dict(self.chars_per_token)[population]
+
+    def heldout_tokens(self) -> int:
+        return self.heldout_sequences * self.sequence_length
+
+
 @dataclass(frozen=True)
 class Packing(Config):
     version: str = "1"

@@ -32,6 +32,8 @@ def shingle_list(t: str, n: int = 5) -> str:
 
 DEDUP = f"k as (select doc_id, source, md5('dedup/c|' || {canon('text')}) h, md5('dedup/k|' || doc_id::varchar) k from documents)"
 LINES = f"l as (select distinct doc_id, md5('dedup/k|' || doc_id::varchar) k, line from (select doc_id, {strip('x')} line from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) x from documents)) where length(line) >= 60), li as (select line, count(*) n, length(line) c, arg_min(doc_id, k) owner from l group by line)"
+SURVIVORS = f"{DEDUP}, sv as (select documents.* from documents join (select doc_id, row_number() over (partition by h order by k) r from k) using (doc_id) where r = 1)"
+LINES = f"{SURVIVORS}, {LINES.replace('documents)', 'sv)')}"
 ORACLES: dict[str, str] = {
     "exact_dedup_verdicts": f"with {DEDUP} select doc_id, h as content_hash, count(*) over (partition by h) as group_size, row_number() over (partition by h order by k) = 1 as kept from k",
     "exact_dedup_groups": f"with {DEDUP}, g as (select h, count(*) n, arg_min(doc_id, k) kept, array_to_string(list_sort(list(doc_id))[1:4], ',') ids from k group by h having count(*) > 1) select h as content_hash, n as group_size, kept as kept_id, ids as example_ids from g order by n desc, h limit 20",
@@ -40,7 +42,7 @@ ORACLES: dict[str, str] = {
     "exact_dedup_removed_by_source": f"with {DEDUP}, f as (select *, row_number() over (partition by h order by k) r, first_value(coalesce(source, '')) over (partition by h order by k) fs from k) select coalesce(source, '') as source, count(*) as documents, count(*) filter (r > 1) as removed, count(*) filter (r > 1 and coalesce(source, '') <> fs) as removed_cross from f group by 1",
     "line_dedup_statistics": f"with {LINES} select count(*) as distinct_lines, count(*) filter (n > 1) as shared_lines, sum(n * c)::bigint as line_chars, coalesce(sum(n * c) filter (n > 1), 0)::bigint as shared_chars, coalesce(sum((n - 1) * c) filter (n > 1), 0)::bigint as removable_chars from li",
     "line_dedup_strip": f"""with {LINES}, d as (select l.doc_id, list(distinct l.line) drops from l join li on l.line = li.line where li.n > 1 and li.owner <> l.doc_id group by 1),
-j as (select t.doc_id, coalesce(t.text, '') txt, string_split(coalesce(t.text, ''), chr(10)) raw, coalesce(d.drops, []) drops from documents t left join d using (doc_id)),
+j as (select t.doc_id, coalesce(t.text, '') txt, string_split(coalesce(t.text, ''), chr(10)) raw, coalesce(d.drops, []) drops from sv t left join d using (doc_id)),
 m as (select doc_id, txt, raw, list_filter(raw, lambda x: not list_contains(drops, {strip('x')})) kept from j),
 e as (select *, len(list_filter(kept, lambda x: {strip('x')} <> '')) = 0 as gone from m)
 select doc_id, md5(case when gone then txt else array_to_string(kept, chr(10)) end) as text_md5, (case when gone then 0 else len(raw) - len(kept) end)::int as removed_lines from e""",
@@ -224,12 +226,12 @@ ORACLES["decontaminate_report"] = f"""with {_BY_SET}, j as (select hs.*, eval_se
 select 'reason' as "by", reason as name, count(distinct doc_id) as documents, count(distinct item_id) as items from j group by reason union all select 'set', eval_set, count(distinct doc_id), count(distinct item_id) from j group by eval_set union all select 'source', source, count(distinct doc_id), count(distinct item_id) from j group by source"""
 ORACLES["decontaminate_removals"] = f"with {_BY_SET} select distinct split_part(doc_id, '#', 1) as doc_id from hs"
 
-_BUCKET = "(('0x' || substr(md5('splits-1|' || split_part(doc_id::varchar, '#', 1)), 1, 15))::bigint % 1000)"
+_BUCKET = "(('0x' || substr(md5('splits-1|' || split_part(doc_id::varchar, '#', 1)), 1, 15))::bigint % 100000)"
 _HIST = f"po as (select doc_id, lang population, n_chars chars, strlen(coalesce(text, '')) n_tokens, {_BUCKET} bucket from documents), hi as (select population, bucket, sum(coalesce(chars, 0))::bigint chars from po where population is not null group by 1, 2)"
-_BANDS = f"""{_HIST}, dn as (select population, unnest(range(1000)) bucket from (select distinct population from hi)), fu as (select dn.population, dn.bucket, coalesce(hi.chars, 0) chars from dn left join hi using (population, bucket)),
+_BANDS = f"""{_HIST}, dn as (select population, unnest(range(100000)) bucket from (select distinct population from hi)), fu as (select dn.population, dn.bucket, coalesce(hi.chars, 0) chars from dn left join hi using (population, bucket)),
 tt as (select population, sum(chars) t from fu group by 1), cu as (select fu.*, t, sum(chars) over (partition by population order by bucket desc) above, sum(chars) over (partition by population order by bucket) below from fu join tt using (population)),
 te as (select population, coalesce(max(bucket + 1) filter (above > floor(t * 0.02)), 0) test_from from cu group by 1), th as (select population, test_from, coalesce(sum(chars) filter (bucket >= test_from), 0) held from cu join te using (population) group by 1, 2),
-bd as (select population, test_from, coalesce(max(bucket + 1) filter (bucket < test_from and above - held > floor(t * 0.02)), 0) validation_from, coalesce(min(bucket) filter (below > floor(t * 0.05)), 1000) a, coalesce(min(bucket) filter (below > floor(t * 0.2)), 1000) b from cu join th using (population) group by 1, 2)"""
+bd as (select population, test_from, coalesce(max(bucket + 1) filter (bucket < test_from and above - held > floor(t * 0.02)), 0) validation_from, coalesce(min(bucket) filter (below > floor(t * 0.05)), 100000) a, coalesce(min(bucket) filter (below > floor(t * 0.2)), 100000) b from cu join th using (population) group by 1, 2)"""
 ORACLES["split_histogram"] = f"with {_HIST} select population, bucket, chars from hi"
 ORACLES["split_bands"] = f"with {_BANDS} select population, validation_from, test_from, least(a, validation_from) as arm_A, least(b, validation_from) as arm_B from bd"
 _ASSIGN = f"{_BANDS}, ag as (select po.*, case when bd.test_from is null then 'unassigned' when bucket >= test_from then 'test' when bucket >= validation_from then 'validation' else 'train' end split_name, bucket < least(a, validation_from) in_a, bucket < least(b, validation_from) in_b from po left join bd using (population)), am as (select *, case when split_name = 'train' then list_filter([case when in_a then 'A' end, case when in_b then 'B' end], lambda x: x is not null) else [] end arms from ag)"
@@ -362,3 +364,26 @@ ro as (select doc_id, string_agg(piece, '' order by i) out from r group by 1)"""
 ORACLES["romanize"] = f"with {_romanized()} select doc_id, case when text is null then null else md5(coalesce(out, '')) end as text_md5 from documents left join ro using (doc_id)"
 # what must hold whatever the corpus
 ORACLES["corrupt_reversible"] = "select cast(0 as bigint) as not_restored, true as some_damaged"
+
+
+def _budgeted(arms, targets, ratios, held, rate=1.0) -> str:
+    """(population, band, bucket_from, bucket_to, chars, target, exhausted), bucket by bucket."""
+    whole = sum(targets.values())
+    rows = [(p, b, n * t / whole * ratios[p] * rate) for p, t in targets.items() for b, n in (("test", held), ("validation", held), *((f"arm_{a}", n) for a, n in arms.items()))]
+    bu = "bu as (select * from (values " + ", ".join(f"('{p}', '{b}', {n!r}::double)" for p, b, n in rows) + ") v(population, band, target))"
+    above = lambda src, band, name: f"""{name}r as (select {src}.*, target, sum(chars) over (partition by population order by bucket desc) run from {src} join bu using (population) where band = '{band}'),
+{name} as (select population, coalesce(max(bucket + 1) filter (run > target), 0) f, max(bucket + 1) filter (run > target) is null and coalesce(sum(chars), 0) < any_value(target) x from {name}r group by 1)"""
+    out = f"""{_HIST}, {bu}, ps as (select distinct population from bu), {above('hi', 'test', 'te')}, ta as (select ps.population, coalesce(f, 0) f, coalesce(x, true) x from ps left join te using (population)),
+h2 as (select hi.* from hi join ta using (population) where bucket < f), {above('h2', 'validation', 'va')}, vb as (select ps.population, coalesce(va.f, 0) f, coalesce(va.x, true) x from ps left join va using (population)), h3 as (select hi.* from hi join vb using (population) where bucket < f),
+ar as (select h3.*, band, target, sum(chars) over (partition by population, band order by bucket) run from h3 join bu using (population) where band like 'arm%'),
+ac as (select population, band, min(bucket) filter (run > target) s, coalesce(sum(chars), 0) < any_value(target) short from ar group by 1, 2),
+bands as (select population, 'test' band, f bucket_from, 100000 bucket_to, x exhausted from ta union all select vb.population, 'validation', vb.f, ta.f, vb.x from vb join ta using (population)
+union all select bu.population, bu.band, 0, coalesce(s, vb.f), s is null and coalesce(short, true) from bu join vb using (population) left join ac using (population, band) where bu.band like 'arm%')"""
+    return f"with {out} select b.population, b.band, b.bucket_from::bigint as bucket_from, b.bucket_to::bigint as bucket_to, coalesce((select sum(chars) from hi where hi.population = b.population and bucket >= b.bucket_from and bucket < b.bucket_to), 0)::bigint as chars, round(bu.target, 6) as target, b.exhausted from bands b join bu using (population, band)"
+
+
+_ARMS, _TARGETS = {"A": 3_000, "B": 30_000}, {"urdu": 80, "roman_urdu": 15, "english": 5}
+_RATIOS = {"urdu": 3.5, "roman_urdu": 4.2, "english": 4.5}
+ORACLES["split_token_bands"] = _budgeted(_ARMS, _TARGETS, _RATIOS, 8 * 128)
+ORACLES["split_token_bands_resolved"] = _budgeted(_ARMS, _TARGETS, {"urdu": 3.739, "roman_urdu": 4.066, "english": 3.9}, 8 * 128, 0.1)
+ORACLES["split_funding"] = "with a as (select * from (values " + ", ".join(f"('{a}', '{p}', {_RATIOS[p]}::double, {(n + 2 * 8 * 128) * t / 100!r}::double)" for a, n in _ARMS.items() for p, t in _TARGETS.items()) + ") v(arm, population, ratio, required)), s as (select lang population, sum(coalesce(n_chars, 0)) chars from documents where lang is not null group by 1) select arm, population, round(coalesce(chars, 0) / ratio, 6) as supply_tokens, round(required, 6) as required_tokens, coalesce(chars, 0) / ratio >= required as funded from a left join s using (population)"

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waraq import oracles
-from waraq.config import Damage, EvalSet, NearDup, Packing, Quality, Splits
+from waraq.config import Budgets, Damage, EvalSet, NearDup, Packing, Quality, Splits
 from waraq.functions.text import h60, shingles, text_or_empty
 from waraq.operators import analytics, corruption, decontaminate, dedup, encoding, exclusions, generation, neardup, normalize, packing, pii, quality, sampling, scripts, splits, tokenizers
 from waraq.plans import pipeline
@@ -18,7 +19,7 @@ from waraq.sources import readers
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES = oracles.ORACLES
-SPLITS = Splits(buckets=1000)
+SPLITS = Splits()
 
 
 def query(f: Query) -> Query:
@@ -76,12 +77,12 @@ def exact_dedup_removed_by_source(spark, d):
 
 @query
 def line_dedup_statistics(spark, d):
-    return dedup.line_statistics(_docs(spark, d))
+    return dedup.line_statistics(dedup.survivors(_docs(spark, d)))
 
 
 @query
 def line_dedup_strip(spark, d):
-    return dedup.strip_lines(_docs(spark, d)).select("doc_id", F.md5("text").alias("text_md5"), "removed_lines")
+    return dedup.strip_lines(dedup.survivors(_docs(spark, d))).select("doc_id", F.md5("text").alias("text_md5"), "removed_lines")
 
 
 @query
@@ -320,6 +321,29 @@ def split_bands(spark, d):
     return splits.bands(splits.histogram(_population(spark, d), SPLITS), SPLITS)
 
 
+#: Budgets that the tables can partly meet: one population falls short.
+BUDGETS = Budgets(arms=(("A", 3_000), ("B", 30_000)), targets=(("urdu", 80), ("roman_urdu", 15), ("english", 5)), chars_per_token=(("urdu", 3.5), ("roman_urdu", 4.2), ("english", 4.5)), heldout_sequences=8, sequence_length=128)
+
+
+@query
+def split_token_bands(spark, d):
+    found = splits.token_bands(splits.histogram(_population(spark, d), BUDGETS), BUDGETS)
+    return found.withColumn("target", F.round("target", 6))
+
+
+@query
+def split_token_bands_resolved(spark, d):
+    """The same histogram solved for other characters a token and a sample of a tenth."""
+    other = replace(BUDGETS, chars_per_token=(("urdu", 3.739), ("roman_urdu", 4.066), ("english", 3.9)), sample_rate=0.1)
+    return splits.token_bands(splits.histogram(_population(spark, d), BUDGETS), other).withColumn("target", F.round("target", 6))
+
+
+@query
+def split_funding(spark, d):
+    found = splits.funding(splits.histogram(_population(spark, d), BUDGETS), BUDGETS)
+    return found.select("arm", "population", *(F.round(c, 6).alias(c) for c in ("supply_tokens", "required_tokens")), "funded")
+
+
 @query
 def split_assignment(spark, d):
     return _assigned(spark, d).select("doc_id", "bucket", "split_name", F.array_join("arms", ",").alias("arms"))
@@ -433,9 +457,11 @@ def corrupt_reversible(spark, d):
 
 @query
 def latest_assignment(spark, d):
-    rows = table(spark, d, "split_assignments").select("doc_id", "population", "split_name", "written_ts").distinct()
-    empty = rows.limit(0)
-    return analytics.upsert(rows, empty, ["doc_id"], "written_ts").select("doc_id", "population", "split_name")
+    """What arrived late replaces what was there; the row written last wins, wherever it stands."""
+    rows = table(spark, d, "split_assignments").select("doc_id", "population", "split_name", "written_ts", "loaded_ts").distinct()
+    late = F.col("loaded_ts") > F.col("written_ts") + F.expr("interval 7 days")
+    old, new = rows.filter(~F.coalesce(late, F.lit(False))), rows.filter(late)
+    return analytics.upsert(old, new, ["doc_id"], "written_ts").select("doc_id", "population", "split_name")
 
 
 @query
@@ -451,7 +477,13 @@ def tokenizer_sample(spark, d):
 
 @query
 def curation_pipeline(spark, d):
-    return pipeline.curate(_docs(spark, d), _items(spark, d), Quality(min_chars=100, min_words=10))
+    return pipeline.curate(_docs(spark, d), _items(spark, d))
+
+
+@query
+def curation_stages(spark, d):
+    """How many documents leave the plan where, by the production settings."""
+    return pipeline.curate(_docs(spark, d), _items(spark, d)).groupBy("stage").agg(F.count("*").alias("documents"))
 
 
 @query
