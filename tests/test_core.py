@@ -501,6 +501,96 @@ def config_of_budgets():
     return config.Budgets(arms=(("A", 1000), ("B", 9000)), targets=(("x", 9), ("y", 1)), chars_per_token=(("x", 2.0), ("y", 3.0)), heldout_sequences=4, sequence_length=100)
 
 
+def test_components_of_hubs_chains_and_loops(spark):
+    rng = random.Random(2)
+    edges = [(f"h{i:04d}", "h0500") for i in range(1000)] + [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(150)] + [("x", "x"), ("p", "q"), ("q", "p"), ("q", "r")]
+    edges += [(f"r{rng.randrange(80):02d}", f"r{rng.randrange(80):02d}") for _ in range(60)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {n: root(n) for n in parent}
+    assert connected_components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_packed_corpus_is_checked_against_its_manifest(spark, tmp_path):
+    cfg = config.Packing(sequence_length=16, sequences_per_shard=3)
+    df = docs_of(spark, ["abcdefghij" * k for k in range(1, 9)]).withColumn("stream", F.when(F.col("doc_id") % 2 == 0, F.lit("urdu/train/A")).otherwise(F.lit("urdu/test"))).withColumn("n_tokens", F.length("text"))
+    packed = packing.pack_ids(packing.placed(df, cfg).join(packing.byte_ids(df), "doc_id"), "ids", cfg)
+    path = str(tmp_path / "corpus")
+    manifest = packing.write(packed, path, cfg).collect()
+    assert sum(r["sequences"] for r in manifest) == packed.count() and all(r["tokens"] == 16 * r["sequences"] for r in manifest)
+    assert packing.verify_corpus(spark, path, cfg).count() == 0
+    assert {r["problem"] for r in packing.verify_corpus(spark, path, config.Packing(sequence_length=8)).collect()} == {"length"}
+    assert {r["problem"] for r in packing.verify_corpus(spark, path, cfg, vocabulary=100).collect()} == {"vocabulary"}
+    files = sorted((tmp_path / "corpus" / "data").rglob("*.parquet"))
+    files[0].unlink()
+    files[1].write_bytes(files[2].read_bytes())
+    for crc in (tmp_path / "corpus" / "data").rglob(".*.crc"):
+        crc.unlink()
+    assert {r["problem"] for r in packing.verify_corpus(spark, path, cfg).collect()} == {"missing", "digest"}
+
+
+def test_packed_ids_are_the_streams_in_order(spark):
+    cfg = config.Packing(sequence_length=7)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 40))) for _ in range(30)]
+    df = docs_of(spark, texts).withColumn("stream", F.lit("s")).withColumn("n_tokens", F.length("text"))
+    for across in (True, False):
+        at = packing.placed(df, cfg, across=across)
+        got = {r["seq"]: r["ids"] for r in packing.pack_ids(at.join(packing.byte_ids(df), "doc_id"), "ids", cfg).collect()}
+        flat = []
+        for r in sorted(at.collect(), key=lambda r: r["at"]):
+            assert r["at"] == len(flat)
+            flat += [*texts[r["doc_id"]].encode(), cfg.eos][: r["n"]]
+        assert got == {k: flat[7 * k : 7 * k + 7] for k in range(len(flat) // 7)} and got
+    index = packing.indexed(packing.pack_ids(packing.placed(df.unionByName(df.withColumn("stream", F.lit("t"))), cfg).join(packing.byte_ids(df), "doc_id"), "ids", cfg))
+    assert sorted(r["index"] for r in index.collect()) == list(range(index.count()))
+
+
+def test_governance(spark):
+    from waraq.sources import governance
+
+    sources = spark.createDataFrame([("a", "CC-BY-4.0", "0" * 40), ("b", "CC-BY-NC-4.0", "main"), ("c", "made up", None), ("d", "CC-BY-SA-4.0", "f" * 64), ("d", "CC0-1.0", "f" * 64)], "source string, licence string, revision string")
+    terms = governance.licences(spark)
+    verdicts = {(r["source"], r["licence"]): r["verdict"] for r in governance.judged(sources, terms).collect()}
+    assert verdicts["a", "CC-BY-4.0"] == "ok" and verdicts["b", "CC-BY-NC-4.0"] == "no_commercial_use" and verdicts["c", "made up"] == "unknown_licence"
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "z"), (4, None), (5, "d")], "doc_id bigint, source string")
+    assert sorted(r["doc_id"] for r in governance.eligible(docs, sources, terms).collect()) == [1, 5]
+    assert sorted((r["source"], r["share_alike"]) for r in governance.attribution(sources, terms).collect()) == [("a", False), ("d", True)]
+    assert sorted((r["source"], r["problem"]) for r in governance.problems(sources).collect()) == [("b", "revision"), ("c", "revision"), ("d", "duplicate")]
+    files = [("a", f"p{i}", i, "0" * 64) for i in range(9)]
+    one = lambda rows: governance.identity(spark.createDataFrame(rows, "source string, path string, size bigint, sha256 string")).first()
+    assert one(files) == one(files[::-1] + files[:2]) and one(files)["fingerprint"] != one(files[:-1] + [("a", "p8", 9, "0" * 64)])["fingerprint"]
+
+
+def test_coverage_of_exclusion_lists(spark, tmp_path):
+    ids = spark.createDataFrame([("x",)], "doc_id string")
+    exclusions.write(ids, str(tmp_path / "one"), "dedup", {"news": "p1"})
+    got = {r["name"]: (r["verdict"], r["stages"]) for r in exclusions.coverage(spark, [str(tmp_path / "one"), str(tmp_path / "none")], ["news", "forum"]).collect()}
+    assert got == {"news": ("covered", ["dedup"]), "forum": ("uncovered", []), str(tmp_path / "none"): ("headerless", [])}
+
+
+def test_reports_on_words_and_curves(spark):
+    rows = spark.createDataFrame([("a b", "x y"), ("a", "x"), ("a c", "x"), ("b", "y"), ("c", "z")], "l string, r string")
+    found = {(r["u"], r["s"]): round(r["lift"], 6) for r in analytics.specific_pairs(rows, "l", "r", 1, 0.9).collect()}
+    assert found == {("a", "x"): round(5 / 3, 6), ("b", "y"): 2.5}
+    same = analytics.substitutions(spark.createDataFrame([("kitab", "kitaab"), ("abc", "xyz")], "u string, s string"), F.col("u"), F.col("s")).collect()
+    assert [round(r["similarity"], 3) for r in same] == [0.833, 0.0]
+    curve = spark.createDataFrame([(1, 3.0, 1.0), (2, 2.0, 1.0), (3, 1.0, 2.0)], "step int, a double, b double")
+    assert [(r["x"], r["from_x"], r["to_x"]) for r in analytics.crossing(curve, "step", "a", "b").collect()] == [(2.5, 2, 3)]
+    made = spark.createDataFrame([(1, "one two three four")], "idx bigint, t string")
+    corpus, control = docs_of(spark, ["zero one two three four five"]), docs_of(spark, ["one two"])
+    assert [(r["n"], r["overlap"], r["control"]) for r in analytics.overlap_against_control(made, corpus, control, "idx", "t", (2, 3)).collect()] == [(2, 1.0, 1 / 3), (3, 1.0, 0.0)]
+
+
 # the registry
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +51,30 @@ def report(docs: DataFrame, excluded: DataFrame, id_col: str = "doc_id") -> Data
     listed = excluded.select("doc_id").distinct()
     met = docs.select(F.col(id_col).cast("string").alias("doc_id")).distinct().withColumn("hit", F.lit(1))
     return listed.join(met, "doc_id", "left").agg(F.count("*").alias("listed"), F.count("hit").alias("hits"), (F.count("*") - F.count("hit")).alias("unapplied"))
+
+
+def coverage(spark: SparkSession, paths: list[str], sources: list[str]) -> DataFrame:
+    """(name, verdict, stages): each source that is read, covered by the lists or not, and each list without a header; a row for each."""
+    rows, stages_of = [], {}
+    for path in paths:
+        try:
+            head = spark.read.text(f"{path}/header").first()
+        except AnalysisException:
+            head = None
+        if head is None or not head[0].startswith(HEADER):
+            rows.append((path, "headerless", []))
+            continue
+        info = json.loads(head[0][len(HEADER) :])
+        for source in info["plans"]:
+            stages_of.setdefault(source, set()).add(info["stage"])
+    rows += [(s, "covered" if s in stages_of else "uncovered", sorted(stages_of.get(s, ()))) for s in sources]
+    return spark.createDataFrame(rows, "name string, verdict string, stages array<string>")
+
+
+def union_of_stages(lists: dict[str, DataFrame]) -> DataFrame:
+    """(doc_id, stages): the ids of several stages' lists, each once, with the stages that removed it."""
+    out = None
+    for stage, ids in lists.items():
+        part = ids.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(stage).alias("stage"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("doc_id").agg(F.array_sort(F.collect_set("stage")).alias("stages"))

@@ -387,3 +387,15 @@ _RATIOS = {"urdu": 3.5, "roman_urdu": 4.2, "english": 4.5}
 ORACLES["split_token_bands"] = _budgeted(_ARMS, _TARGETS, _RATIOS, 8 * 128)
 ORACLES["split_token_bands_resolved"] = _budgeted(_ARMS, _TARGETS, {"urdu": 3.739, "roman_urdu": 4.066, "english": 3.9}, 8 * 128, 0.1)
 ORACLES["split_funding"] = "with a as (select * from (values " + ", ".join(f"('{a}', '{p}', {_RATIOS[p]}::double, {(n + 2 * 8 * 128) * t / 100!r}::double)" for a, n in _ARMS.items() for p, t in _TARGETS.items()) + ") v(arm, population, ratio, required)), s as (select lang population, sum(coalesce(n_chars, 0)) chars from documents where lang is not null group by 1) select arm, population, round(coalesce(chars, 0) / ratio, 6) as supply_tokens, round(required, 6) as required_tokens, coalesce(chars, 0) / ratio >= required as funded from a left join s using (population)"
+ORACLES["domain_top_share"] = r"with h as (select regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1), '^www\.', '') host, length(coalesce(text, '')) c from documents where url is not null), g as (select host, sum(c) s, row_number() over (order by sum(c) desc, host) r from h where host <> '' group by 1), t as (select count(*) n, sum(s) a from g) select n as hosts, count(*) as top_hosts, sum(s)::bigint as top_size, a::bigint as size, round(sum(s) / a::double, 9) as share from g, t where r <= greatest(1, floor(n * 0.01)) group by n, a"
+ORACLES["specific_pairs"] = f"""with r as (select distinct idx, ar_text, diff_text from demo_pairs), w as (select row_number() over () i, list_distinct({_TOK.format(t='lower(ar_text)')}) us, list_distinct({_TOK.format(t='lower(diff_text)')}) ss from r), u as (select i, unnest(us) u from w), s as (select i, unnest(ss) s from w),
+nu as (select u, count(*) n from u group by 1 having count(*) >= 5), ns as (select s, count(*) n from s group by 1), b as (select u, s, count(*) n from u join s using (i) group by 1, 2 having count(*) >= 5), p as (select b.u, b.s, b.n, b.n / nu.n::double p, b.n / ns.n::double q, (b.n / nu.n::double) * (select count(*) from r) / ns.n::double lift from b join nu using (u) join ns using (s))
+select u, s, n, round(p, 9) as p, round(q, 9) as q, round(lift, 9) as lift from p where p >= 0.3 and q >= 0.3"""
+ORACLES["commit_order"] = f"""with t as (select idx, min(diff_text) t from demo_pairs where diff_text is not null group by 1), s as (select idx, i, (length(w[i]) * 7 + i - 1) % 5 c from (select idx, w, unnest(range(1, len(w) + 1)) i from (select idx, {_TOK.format(t='t')} w from t))), d as (select idx, c - lag(c) over (partition by idx order by i) d from s)
+select t.idx, round(coalesce(count(*) filter (d > 0) / nullif(count(d), 0)::double, 0.0), 9) as in_order, round(coalesce(count(*) filter (d = 0) / nullif(count(d), 0)::double, 0.0), 9) as same_pass from t left join d using (idx) group by 1"""
+ORACLES["infill_scores"] = f"""with r as (select row_number() over () i, ar_forwards f, {_TOK.format(t='prefix')} g, {_TOK.format(t='ar_text')} m from demo_pairs where ar_forwards is not null), c as (select i, f, g, m[1:len(g)] m from r), gc as (select i, w, count(*) n from (select i, unnest(g) w from c) group by 1, 2), mc as (select i, w, count(*) n from (select i, unnest(m) w from c) group by 1, 2), o as (select i, sum(least(gc.n, mc.n)) same from gc join mc using (i, w) group by 1)
+select f as ar_forwards, count(*) as items, sum((g = m)::int)::bigint as exact, round(avg(case when len(g) + len(m) > 0 then 2 * coalesce(same, 0) / (len(g) + len(m))::double else 1.0 end), 9) as f1 from c left join o using (i) group by 1"""
+ORACLES["task_counts"] = "with s as (select * from (values (1, 'lm', 0.65::double, 0.70::double), (2, 'infill', 0.10, 0.05), (3, 'pair', 0.10, 0.10), (4, 'restore', 0.08, 0.08), (5, 'switch', 0.07, 0.07)) v(i, task, share, reached)), n as (select count(*) n from documents), c as (select *, coalesce(sum(share) over (order by i rows between unbounded preceding and 1 preceding), 0) lo, sum(share) over (order by i) hi from s) select task, (floor(n * hi + 0.5 + 1e-9) - floor(n * lo + 0.5 + 1e-9))::bigint as documents, round(share * share / reached / (select sum(share * share / reached) from s), 9) as share from c, n"
+ORACLES["exclusions_stages"] = f"with {DEDUP}, e as (select doc_id, 'dedup' s from (select doc_id, row_number() over (partition by h order by k) r from k) where r > 1 union select doc_id, 'quality' from ({ORACLES['quality_verdicts']}) where list_contains(string_split(reasons, ','), 'too_short')) select doc_id::varchar as doc_id, string_agg(s, ',' order by s) as stages from e group by 1"
+ORACLES["pack_indexed"] = f"""with {_PACK}, tl as (select stream, (sum(n) // 512)::bigint whole from pl where contains(stream, '/train/') group by 1 having sum(n) >= 512), b as (select stream, whole, coalesce(sum(whole) over (order by stream rows between unbounded preceding and 1 preceding), 0) base from tl) select stream, seq::bigint as seq, (base + seq)::bigint as index from (select *, unnest(range(whole)) seq from b)"""
+ORACLES["pack_whole"] = f"with {_PACK}, w as (select stream, n - n % 128 n from pl where n >= 128) select stream, count(*) as documents, sum(n)::bigint as tokens, (sum(n) // 128)::bigint as sequences, 0::bigint as dropped_tokens from w group by 1"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from waraq import oracles
 from waraq.config import Budgets, Damage, EvalSet, NearDup, Packing, Quality, Splits
-from waraq.functions.text import h60, shingles, text_or_empty
+from waraq.functions.text import h60, shingles, text_or_empty, tokens
 from waraq.operators import analytics, corruption, decontaminate, dedup, encoding, exclusions, generation, neardup, normalize, packing, pii, quality, sampling, scripts, splits, tokenizers
 from waraq.plans import pipeline
 from waraq.session import cut, spread, table
@@ -470,6 +470,63 @@ def fetch_plan(spark, d):
     return analytics.fetch_plan(files, 600).select("path", "upto")
 
 
+@query
+def domain_top_share(spark, d):
+    docs = _docs(spark, d)
+    return analytics.top_share(docs, readers.host(F.col("url")), F.length(text_or_empty(F.col("text")))).withColumn("share", F.round("share", 9))
+
+
+@query
+def specific_pairs(spark, d):
+    rows = table(spark, d, "demo_pairs").select("idx", "ar_text", "diff_text").distinct()
+    return analytics.specific_pairs(rows, "ar_text", "diff_text", 5, 0.3).select("u", "s", "n", *(F.round(c, 9).alias(c) for c in ("p", "q", "lift")))
+
+
+@query
+def commit_order(spark, d):
+    """Steps of a hash order stand for those of a decoder: the n-th word of a text is committed in step n * 7 mod 5."""
+    words = table(spark, d, "demo_pairs").filter("diff_text is not null").groupBy("idx").agg(F.min("diff_text").alias("t"))
+    steps = F.transform(tokens(F.col("t")), lambda x, i: (F.length(x) * 7 + i) % 5)
+    return generation.commit_order(words.select("idx", steps.cast("array<int>").alias("steps")), "idx", "steps").select("idx", F.round("in_order", 9).alias("in_order"), F.round("same_pass", 9).alias("same_pass"))
+
+
+@query
+def infill_scores(spark, d):
+    """Each prefix against the words that a text made of it begins with, by the number of forward passes."""
+    rows = table(spark, d, "demo_pairs").select("ar_forwards", tokens(F.col("prefix")).alias("gold"), tokens(F.col("ar_text")).alias("made")).filter("ar_forwards is not null")
+    return generation.infill_scores(rows, "gold", "made", "ar_forwards").withColumn("f1", F.round("f1", 9))
+
+
+@query
+def task_counts(spark, d):
+    """Whole numbers of tasks by systematic apportionment of all documents, and the shares to ask for after losses."""
+    shares = {"lm": 0.65, "infill": 0.10, "pair": 0.10, "restore": 0.08, "switch": 0.07}
+    n = _docs(spark, d).count()
+    again = sampling.rebalance(shares, {"lm": 0.70, "infill": 0.05, "pair": 0.10, "restore": 0.08, "switch": 0.07})
+    rows = [(t, k, round(again[t], 9)) for t, k in sampling.apportion(n, shares).items()]
+    return spark.createDataFrame(rows, "task string, documents bigint, share double")
+
+
+@query
+def exclusions_stages(spark, d):
+    exact = dedup.verdicts(_docs(spark, d)).filter(~F.col("kept")).select("doc_id")
+    short = quality.score(_measured(spark, d)).filter(F.array_contains("reasons", "too_short")).select("doc_id")
+    return exclusions.union_of_stages({"dedup": exact, "quality": short}).select("doc_id", F.array_join("stages", ",").alias("stages"))
+
+
+@query
+def pack_indexed(spark, d):
+    """The global places of the sequences of the training streams."""
+    at = packing.sequences(packing.placed(packing.streams(_assigned(spark, d)))).select("stream", "seq")
+    return packing.indexed(at.filter(F.col("stream").contains("/train/")))
+
+
+@query
+def pack_whole(spark, d):
+    """Streams in which each document begins a sequence of its own."""
+    return packing.stream_report(packing.placed(packing.streams(_assigned(spark, d)), Packing(sequence_length=128), across=False), Packing(sequence_length=128))
+
+
 @query
 def tokenizer_sample(spark, d):
     return analytics.budget_prefix(_population(spark, d), "population", "chars", 0.1, F.md5(F.concat(F.lit("tokenizer-1|"), F.col("doc_id").cast("string")))).select("doc_id", "population")
