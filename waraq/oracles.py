@@ -77,6 +77,19 @@ len(list_filter(regexp_extract_all(t, '[\x{{10000}}-\x{{10FFFF}}]'), lambda x: n
 ORACLES["script_counts"] = f"with {_SCRIPTS} select doc_id, arabic::int as arabic, latin::int as latin, devanagari::int as devanagari, (n - arabic - latin - devanagari + beyond)::int as other, (n + beyond)::int as letters from s"
 
 
+def _roman() -> str:
+    """rl(ru, en): words of Roman Urdu by the labelled samples without English ones, and English ones without these."""
+    from waraq.operators import scripts as S
+
+    english = "[" + ", ".join(f"'{w}'" for w in sorted(set(S.ENGLISH_WORDS.split()))) + "]"
+    return f"""rs as (select label, unnest(regexp_extract_all(lower(text), '[a-z][a-z'']*')) w from label_samples where text is not null and label in ('roman_urdu', 'english', 'other')),
+rn as (select w, count(*) filter (label = 'roman_urdu') a, count(*) filter (label = 'english') b, count(*) filter (label = 'other') c from rs group by 1), rt as (select sum(a) ta, sum(b) tb, sum(c) tc from rn),
+rw as (select w from rn, rt where a >= 2 and a * tb >= 8 * b * ta and a * tc >= 8 * c * ta), rl as (select list_filter(ws, lambda w: not list_contains({english}, w)) ru, list_filter({english}, lambda w: not list_contains(ws, w)) en from (select list(w) ws from rw))"""
+
+
+_SHARE = "coalesce(len(list_filter(low, lambda w: list_contains({0}, w))) / nullif(len(low), 0)::double, 0.0)"
+
+
 def _language_scores() -> str:
     from waraq.operators import scripts as S
 
@@ -84,12 +97,12 @@ def _language_scores() -> str:
     p = S.URDU_PROFILE
     share = lambda ws, words: f"coalesce(len(list_filter({words}, lambda w: list_contains({listed(ws)}, w))) / nullif(len({words}), 0)::double, 0.0)"
     count = lambda cs: f"(length(t) - length(translate(t, '{cs}', '')))"
-    return rf"""with {_SCRIPTS}, w as (select doc_id, t, n + beyond as letters, regexp_extract_all(t, '[\x{{600}}-\x{{6FF}}\x{{750}}-\x{{77F}}\x{{8A0}}-\x{{8FF}}]+') aw, regexp_extract_all(t, '[A-Za-z][A-Za-z'']*') lw, list_transform(regexp_extract_all(t, '[A-Za-z][A-Za-z'']*'), lambda x: lower(x)) low from s)
+    return rf"""with {_roman()}, {_SCRIPTS}, w as (select doc_id, t, n + beyond as letters, regexp_extract_all(t, '[\x{{600}}-\x{{6FF}}\x{{750}}-\x{{77F}}\x{{8A0}}-\x{{8FF}}]+') aw, regexp_extract_all(t, '[A-Za-z][A-Za-z'']*') lw, list_transform(regexp_extract_all(t, '[A-Za-z][A-Za-z'']*'), lambda x: lower(x)) low from s)
 select doc_id, round(case when len(aw) = 0 then 0.0 else {share(p.urdu, 'aw')} + 4.0 * coalesce({count(S.URDU_LETTERS)} / nullif(letters, 0)::double, 0.0) end, 9) as urdu,
 round({share(p.persian, 'aw')}, 9) as persian,
 round(case when len(aw) = 0 then 0.0 else {share(p.arabic, 'aw')} + 2.0 * coalesce({count(S.ARABIC_LETTERS)} / nullif(letters, 0)::double, 0.0) end, 9) as arabic,
-round({share(p.only('roman_urdu', 'english'), 'low')}, 9) as roman_urdu, round({share(p.only('english', 'roman_urdu'), 'low')}, 9) as english,
-round(coalesce(len(list_filter(lw, lambda x: length(x) > 1 and x = lower(x))) / nullif(len(lw), 0)::double, 0.0), 9) as lowercase from w"""
+round({_SHARE.format('ru')}, 9) as roman_urdu, round({_SHARE.format('en')}, 9) as english,
+round(coalesce(len(list_filter(lw, lambda x: length(x) > 1 and x = lower(x))) / nullif(len(lw), 0)::double, 0.0), 9) as lowercase from w, rl"""
 
 
 ORACLES["language_scores"] = _language_scores()
@@ -290,7 +303,7 @@ def _spans(source: str, name: str) -> str:
 regexp_extract_all(t, '[\x{{600}}-\x{{6FF}}\x{{750}}-\x{{77F}}\x{{8A0}}-\x{{8FF}}]+') aw, regexp_extract_all(t, '[A-Za-z][A-Za-z'']*') lw, list_transform(regexp_extract_all(t, '[A-Za-z][A-Za-z'']*'), lambda x: lower(x)) low from {n}a),
 {n}c as (select id, letters, ar / letters::double ar, la / letters::double la, de / letters::double de, (letters - ar - la - de) / letters::double ot,
 case when len(aw) = 0 then 0.0 else {share(p.urdu, 'aw')} + 4.0 * {count(S.URDU_LETTERS)} / letters::double end u, {share(p.persian, 'aw')} pe, case when len(aw) = 0 then 0.0 else {share(p.arabic, 'aw')} + 2.0 * {count(S.ARABIC_LETTERS)} / letters::double end ab,
-{share(p.only('roman_urdu', 'english'), 'low')} ro, {share(p.only('english', 'roman_urdu'), 'low')} en, coalesce(len(list_filter(lw, lambda x: length(x) > 1 and x = lower(x))) / nullif(len(lw), 0)::double, 0.0) lc from {n}b where letters > 0),
+{_SHARE.format('ru')} ro, {_SHARE.format('en')} en, coalesce(len(list_filter(lw, lambda x: length(x) > 1 and x = lower(x))) / nullif(len(lw), 0)::double, 0.0) lc from {n}b, rl where letters > 0),
 {n}d as (select *, 1 - greatest(ar, la, de, ot) minor, list_sort([u, pe, ab]) az, list_sort([ro, en]) lz from {n}c),
 {n}e as (select *, case when az[3] < 0.08 or az[3] - az[2] < 0.02 then 'urdu' when u = az[3] then 'urdu' when pe = az[3] then 'persian' else 'arabic' end al, case when lz[2] < 0.08 or lz[2] - lz[1] < 0.02 then 'other' when ro = lz[2] then 'roman_urdu' else 'english' end ll from {n}d),
 {n}f as (select *, case when ar = 1 - minor then al when la = 1 - minor then ll when de = 1 - minor then 'hindi' else 'other' end single from (select * replace (1 - greatest(ar, la, de, ot) as minor), greatest(ar, la, de, ot) top from {n}e)),
@@ -298,7 +311,7 @@ case when len(aw) = 0 then 0.0 else {share(p.urdu, 'aw')} + 4.0 * {count(S.URDU_
 
 
 def _labels() -> str:
-    return rf"""src as (select doc_id id, coalesce(text, '') t from documents), {_spans('src', 'dd0')},
+    return rf"""{_roman()}, src as (select doc_id id, coalesce(text, '') t from documents), {_spans('src', 'dd0')},
 sen as (select id, unnest(regexp_split_to_array(t, '[۔؟?!.]+[\s\x{{200F}}\x{{200E}}]*|\n+')) t from src join dd0 using (id) where dd0.letters >= 20 and dd0.minor >= 0.1), {_spans('sen', 'ss0')},
 by0 as (select id, label, sum(letters) n from ss0 where letters >= 8 group by 1, 2), sh0 as (select id, label, n, n / sum(n) over (partition by id) s from by0),
 rf0 as (select id, coalesce(max(s) filter (label = 'code_switched'), 0) sw, coalesce(max(s) filter (label = 'urdu'), 0) su, greatest(coalesce(max(s) filter (label = 'english'), 0), coalesce(max(s) filter (label = 'roman_urdu'), 0)) pa, arg_min(label, (-n, label)) best from sh0 group by 1),

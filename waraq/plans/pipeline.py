@@ -15,7 +15,7 @@ from waraq.operators import decontaminate, dedup, encoding, neardup, normalize,
 from waraq.session import cut
 
 
-def stages(docs: DataFrame, quality_config: Quality = Quality()) -> DataFrame:
+def stages(docs: DataFrame, quality_config: Quality = Quality(), profile: scripts.Profile = scripts.URDU_PROFILE) -> DataFrame:
     """(doc_id, source, text, label, reasons, kept): everything that looks at one document at a time.
 
     Language is judged on repaired text, quality on normalized text with the scripts found before; a document in another
@@ -23,10 +23,10 @@ def stages(docs: DataFrame, quality_config: Quality = Quality()) -> DataFrame:
     """
     valid = encoding.validate(docs.select("doc_id", "source", "text"), Encoding())
     ok = valid.filter(F.col("enc.verdict").isin("ok", "repaired")).select("doc_id", "source", F.col("enc.text").alias("text"))
-    labelled = scripts.classify(ok)
+    labelled = scripts.classify(ok, profile)
     share = {s: rate(F.col("scripts")[s], F.col("scripts.letters")) for s in scripts.SCRIPTS}
     floors, shares = None, None
-    for name, (expected, floor) in scripts.URDU_PROFILE.expected.items():
+    for name, (expected, floor) in profile.expected.items():
         total = sum((share[s] for s in expected[1:]), share[expected[0]])
         floors = F.when(F.col("label") == name, floor) if floors is None else floors.when(F.col("label") == name, floor)
         shares = F.when(F.col("label") == name, total) if shares is None else shares.when(F.col("label") == name, total)
@@ -39,9 +39,9 @@ def stages(docs: DataFrame, quality_config: Quality = Quality()) -> DataFrame:
     return pii.redacted(judged.withColumn("text", F.when(F.col("kept"), F.col("text"))))
 
 
-def curate(docs: DataFrame, items: DataFrame, quality_config: Quality = Quality(), spec: EvalSet = EvalSet("default"), near_config: NearDup = NearDup()) -> DataFrame:
+def curate(docs: DataFrame, items: DataFrame, quality_config: Quality = Quality(), spec: EvalSet = EvalSet("default"), near_config: NearDup = NearDup(), profile: scripts.Profile = scripts.URDU_PROFILE) -> DataFrame:
     """(doc_id, source, label, stage, removed_lines): where each document leaves the plan, or 'kept', and the lines it lost to other documents."""
-    passed = cut(stages(docs, quality_config))
+    passed = cut(stages(docs, quality_config, profile))
     good = passed.filter("kept").select("doc_id", "text")
     unique = cut(dedup.verdicts(good).select("doc_id", F.col("kept").alias("unique")))
     stripped = cut(dedup.strip_lines(neardup.without(good, unique.filter(~F.col("unique")))))

@@ -134,20 +134,25 @@ def script_counts(spark, d):
     return _docs(spark, d).select("doc_id", scripts.script_counts(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
+def _profile(spark: SparkSession, d: str) -> scripts.Profile:
+    """Roman Urdu words by the labelled samples."""
+    return scripts.Profile(roman_urdu=scripts.learned_words(table(spark, d, "label_samples")))
+
+
 @query
 def language_scores(spark, d):
-    found = scripts.with_evidence(_docs(spark, d).select("doc_id", "text"))
+    found = scripts.with_evidence(_docs(spark, d).select("doc_id", "text"), _profile(spark, d))
     return found.select("doc_id", *(F.round(f"scores.{c}", 9).alias(c) for c in ("urdu", "persian", "arabic", "roman_urdu", "english", "lowercase")))
 
 
 @query
 def language_labels(spark, d):
-    return scripts.classify(_docs(spark, d).select("doc_id", "text")).select("doc_id", "label")
+    return scripts.classify(_docs(spark, d).select("doc_id", "text"), _profile(spark, d)).select("doc_id", "label")
 
 
 @query
 def language_confusion(spark, d):
-    return analytics.confusion(scripts.classify(_docs(spark, d).select("doc_id", "text", "lang")), "lang", "label")
+    return analytics.confusion(scripts.classify(_docs(spark, d).select("doc_id", "text", "lang"), _profile(spark, d)), "lang", "label")
 
 
 @query
@@ -534,13 +539,13 @@ def tokenizer_sample(spark, d):
 
 @query
 def curation_pipeline(spark, d):
-    return pipeline.curate(_docs(spark, d), _items(spark, d))
+    return pipeline.curate(_docs(spark, d), _items(spark, d), profile=_profile(spark, d))
 
 
 @query
 def curation_stages(spark, d):
     """How many documents leave the plan where, by the production settings."""
-    return pipeline.curate(_docs(spark, d), _items(spark, d)).groupBy("stage").agg(F.count("*").alias("documents"))
+    return pipeline.curate(_docs(spark, d), _items(spark, d), profile=_profile(spark, d)).groupBy("stage").agg(F.count("*").alias("documents"))
 
 
 @query
@@ -595,7 +600,7 @@ def dedup_variants(spark, d):
 
 @query
 def language_log(spark, d):
-    return scripts.log(scripts.kept(scripts.classify(_docs(spark, d).select("doc_id", "text"))))
+    return scripts.log(scripts.kept(scripts.classify(_docs(spark, d).select("doc_id", "text"), _profile(spark, d))))
 
 
 @query
