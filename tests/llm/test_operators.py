@@ -368,14 +368,17 @@ def test_languages_held_out(spark, sf):
     assert all(docs[r["doc_id"]] == r["label"] for r in rows)
 
 
-def test_corpus_words_of_every_language_count(spark, sf, monkeypatch):
-    monkeypatch.setattr(languages, "MAX_WORDS", 3, raising=False)
-    first = languages._first_model(table(spark, sf, "label_samples"))
+def test_corpus_words_of_every_language_count(spark, sf):
+    samples = languages._sample_words(table(spark, sf, "label_samples"))
+    first = languages.Model(*languages._first_model(samples))
     rows = table(spark, sf, "label_samples").filter("label in ('urdu', 'english')").select(F.concat("text", F.when(F.col("label") == "english", F.lit(" thingamajig")).otherwise(F.lit(" کتابچہ"))).alias("text"), "label").cache()
     once = rows.filter("label = 'english'").limit(1).select(F.concat("text", F.lit(" doohickeyish")).alias("text"), "label")
-    model = languages._second_model(first, rows.unionByName(once))
-    urdu, english = (model.words[languages.LANGUAGES.index(x)] for x in ("urdu", "english"))
-    assert english["thingamajig"] > 1 and english["doohickeyish"] == 1 and any(w not in first.words[0] for w in urdu)
+    model = languages.Model(*languages._second_model(samples, rows.unionByName(once)))
+    assert model.times("english", "thingamajig") > 1 and model.times("english", "doohickeyish") == 1 and model.times("urdu", "thingamajig") == 0
+    assert model.times("urdu", "کتابچہ") > first.times("urdu", "کتابچہ") and model.totals[0] > first.totals[0]
+    # tables added up by Spark are those added up in one place
+    alone = languages.Model(*languages._tables(spark.createDataFrame([(a, w, n) for (a, w), n in samples.items()], "language int, word string, n bigint").repartition(5)))
+    assert np.array_equal(alone.grams, first.grams) and np.array_equal(alone.mass, first.mass) and np.array_equal(alone.known, first.known)
 
 
 def test_latest_population_wins(spark):

@@ -12,7 +12,9 @@ likelihoods of the languages below the best one in steps, of which there are bou
 however large the document, and EM and the choice of the set run over the counted signatures.
 
 The models are first fitted on the labelled samples and then once more on counts of all segments whose
-recorded label agrees with a sure first result, which adds the vocabulary of the corpus.
+recorded label agrees with a sure first result, which adds the vocabulary of the corpus. Counts of words and
+of n-grams are held in hashed tables of a fixed size, so what is sent to the workers is bounded however many words
+the corpus has, and every language has slots of its own.
 
 Defined cases: segments without a document id, without text or with fewer than min_letters letters have no language and do
 not count for their document; a document without any other segment has no row; ties go to the
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +51,10 @@ BESIDE, BESIDE_MOST = 0.5, 4.0
 #: Labelled samples that the first models are fitted on, at most.
 MAX_LABELLED = 50_000
 MEMO_WORDS = 300_000
+#: Slots of each language for words, n-grams and their contexts, whatever the corpus; counts of n-grams are whole parts of 1 / WEIGHT.
+WORD_SLOTS, GRAM_SLOTS, CONTEXT_SLOTS, WEIGHT = 1 << 20, 1 << 20, 1 << 19, 1000
+#: Characters that an unseen one is one of.
+ALPHABET = 200
 _CF = regex.compile(r"\p{Cf}+")
 #: Size of the steps in which a signature counts, the steps at most, and the bits of each language.
 STEP, DEEPEST, BITS = 0.25, 255, 8
@@ -86,61 +93,91 @@ def words(text: str) -> list[str]:
     return [_CF.sub("", w).lower() for w in text.translate(_SIGNS).split() if _n_letters(w)]
 
 
+def _slot(text: str, slots: int) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) % slots
+
+
+def _contexts(word: str) -> list[tuple[str, str]]:
+    """(context, character) of each n-gram of a word up to ORDER, by character and from the empty context up."""
+    marked = "^" + word + "$"
+    return [(marked[i - k : i], marked[i]) for i in range(1, len(marked)) for k in range(min(i, ORDER - 1) + 1)]
+
+
+class Counts:
+    """Counts of words and n-grams by language and slot, as they are added up."""
+
+    def __init__(self) -> None:
+        self.words: Counter = Counter()
+        self.grams: Counter = Counter()
+
+    def add(self, language: int, word: str, n: int) -> None:
+        self.words[language, _slot(word, WORD_SLOTS)] += n
+        weight = round(WEIGHT * (1 + math.log(n)))  # a frequent word shouldn't drown the others' spelling
+        for context, c in _contexts(word):
+            self.grams[language, _slot(f"{context}\x00{c}", GRAM_SLOTS), _slot(context, CONTEXT_SLOTS)] += weight
+
+    def rows(self) -> list[tuple[int, int, int, int]]:
+        """(language, slot, slot of the context or -1 for a word, count)."""
+        return [(a, w, -1, n) for (a, w), n in self.words.items()] + [(a, g, c, n) for (a, g, c), n in self.grams.items()]
+
+
 class Model:
     """Log likelihood of words for each language."""
 
-    def __init__(self, counts: dict[str, dict[str, int]]):
-        """counts: for each language the words seen, with how often."""
-        alphabet = len({c for ws in counts.values() for w in ws for c in w}) + 1
-        self.alphabet = max(alphabet, 200)
-        self.words: list[dict[str, int]] = []
-        self.totals: list[int] = []
-        self.grams: list[dict[str, dict[str, float]]] = []
-        for name in LANGUAGES:
-            ws = counts.get(name, {})
-            self.words.append(ws)
-            self.totals.append(sum(ws.values()))
-            table: dict[str, Counter] = {}
-            for w, n in ws.items():
-                weight = 1 + math.log(n)  # a frequent word shouldn't drown the others' spelling
-                marked = "^" + w + "$"
-                for i in range(1, len(marked)):
-                    for k in range(min(i, ORDER - 1) + 1):
-                        table.setdefault(marked[i - k : i], Counter())[marked[i]] += weight
-            self.grams.append({ctx: {"": sum(c.values()), **c, "#": len(c)} for ctx, c in table.items()})
-        shared = Counter()
-        for ws, total in zip(self.words, self.totals):
-            for w, n in ws.items():
-                shared[w] += n / total / len(LANGUAGES)
-        self.shared = shared
+    def __init__(self, language: np.ndarray, slot: np.ndarray, context: np.ndarray, count: np.ndarray):
+        """The columns of Counts.rows(), each (language, slot) of a word and of an n-gram once."""
+        k = len(LANGUAGES)
+        word = context < 0
+        self.known = np.zeros((k, WORD_SLOTS), np.float32)
+        self.known[language[word], slot[word]] = count[word]
+        self.totals = np.bincount(language[word], count[word], k)
+        self.grams = np.zeros((k, GRAM_SLOTS), np.float32)
+        self.grams[language[~word], slot[~word]] = count[~word] / WEIGHT
+        at = language[~word].astype(np.int64) * CONTEXT_SLOTS + context[~word]
+        self.mass = np.bincount(at, count[~word] / WEIGHT, k * CONTEXT_SLOTS).astype(np.float32).reshape(k, -1)
+        self.kinds = np.bincount(at, minlength=k * CONTEXT_SLOTS).astype(np.float32).reshape(k, -1)
         self.memo: dict[str, int] = {}
         self.empty: set[str] = set()
         self.scores = np.empty((1024, len(LANGUAGES)))
         self.letters = np.empty(1024)
 
-    def _spelled(self, table: dict, marked: str) -> float:
-        out = 0.0
-        for i in range(1, len(marked)):
-            p, ch = 1.0 / self.alphabet, marked[i]
-            for k in range(min(i, ORDER - 1) + 1):  # Witten-Bell smoothing, from the empty context up
-                seen = table.get(marked[i - k : i])
-                if seen is None:
-                    break
-                p = (seen.get(ch, 0.0) + seen["#"] * p) / (seen[""] + seen["#"])
-            out += math.log(p)
-        return out
+    def spelled(self, form: str) -> np.ndarray:
+        """Likelihood of the spelling in each language: Witten-Bell smoothing, from the empty context up."""
+        pairs = _contexts(form)
+        g = self.grams[:, [_slot(f"{x}\x00{c}", GRAM_SLOTS) for x, c in pairs]]
+        at = [_slot(x, CONTEXT_SLOTS) for x, _ in pairs]
+        mass, kinds = self.mass[:, at], self.kinds[:, at]
+        order = np.array([len(x) for x, _ in pairs])
+        where = np.cumsum(order == 0) - 1
+        p = np.full((len(LANGUAGES), int((order == 0).sum())), 1.0 / ALPHABET)
+        seen = np.ones_like(p, bool)
+        for k in range(ORDER):
+            now = np.flatnonzero(order == k)
+            i = where[now]
+            m, d = mass[:, now], kinds[:, now]
+            seen[:, i] &= m > 0
+            p[:, i] = np.where(seen[:, i], (g[:, now] + d * p[:, i]) / np.maximum(m + d, 1e-9), p[:, i])
+        return np.exp(np.maximum(np.log(p).sum(1), _FLOOR * 4)) * (self.totals > 0)
 
     def __call__(self, word: str) -> np.ndarray:
         """Log likelihoods of a word, as words() gives it."""
-        out = []
         # Arabic has its own keyboard; for the other languages its letters are another typing of theirs
-        for name, ws, total, table in zip(LANGUAGES, self.words, self.totals, self.grams):
-            form = word if name == "arabic" else word.translate(_KEYS)
-            spelled = math.exp(max(_FLOOR * 4, self._spelled(table, "^" + form + "$"))) if table else 0.0
-            known = ws.get(form, 0) / (total + 1)
-            # names go through all languages of a script, so a part of every model is what all have seen
-            out.append(math.log(0.4 * known + 0.4 * spelled + (SHARED * self.shared.get(form, 0.0) if _same_script(name, form) else 0.0) + 1e-300))
-        return np.maximum(np.array(out), max(out) + _FLOOR)
+        form = word.translate(_KEYS)
+        one, slot = self.spelled(form), _slot(form, WORD_SLOTS)
+        known = self.known[:, slot].astype(float)
+        # names go through all languages of a script, so a part of every model is what all have seen
+        shared = (known / np.maximum(self.totals, 1)).mean() * np.array([_same_script(name, form) for name in LANGUAGES])
+        if form != word:
+            arabic, slot = LANGUAGES.index("arabic"), _slot(word, WORD_SLOTS)
+            one[arabic] = self.spelled(word)[arabic]
+            known[arabic] = self.known[arabic, slot]
+            shared[arabic] = (self.known[:, slot] / np.maximum(self.totals, 1)).mean() * _same_script("arabic", word)
+        out = np.log(0.4 * known / (self.totals + 1) + 0.4 * one + SHARED * shared + 1e-300)
+        return np.maximum(out, out.max() + _FLOOR)
+
+    def times(self, language: str, word: str) -> float:
+        """How often a word has been seen, with those of its slot."""
+        return float(self.known[LANGUAGES.index(language), _slot(word, WORD_SLOTS)])
 
     def _add(self, raw: str) -> int:
         """The row of a word as it stands in a text; -1 for one without letters."""
@@ -315,20 +352,61 @@ def labels_of(taken: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(LABELS)[best], np.where(switched, np.minimum(1.0, urdu + english), shares.max(1))
 
 
-def _first_model(samples: DataFrame) -> Model:
-    counts: dict[str, Counter] = {name: Counter() for name in LANGUAGES}
+_ROWS = "language int, slot int, context int, n bigint"
+
+
+def _batch(counts: Counts) -> pa.RecordBatch:
+    rows = np.array(counts.rows(), np.int64).reshape(-1, 4)
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, i].astype(np.int32)) for i in range(3)] + [pa.array(rows[:, 3])], ["language", "slot", "context", "n"])
+
+
+def _tables(words: DataFrame) -> tuple[np.ndarray, ...]:
+    """The columns of a model from (language, word, n) with each word of a language once; at most a row for each slot comes back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts()
+        for b in batches:
+            for language, word, n in zip(*(b.column(i).to_pylist() for i in range(3))):
+                counts.add(language, word, n)
+            if len(counts.grams) > MEMO_WORDS:
+                yield _batch(counts)
+                counts = Counts()
+        yield _batch(counts)
+
+    rows = words.select("language", "word", "n").mapInArrow(run, _ROWS)
+    sums = rows.groupBy("language", "slot", (F.col("context") < 0).alias("whole")).agg(F.min("context").alias("context"), F.sum("n").alias("n")).toArrow()
+    return tuple(sums.column(c).to_numpy() for c in ("language", "slot", "context", "n"))
+
+
+def _sample_words(samples: DataFrame) -> Counter:
+    """(language, word) of the labelled samples."""
+    counts: Counter = Counter()
     wanted = samples.filter(F.col("label").isin(*LANGUAGES) & F.col("text").isNotNull()).select("label", "text").orderBy(F.xxhash64("text"), "text").limit(MAX_LABELLED)
     for r in wanted.collect():
-        counts[r["label"]].update(w if r["label"] == "arabic" else w.translate(_KEYS) for w in words(r["text"]))
-    return Model(counts)
+        k = LANGUAGES.index(r["label"])
+        counts.update((k, w if r["label"] == "arabic" else w.translate(_KEYS)) for w in words(r["text"]))
+    return counts
+
+
+def _first_model(samples: Counter) -> tuple[np.ndarray, ...]:
+    counts = Counts()
+    for (language, word), n in samples.items():
+        counts.add(language, word, n)
+    sums: dict[tuple[int, int, bool], list[int]] = {}
+    for language, slot, context, n in counts.rows():
+        held = sums.setdefault((language, slot, context < 0), [context, 0])
+        held[0], held[1] = min(held[0], context), held[1] + n
+    rows = np.array([(a, b, c, n) for (a, b, _), (c, n) in sums.items()], np.int64).reshape(-1, 4)
+    return tuple(rows[:, i] for i in range(4))
 
 
-def _second_model(first: Model, rows: DataFrame) -> Model:
+def _second_model(samples: Counter, rows: DataFrame) -> tuple[np.ndarray, ...]:
     """Adds the words of all segments of which the recorded label and a sure first result agree."""
-    shared, name_of = rows.sparkSession.sparkContext.broadcast([dict(w) for w in first.words]), new_name()
+    spark = rows.sparkSession
+    shared, name_of = spark.sparkContext.broadcast(_first_model(samples)), new_name()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = kept(name_of, lambda: Model(dict(zip(LANGUAGES, shared.value))))
+        model = kept(name_of, lambda: Model(*shared.value))
         for b in batches:
             found: Counter = Counter()
             texts, recorded = b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), object)
@@ -336,30 +414,26 @@ def _second_model(first: Model, rows: DataFrame) -> Model:
             label, sure = labels_of(mix.taken)
             agrees = (label == recorded) & (sure >= 0.95) & (mix.letters >= MIN_LETTERS)
             raw = list(model.memo)
-            for name in LANGUAGES:
+            for i, name in enumerate(LANGUAGES):
                 n = np.bincount(mix.rows[np.repeat(agrees & (label == name), mix.count)])
                 for k in np.flatnonzero(n).tolist():
                     w = _CF.sub("", raw[k]).lower()
-                    found[name, w if name == "arabic" else w.translate(_KEYS)] += int(n[k])
+                    found[i, w if name == "arabic" else w.translate(_KEYS)] += int(n[k])
             keys = list(found)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in keys], pa.string()), pa.array([x[1] for x in keys], pa.string()), pa.array([found[x] for x in keys], pa.int64())], ["language", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in keys], pa.int32()), pa.array([x[1] for x in keys], pa.string()), pa.array([found[x] for x in keys], pa.int64())], ["language", "word", "n"])
 
-    sums = rows.filter(F.col("label").isin(*LANGUAGES)).select("text", "label").mapInArrow(run, "language string, word string, n bigint").groupBy("language", "word").agg(F.sum("n").alias("n"))
-    found = sums.orderBy("language", "word").toArrow()
-    counts = {name: Counter(w) for name, w in zip(LANGUAGES, first.words)}
-    for name, w, n in zip(*(found.column(c).to_pylist() for c in ("language", "word", "n"))):
-        counts[name][w] += n
-    return Model(counts)
+    corpus = rows.filter(F.col("label").isin(*LANGUAGES)).select("text", "label").mapInArrow(run, "language int, word string, n bigint")
+    given = spark.createDataFrame([(a, w, n) for (a, w), n in samples.items()], "language int, word string, n bigint")
+    return _tables(corpus.unionByName(given).groupBy("language", "word").agg(F.sum("n").alias("n")))
 
 
 def segment_languages(segments: DataFrame, samples: DataFrame) -> DataFrame:
     """(doc_id, seg_no, recorded, label, confidence, mix) of each segment with enough letters; mix: letters by language."""
     rows = spread(segments.select("doc_id", "seg_no", F.col("label").alias("label"), "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()))
-    model = _second_model(_first_model(samples), rows)
-    shared, name = segments.sparkSession.sparkContext.broadcast([dict(w) for w in model.words]), new_name()
+    shared, name = segments.sparkSession.sparkContext.broadcast(_second_model(_sample_words(samples), rows)), new_name()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = kept(name, lambda: Model(dict(zip(LANGUAGES, shared.value))))
+        known = kept(name, lambda: Model(*shared.value))
         for b in batches:
             mix = Mixtures(known, b.column(3).to_pylist())
             label, sure = labels_of(mix.taken)
