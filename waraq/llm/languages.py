@@ -133,9 +133,11 @@ class Model:
         self.totals = np.bincount(language[word], count[word], k)
         self.grams = np.zeros((k, GRAM_SLOTS), np.float32)
         self.grams[language[~word], slot[~word]] = count[~word] / WEIGHT
-        at = language[~word].astype(np.int64) * CONTEXT_SLOTS + context[~word]
-        self.mass = np.bincount(at, count[~word] / WEIGHT, k * CONTEXT_SLOTS).astype(np.float32).reshape(k, -1)
-        self.kinds = np.bincount(at, minlength=k * CONTEXT_SLOTS).astype(np.float32).reshape(k, -1)
+        self.mass, self.kinds = np.zeros((k, CONTEXT_SLOTS), np.float32), np.zeros((k, CONTEXT_SLOTS), np.float32)
+        for i in range(k):
+            mine = ~word & (language == i)
+            self.mass[i] = np.bincount(context[mine], count[mine] / WEIGHT, CONTEXT_SLOTS)
+            self.kinds[i] = np.bincount(context[mine], minlength=CONTEXT_SLOTS)
         self.memo: dict[str, int] = {}
         self.empty: set[str] = set()
         self.scores = np.empty((1024, len(LANGUAGES)))
@@ -406,7 +408,7 @@ def _second_model(samples: Counter, rows: DataFrame) -> tuple[np.ndarray, ...]:
     shared, name_of = spark.sparkContext.broadcast(_first_model(samples)), new_name()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = kept(name_of, lambda: Model(*shared.value))
+        model = kept(name_of, lambda: Model(*shared.value), alone=True)
         for b in batches:
             found: Counter = Counter()
             texts, recorded = b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), object)
@@ -433,7 +435,7 @@ def segment_languages(segments: DataFrame, samples: DataFrame) -> DataFrame:
     shared, name = segments.sparkSession.sparkContext.broadcast(_second_model(_sample_words(samples), rows)), new_name()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = kept(name, lambda: Model(*shared.value))
+        known = kept(name, lambda: Model(*shared.value), alone=True)
         for b in batches:
             mix = Mixtures(known, b.column(3).to_pylist())
             label, sure = labels_of(mix.taken)

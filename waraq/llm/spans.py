@@ -42,6 +42,8 @@ HOT_TEXTS = 2000
 MOST_WINDOWS = 512
 #: Characters of pieces to a shard.
 SHARD_CHARS = 500_000
+#: Tasks that search shards, at most; each takes shards in turn.
+MOST_TASKS = 20_000
 #: Anchor rows (24 bytes each) up to which they are broadcast to the texts.
 BROADCAST_ROWS = 1_000_000
 _A, _B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -250,6 +252,8 @@ class SharedSpans:
             shards = max(shards, parallelism(documents.sparkSession))
         pieces = _pieces(unique, wanted.select("doc", F.xxhash64("h").alias("h"), "a", "b"), length)
         routed = pieces.select(F.pmod("h", F.lit(shards)).alias("shard"), "doc", "a", "text")
+        # as many tasks as there is work for, which the planner would judge by the bytes of the pieces
+        routed = routed.repartition(min(shards, MOST_TASKS), "shard")
         self.found = cut(routed.groupBy("shard").applyInArrow(_search(length, wants), _RESULT))
 
     def pairs(self) -> DataFrame:

@@ -23,10 +23,10 @@ def new_name() -> str:
     return uuid.uuid4().hex
 
 
-def kept(name: str, make: Callable[[], T]) -> T:
-    """make() once for each worker process; the last few are kept."""
+def kept(name: str, make: Callable[[], T], alone: bool = False) -> T:
+    """make() once for each worker process; the last few are kept, or this alone where it is large."""
     if name not in _kept:
-        if len(_kept) >= 4:
+        if alone or len(_kept) >= 4:
             _kept.clear()
         _kept[name] = make()
     return _kept[name]
