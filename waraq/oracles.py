@@ -412,3 +412,4 @@ ORACLES["task_counts"] = "with s as (select * from (values (1, 'lm', 0.65::doubl
 ORACLES["exclusions_stages"] = f"with {DEDUP}, e as (select doc_id, 'dedup' s from (select doc_id, row_number() over (partition by h order by k) r from k) where r > 1 union select doc_id, 'quality' from ({ORACLES['quality_verdicts']}) where list_contains(string_split(reasons, ','), 'too_short')) select doc_id::varchar as doc_id, string_agg(s, ',' order by s) as stages from e group by 1"
 ORACLES["pack_indexed"] = f"""with {_PACK}, tl as (select stream, (sum(n) // 512)::bigint whole from pl where contains(stream, '/train/') group by 1 having sum(n) >= 512), b as (select stream, whole, coalesce(sum(whole) over (order by stream rows between unbounded preceding and 1 preceding), 0) base from tl) select stream, seq::bigint as seq, (base + seq)::bigint as index from (select *, unnest(range(whole)) seq from b)"""
 ORACLES["pack_whole"] = f"with {_PACK}, w as (select stream, n - n % 128 n from pl where n >= 128) select stream, count(*) as documents, sum(n)::bigint as tokens, (sum(n) // 128)::bigint as sequences, 0::bigint as dropped_tokens from w group by 1"
+ORACLES["quality_sentence_variant"] = f"select not (chars < 20 or words < 3 or url_ratio > 0.3 or html_ratio > 0.1 or replacement_rate > 0.001) as kept, count(*) as documents from ({ORACLES['quality_metrics']}) group by 1"
