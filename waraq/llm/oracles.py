@@ -23,3 +23,11 @@ eg as (select item_id, len(ws) n, i, array_to_string(ws[i:i+7], ' ') gram from (
 h as (select distinct doc_id, item_id, n, i + o as p from dg join eg using (gram), (values (0), (1), (2), (3), (4), (5), (6), (7)) v(o))
 select doc_id, item_id as eval_id from h group by doc_id, item_id, n having count(*) >= 0.6 * n""",
 }
+
+ORACLES["p5_leaks"] = ORACLES["p5_found"].replace("select doc_id, item_id as eval_id from h", "select doc_id, item_id as eval_id, count(*) / n::double as containment, n::int as n_words, count(*)::int as n_covered from h")
+# every window of 200 characters that stands in two documents, looked up one by one
+_WINDOWS = """d as (select doc_id, any_value(text) t from documents where length(text) >= 200 group by 1), w as (select doc_id, i, md5(substr(t, i, 200)) m from (select doc_id, t, unnest(range(1, length(t) - 198)) i from d)),
+s as (select m from w group by 1 having count(distinct doc_id) > 1), h as (select w.* from w join s using (m))"""
+ORACLES["p10_found"] = f"with {_WINDOWS}, k as (select distinct doc_id, m from h) select distinct a.doc_id as doc_a, b.doc_id as doc_b from k a join k b on a.m = b.m and a.doc_id < b.doc_id"
+ORACLES["p10_coverage"] = f"""with {_WINDOWS}, g as (select doc_id, i, coalesce(i > lag(i) over (partition by doc_id order by i) + 200, true) fresh from h), n as (select *, sum(fresh::int) over (partition by doc_id order by i) k from g), p as (select doc_id, k, max(i) - min(i) + 200 c from n group by 1, 2), t as (select doc_id, count(*) n, sum(c) c from p group by 1)
+select doc_id, coalesce(length(text), 0)::int as n_chars, coalesce(n, 0)::int as n_spans, coalesce(c, 0)::bigint as shared_chars, case when length(text) > 0 then coalesce(c, 0) / length(text)::double else 0.0 end as shared from documents left join t using (doc_id)"""
