@@ -39,6 +39,9 @@ def spread(df: DataFrame) -> DataFrame:
     compressed table would otherwise keep most cores idle. A table with enough splits is left alone.
     """
     spark = df.sparkSession
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if "Repartition" in plan and not any(x in plan for x in ("Join", "Aggregate", "Generate", "Union", "Window")):
+        return df  # rows that were dealt before and have stayed in place since
     cores = max(spark.sparkContext.defaultParallelism, 2)
     # the planner's estimate: asking the physical plan for its partitions would run its shuffles
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
