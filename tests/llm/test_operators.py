@@ -78,6 +78,45 @@ def test_mojibake_lost_bytes_are_found_and_not_restored(spark):
     assert set(found) == {999, 998} and all(r["lost"] and r["restored"] is None for r in found.values())
 
 
+def test_mojibake_margin_is_validated_on_all_texts(spark, monkeypatch):
+    honest, margins, validate = honest_corpus(), [], mojibake.validate
+    df = spark.createDataFrame(enumerate(honest * 2), "record_id bigint, text string")
+    for most in (20, 1000):
+        monkeypatch.setattr(mojibake, "HELD_OUT", most)
+        monkeypatch.setattr(mojibake, "validate", lambda *a: margins.append(validate(*a)) or margins[-1])
+        mojibake.restored(df, "record_id", "text")
+    assert margins[0] == margins[1]
+
+
+def test_mojibake_margin_against_brute_force(spark):
+    rng = random.Random(9)
+    for honest, bad in ((300, 400), (3000, 0), (0, 700), (2500, 3000)):
+        chance, reached = [rng.uniform(-9, 8) for _ in range(honest)], [rng.gauss(40, 9) for _ in range(bad)]
+        highest = max([0.0, *chance])
+        sure = sorted(reached)[bad // 50] if bad else highest + 6
+        for odd in ([], [70.0], [70.0] * 5):
+            above = max(70.0 if len(odd) > (honest + len(odd)) // 1000 else 0.0, highest)
+            expected = (highest + sure) / 2 if above == highest else above
+            if odd and not bad:
+                expected = 73.0  # nothing tells how far corruptions reach
+            gains = [*((False, x) for x in chance + odd), *((True, x) for x in reached)]
+            rng.shuffle(gains)
+            assert mojibake.margin(spark.createDataFrame(gains, mojibake.GAINS), 3.0) == pytest.approx(max(3.0, expected))
+
+
+def test_mojibake_empty_table(spark):
+    assert mojibake.restored(spark.createDataFrame([], "record_id bigint, text string"), "record_id", "text").count() == 0
+
+
+def test_mojibake_honest_places_of_a_garbled_record_stay(spark):
+    honest = [t + (" نہیں ملا، لیکن کیا؟ ہاں" if i % 10 == 0 else " نہیں ملا ہے، لیکن کیا ہے؟ ہاں") for i, t in enumerate(honest_corpus()[:250])]
+    bad = honest[0].replace("شہر", "شہر".encode().decode("cp1256"))
+    assert bad != honest[0]
+    rows = [*enumerate(honest), (999, bad)]
+    found = {r["record_id"]: r for r in mojibake.restored(spark.createDataFrame(rows, "record_id bigint, text string"), "record_id", "text").collect()}
+    assert set(found) == {999} and found[999]["restored"] == honest[0]
+
+
 # 2
 
 

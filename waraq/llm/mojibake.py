@@ -5,10 +5,10 @@ a fixed size). Every encode-decode chain proposes places: runs of characters tha
 the wrongly assumed encoding, well formed in the true one. Each place is scored by how much likelier
 the model finds its surroundings with the characters restored, and the likeliest non-overlapping ones
 are accepted beyond a margin. Repairs repeat, as text may have been garbled more than once. Rare single-byte
-chains compete as wholes: where the others find nothing or leave something over, one is taken if it makes the record likelier. The margin is validated on held-out clean records and on corruptions of
-them; it stands for the odds against a garbled place in any record, so in a record that is known to have
+chains compete as wholes: where the others find nothing or leave something over, one is taken if it makes the record likelier. The margin is validated on all clean records, each held out in turn, and on a corruption of
+each; it stands for the odds against a garbled place in any record, so in a record that is known to have
 gone through a chain the odds turn, and that chain's other places are accepted unless the model finds
-them unlikelier by the margin. A replacement character is scored as a place whose best
+them unlikelier by the least margin. A replacement character is scored as a place whose best
 restoration is the likeliest of the corpus's frequent characters; no honest text shows one, so the least margin holds.
 
 Chains are UTF-8 read as any of seven single-byte encodings, and Arabic or Cyrillic single bytes read as
@@ -31,11 +31,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waraq.llm.words import kept, new_name
-from waraq.session import spread
+from waraq.session import cut, spread
 
 #: Encodings that UTF-8 bytes may have been read in, and pairs of single-byte encodings (read as, true).
 READ_AS = ("latin-1", "cp1252", "cp1256", "mac_roman", "cp437", "cp850", "cp1251")
@@ -47,12 +48,17 @@ MAX_PASSES = 3
 SLOTS = (1 << 17, 1 << 20, 1 << 22)
 #: Trigrams and places that a worker remembers, at most.
 MEMO = 500_000
-#: The margin is never below this.
+#: The margin is never below this; places in a record known to be garbled may be unlikelier by as much.
 LEAST = 3.0
 #: The most frequent characters, of which one may have stood where a replacement character is.
 FREQUENT = 64
-#: Distinct records that validate the margin, at most; each is judged by a model without it.
+#: Up to so many distinct records are judged by the driver, more by the workers; in the same parts, with the same outcome.
 HELD_OUT = 1000
+#: Parts that validate the margin, at least, each judged by a model without it; and the characters of one, about, with 64 for each text.
+PARTS, PART_CHARS = 32, 1 << 23
+#: Of so many records that seem clean one may be garbled, and stands for no honest one.
+ODD = 1000
+GAINS = "corrupted boolean, gain double"
 _P = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
@@ -249,7 +255,7 @@ def repair_once(model: Model, text: str, margin: float, proposers: tuple = COMMO
         if take(x):
             chains.add(x[4].chain.name)
     for x in sorted(proposals, key=lambda x: (-x[0], x[1])):
-        if x[4].chain.name in chains and x[0] > -margin:
+        if x[4].chain.name in chains and x[0] > -LEAST:
             take(x)
     left_over = False
     for x in taken:
@@ -338,30 +344,72 @@ def without(model: Model, texts: list[tuple[str, int]]) -> Model:
     return Model([np.maximum(t, 0).astype(np.float32) for t in tables])
 
 
-def validate(model: Model, held: list[tuple[str, int]], distinct: int, least: float = LEAST) -> float:
+def validate(model: Model, rows: DataFrame, shared: Broadcast, least: float = LEAST) -> float:
     """The margin between what honest texts reach and what nearly all corruptions reach, nearer to the former.
 
-    Each held-out text is judged by a model without it and its part; a part is at most a tenth of the distinct texts.
+    All distinct texts that seem clean are judged, each by the model without it and its part.
     """
-    clean = [(t, n) for t, n in held if t and seems_clean(t)]
-    size = max(1, distinct // 10)
-    chance, reached = [0.0], []
-    for k in range(0, len(clean), size):
-        part = clean[k : k + size]
-        one, two = judged(without(model, part), [t for t, _ in part], k)
-        chance += one
-        reached += two
-    highest = max(chance)
-    sure = sorted(reached)[len(reached) // 50] if reached else highest + 2 * least
+    spark, h = rows.sparkSession, F.xxhash64("text")
+    size = rows.groupBy(h.alias("h")).agg(F.max(F.length("text")).alias("n")).agg(F.count("n").alias("texts"), F.coalesce(F.sum(F.col("n") + 64), F.lit(0)).alias("chars")).first()
+    parts = max(PARTS, size["chars"] // PART_CHARS)
+    part = F.pmod(h, F.lit(parts)).cast("int")
+    if size["texts"] <= HELD_OUT and size["chars"] <= PART_CHARS:
+        held: dict[int, Counter] = {}
+        for r in rows.groupBy("text").count().select("text", "count", part.alias("part")).collect():
+            held.setdefault(r["part"], Counter())[r["text"]] = r["count"]
+        gains = [x for k, texts in sorted(held.items()) for x in judged_part(model, texts, k)]
+        return margin(spark.createDataFrame(gains, GAINS), least)
+    name = new_name()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, k = Counter(), 0
+        for b in batches:
+            texts.update(b.column(0).to_pylist())
+            k = b.column(1)[0].as_py() if b.num_rows else k
+        got = judged_part(kept(name, lambda: Model(list(shared.value))), texts, k)
+        for i in range(0, len(got), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got[i : i + 100_000]), (pa.bool_(), pa.float64()))], ["corrupted", "gain"])
+
+    # a part is a partition, so a worker that counts its rows knows the model without them
+    return margin(cut(rows.select("text", part.alias("part")).repartitionById(parts, "part").mapInArrow(run, GAINS)), least)
+
+
+def margin(gains: DataFrame, least: float) -> float:
+    """The margin by the gains of all honest texts and of all corruptions."""
+    reached = gains.filter("corrupted")
+    bins = sorted((r["bin"], r["count"]) for r in reached.groupBy(F.floor("gain").alias("bin")).count().collect())
+    honest, sure = gains.filter("not corrupted"), None
+    rank = sum(n for _, n in bins) // 50
+    for b, n in bins:
+        if rank < n:
+            sure = reached.filter(F.floor("gain") == b).orderBy("gain").offset(rank).limit(1).first()["gain"]
+            break
+        rank -= n
+    over = F.lit(False) if sure is None else F.col("gain") >= sure
+    r = honest.agg(F.count("gain").alias("texts"), F.count_if(over).alias("over"), F.max("gain").alias("all"), F.max(F.when(~over, F.col("gain"))).alias("under")).first()
+    # a few that reach what corruptions do are garbled ones that seem clean; more are honest, as far as can be told
+    highest = max(0.0, (r["under"] if r["over"] <= r["texts"] // ODD else r["all"]) or 0.0)
+    if sure is None:
+        sure = highest + 2 * least
     return max(least, (highest + sure) / 2 if sure > highest else highest)
 
 
+def judged_part(model: Model, texts: Counter, k: int) -> list[tuple[bool, float]]:
+    """(whether of a corruption, gain) of the clean texts of part k, by the model without them; with the rows of each."""
+    clean = sorted(t for t in texts if seems_clean(t))
+    if not clean:
+        return []
+    chance, reached = judged(without(model, [(t, texts[t]) for t in clean]), clean, k)
+    return [*((False, g) for g in chance), *((True, g) for g in reached)]
+
+
 def judged(model: Model, clean: list[str], first: int) -> tuple[list[float], list[float]]:
     """The gains that honest texts reach, and those of their corruptions."""
     chance, reached = [], []
     for t in clean:
         signs = set(t)
-        chance.append(max((model.gain(t, a, b, new) for p in PROPOSERS if p.possible(signs) for a, b, new in p(t)), default=0.0))
+        places = {x for p in PROPOSERS if p.possible(signs) for x in p(t)}  # several chains often propose the same
+        chance.append(max((model.gain(t, *x) for x in places), default=0.0))
     for i, t in enumerate(clean, first):
         p = COMMON_PROPOSERS[i % len(COMMON_PROPOSERS)]
         words = [w for w in t.split(" ") if any(c > "\x7f" for c in w)]
@@ -383,14 +431,10 @@ def restored(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, chains, gain, passes, lost, restored) of the affected rows."""
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull() & (F.length("text") > 0))
-    source, order = spread(rows), F.xxhash64("text")
-    counted = rows.select(order.alias("h")).distinct()
-    distinct = counted.count()
-    last = counted.orderBy("h").limit(HELD_OUT).agg(F.max("h")).first()[0]
-    held = rows.filter(order <= F.lit(last)).groupBy("text").count().orderBy(order, "text").collect() if distinct else []
+    source = spread(rows)
     model = train(source, "text")
-    margin = validate(model, [(r["text"], r["count"]) for r in held], distinct)
     shared, name = spark.sparkContext.broadcast((model.t1, model.t2, model.t3)), new_name()
+    enough = validate(model, rows, shared)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,7 +442,7 @@ def restored(df: DataFrame, key: str, text: str) -> DataFrame:
         for b in batches:
             rows: list[list] = [[] for _ in range(6)]
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                new, accepted, passes, lost = repair(known, t, margin)
+                new, accepted, passes, lost = repair(known, t, enough)
                 gone = known.lost(t) if "\ufffd" in t else 0.0
                 broken = gone > LEAST
                 if accepted or broken:
