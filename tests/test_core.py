@@ -174,6 +174,43 @@ def test_decontamination_is_directed_and_inclusive(spark):
     assert decontaminate.coverage(hits, items, sets).first().asDict() == {"eval_set": "s", "items": 3, "found": 1}
 
 
+def shuffled_rows(df):
+    """Rows that the shuffles of a plan write when it runs."""
+
+    def walk(p):
+        name = p.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return walk(p.executedPlan())
+        if "QueryStage" in name:
+            return walk(p.plan())
+        if name == "ReusedExchange":
+            return 0
+        own = p.metrics().get("shuffleRecordsWritten")
+        return (own.get().value() if own.isDefined() else 0) + sum(walk(p.children().apply(i)) for i in range(p.children().size()))
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.fixture(scope="module")
+def phrase_shared(spark):
+    """120 items and 301 documents that all hold a common phrase, so that each pair shares shingles; the last document is an item's text with a word more."""
+    word = lambda r: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    rng, phrase = random.Random(11), "as it has been said before on this same page by many others"
+    texts = [f"{' '.join(word(rng) for _ in range(12))} {phrase}" for _ in range(420)]
+    items = spark.createDataFrame([(f"i{n}", ("words", "sentences")[n % 2], t) for n, t in enumerate(texts[:120])], "item_id string, eval_set string, text string")
+    return docs_of(spark, [*texts[120:], texts[1] + " more"]), items, [config.EvalSet("words"), config.EvalSet.for_sentences("sentences")]
+
+
+def test_report_shuffles_documents_once_and_no_pairs(spark, phrase_shared):
+    docs, items, specs = phrase_shared
+    found = decontaminate.hits_by_set(docs, items, specs)
+    assert [(r["doc_id"], r["item_id"], r["exact"]) for r in found.collect()] == [("300", "i1", "")]
+    assert shuffled_rows(found) < 2 * 301
+    rows = {tuple(r) for r in decontaminate.report(found, specs, docs.withColumn("source", F.lit("s"))).collect()}
+    assert rows == {("reason", "containment", 1, 1), ("set", "sentences", 1, 1), ("source", "s", 1, 1)}
+
+
 # stages
 
 

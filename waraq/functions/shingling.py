@@ -30,24 +30,39 @@ class Shingler:
         self.memo: dict[str, int] = {}
 
     def __call__(self, text: str) -> np.ndarray:
-        t = canonical(text)
+        return np.unique(self._rolled(self._parts([canonical(text)])[0]))
+
+    def windows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, owner): all shingles of many canonical texts, repeated ones too, and the place in `texts` of the text of each."""
+        parts, lengths = self._parts(texts)
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        h = self._rolled(parts)
+        inside = owner[: len(h)] == owner[self.size - 1 :][: len(h)]
+        return h[inside], owner[: len(h)][inside]
+
+    def _parts(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
+        """What shingles are made of, of one text after the other, and how much of it is each text's."""
         if self.unit == "char":
-            parts = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) * _MIX
-        else:
-            words = t.split(" ") if t else []
-            if len(self.memo) > MEMO_WORDS:
-                self.memo.clear()
-            memo = self.memo
+            return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) * _MIX, [len(t) for t in texts]
+        split = [t.split(" ") if t else [] for t in texts]
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        memo = self.memo
+        for words in split:
             for w in words:
                 if w not in memo:
                     memo[w] = word_hash(w)
-            parts = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+        return np.fromiter((memo[w] for words in split for w in words), np.uint64), [len(words) for words in split]
+
+    def _rolled(self, parts: np.ndarray) -> np.ndarray:
         n = len(parts) - self.size + 1
         if n <= 0:
             return np.empty(0, np.uint64)
         out = np.zeros(n, np.uint64)
         for i in range(self.size):
-            out = out * _BASE + parts[i : i + n]
+            out *= _BASE
+            out += parts[i : i + n]
             out ^= out >> np.uint64(31)
         out *= _MIX
-        return np.unique(out ^ (out >> np.uint64(29)))
+        out ^= out >> np.uint64(29)
+        return out

@@ -36,10 +36,10 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _trained(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, text, source): documents that hold passages of items, items that were collected as documents, and the items themselves."""
+    """(doc_id, text, source): documents that hold passages of items, items that were collected as documents, and the items themselves; rows repeat, and the operators count equal ones once."""
     rows = table(spark, d, "probe_decon_rup_survivors")
-    documents = rows.select("doc_id", F.col("doc").alias("text"), F.lit("documents").alias("source")).distinct()
-    copies = rows.filter(F.col("eval").isNotNull()).select(F.concat(F.lit("pair:"), F.col("pair_id").cast("string")).alias("doc_id"), F.col("eval").alias("text"), F.lit("pairs").alias("source")).distinct()
+    documents = rows.select("doc_id", F.col("doc").alias("text"), F.lit("documents").alias("source"))
+    copies = rows.filter(F.col("eval").isNotNull()).select(F.concat(F.lit("pair:"), F.col("pair_id").cast("string")).alias("doc_id"), F.col("eval").alias("text"), F.lit("pairs").alias("source"))
     return documents.unionByName(copies).unionByName(table(spark, d, "eval_items").select(F.col("item_id").alias("doc_id"), "text", F.lit("items").alias("source")))
 
 
