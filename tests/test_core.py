@@ -211,6 +211,46 @@ def test_report_shuffles_documents_once_and_no_pairs(spark, phrase_shared):
     assert rows == {("reason", "containment", 1, 1), ("set", "sentences", 1, 1), ("source", "s", 1, 1)}
 
 
+def test_char_containments_equal_brute_force_and_shuffle_no_pairs(spark, monkeypatch):
+    """Repeated rows, ids with several texts (those of as many shingles count as one), items of equal text or of several, and item sets in parts."""
+    rng, spec = random.Random(12), config.EvalSet.for_sentences("s")
+    sentence = lambda: " ".join(rng.choice(["pani", "kitab", "ghar", "shehar", "raat", "subah", "dost", "kal", "bohat", "purana"]) for _ in range(10))
+    items = [(f"i{n}", sentence()) for n in range(60)]
+    items += [("i60", items[0][1]), ("i1", sentence()), items[2], ("short", "pani"), ("nul", None)]
+    docs = [(f"d{n}", sentence()) for n in range(150)]
+    docs += [(f"e{n}", t[: len(t) * 9 // 10 - n % 3]) for n, (_, t) in enumerate(items[:60])] + [(f"f{n % 20}", f"{t} {sentence()}") for n, (_, t) in enumerate(items[:60])]
+    docs += [(i, t) for i, t in items if t] + docs[:40] + [("g", items[3][1][:25]), ("g", items[3][1][25:]), ("null", None), (None, items[4][1])]
+    sh = lambda t: {c[k : k + 5] for c in [" ".join((t or "").lower().split())] for k in range(len(c) - 4)}
+    sides = []
+    for rows in (docs, items):
+        side = {}
+        for i, t in rows:
+            if i is not None and sh(t):
+                side.setdefault((i, len(sh(t))), set()).update(sh(t))
+        sides.append(side)
+    for retain in (0.8, 0.0):
+        want = {(d, i, len(a & b), n, m) for (d, n), a in sides[0].items() for (i, m), b in sides[1].items() if d != i and m >= 25 and a & b and len(a & b) / m >= retain}
+        want = {(d, i, s, round(s / m, 9), round(s / (m + n - s), 9)) for d, i, s, n, m in want}
+        for at_once in (4_000_000, 2_000):
+            monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", at_once)
+            got = decontaminate.containments(spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(items, "item_id string, text string"), config.EvalSet(**{**vars(spec), "retain": retain}))
+            assert {(r["doc_id"], r["item_id"], r["shared"], round(r["containment"], 9), round(r["jaccard"], 9)) for r in got.collect()} == want
+            assert got.count() >= len(want) > 100 and shuffled_rows(got) <= len(docs)
+
+
+def test_popular_shingles_are_counted_in_halves(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    hs = [[1, 2, 3, 4, n] for n in range(10, 50)]
+    x = decontaminate._index(pa.table({"item_id": [f"i{n}" for n in range(40)], "eval_set": ["s"] * 40, "size": pa.array([5] * 40, pa.int32()), "hs": pa.array(hs, pa.list_(pa.int64()))}), 5, "word", {"s": 0.0})
+    h, owner = np.array([1, 2, 3, 11, 4, 12, 1, 99], np.uint64), np.array([0, 0, 0, 0, 1, 2, 3, 3])
+    whole = [v.tolist() for v in x.candidates(h, owner)]
+    assert list(zip(*whole, strict=True)) == [(0, i) for i in range(40)] + [(1, i) for i in range(40)] + [(2, 2)] + [(3, i) for i in range(40)]
+    monkeypatch.setattr(decontaminate, "PAIRS", 1)
+    assert [v.tolist() for v in x.candidates(h, owner)] == whole
+
+
 # stages
 
 
