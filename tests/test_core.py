@@ -211,6 +211,14 @@ def test_report_shuffles_documents_once_and_no_pairs(spark, phrase_shared):
     assert rows == {("reason", "containment", 1, 1), ("set", "sentences", 1, 1), ("source", "s", 1, 1)}
 
 
+def test_removals_take_whole_pairs_and_shuffle_no_pairs_of_items(spark, phrase_shared):
+    docs, items, specs = phrase_shared
+    halves = docs.select(F.concat(F.lit("p"), F.floor(F.col("doc_id") / 2).cast("string"), F.lit("#"), (F.col("doc_id") % 2).cast("string")).alias("doc_id"), "text")
+    found = decontaminate.removals(decontaminate.hits_by_set(halves, items, specs), specs)
+    assert [r["doc_id"] for r in found.collect()] == ["p150"]
+    assert shuffled_rows(found) < 2 * 301
+
+
 def test_char_containments_equal_brute_force_and_shuffle_no_pairs(spark, monkeypatch):
     """Repeated rows, ids with several texts (those of as many shingles count as one), items of equal text or of several, and item sets in parts."""
     rng, spec = random.Random(12), config.EvalSet.for_sentences("s")
